@@ -14,13 +14,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-_NUMERIC = "^(BIGINT|DECIMAL|DOUBLE|FLOAT)"
-_NUMBER_TEXT = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-_HEX_TEXT = r"^0[xX][0-9a-fA-F]{1,15}$"
+# Against the JSON text of a node: a number or a quoted number; digits, bare or quoted.
+_NUMBER = r'^"?\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)\s*"?$'
+_DIGITS = r'^(?:"\s*)?(\d+)(?:\s*"|\.0+)?$'
+_BLANK = r'^"\s*"$'
 _BLANKS = " \t\r\n\f"
 # Largest integer a double holds exactly.
 _MAX_WHOLE = 9007199254740991.0
-_MAX_DOUBLE = 1.7976931348623157e308
 
 
 def get(v: Column | str, path: str) -> Column:
@@ -68,20 +68,14 @@ def trimmed(node: Column) -> Column:
 
 
 def number(node: Column) -> Column:
-    """A JSON number; the text "100" is not one."""
-    return F.when(kind(node).rlike(_NUMERIC), F.try_variant_get(node, "$", "double"))
+    """A JSON number; the text "100" is quoted in JSON and therefore not one."""
+    return F.to_json(node).try_cast("double")
 
 
 def lenient_number(node: Column) -> Column:
-    """A finite number, or text that reads as one (blank text reads as 0)."""
-    raw = F.btrim(string(node), F.lit(_BLANKS))
-    from_text = (
-        F.when(raw == "", F.lit(0.0))
-        .when(raw.rlike(_NUMBER_TEXT), raw.try_cast("double"))
-        .when(raw.rlike(_HEX_TEXT), F.conv(F.substring(raw, 3, 15), 16, 10).try_cast("double"))
-    )
-    value = F.coalesce(number(node), from_text)
-    return F.when(F.abs(value) <= _MAX_DOUBLE, value)
+    """A number, or text that reads as one (blank text reads as 0)."""
+    filled = F.regexp_replace(F.to_json(node), _BLANK, "0")
+    return F.regexp_extract(filled, _NUMBER, 1).try_cast("double")
 
 
 def whole(value: Column) -> Column:
@@ -97,12 +91,21 @@ def count(*nodes: Column) -> Column:
 
 def natural(node: Column) -> Column:
     """A non-negative integer, or a string of digits; else NULL."""
-    n = number(node)
-    digits = F.btrim(string(node), F.lit(_BLANKS))
-    return (
-        F.when((n >= 0) & (n == F.floor(n)) & (n <= _MAX_WHOLE), n.cast("bigint"))
-        .when(digits.rlike(r"^\d+$"), digits.try_cast("bigint"))
-    )
+    return F.regexp_extract(F.to_json(node), _DIGITS, 1).try_cast("bigint")
+
+
+def first(nodes: list[Column], read) -> Column:
+    """First non-NULL ``read(node)``. A lambda keeps the plan small where ``coalesce`` would repeat ``read``."""
+    return F.try_element_at(F.filter(F.transform(F.array(*nodes), read), lambda x: x.isNotNull()), F.lit(1))
+
+
+def parse_once(df, value: Column, keep: list[str], name: str = "v"):
+    """Add the parsed JSON of ``value`` as ``name``.
+
+    A filter above a projection is pushed into it, which would parse the text
+    once per reference; a generator keeps the parsed value as one column.
+    """
+    return df.select(*keep, F.explode(F.array(value)).alias(name))
 
 
 def otel_value(attributes: Column, key: str) -> Column:
@@ -115,11 +118,10 @@ def otel_value(attributes: Column, key: str) -> Column:
 
 def otel_text(attributes: Column, keys: list[str]) -> Column:
     """First attribute that is non-empty text or a number (as text)."""
-    def one(key: str) -> Column:
-        node = otel_value(attributes, key)
-        return F.when(kind(node).rlike(_NUMERIC), F.try_variant_get(node, "$", "string")).otherwise(text(node))
+    def read(node: Column) -> Column:
+        return F.when(kind(node).rlike("^(STRING|BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.nullif(F.try_variant_get(node, "$", "string"), F.lit("")))
 
-    return F.coalesce(*[one(k) for k in keys])
+    return first([otel_value(attributes, k) for k in keys], read)
 
 
 def owner_of_keys(keys: list[str], depth: int = 6):

@@ -60,7 +60,7 @@ def assistant_lines(lines: DataFrame, zone: str | None = None) -> DataFrame:
     """
     v = F.col("v")
     candidates = lines.filter((F.length("value") >= 2) & F.col("value").contains("assistant"))
-    rows = candidates.withColumn("v", F.try_parse_json("value")).filter(F.col("v").isNotNull()).filter(_valid(v))
+    rows = c.parse_once(candidates, F.try_parse_json("value"), ORDER).filter(F.col("v").isNotNull()).filter(_valid(v))
     tool_blocks = F.filter(
         c.elements(c.get(v, "$.message.content")),
         lambda b: (c.string(c.get(b, "$.type")) == "tool_use") & c.text(c.get(b, "$.name")).isNotNull(),
@@ -142,7 +142,7 @@ def load(lines: DataFrame, zone: str | None = None, chunk: list[Column] | None =
 
 def last_context(lines: DataFrame) -> DataFrame:
     """Per file, input plus cache tokens of the newest line that has a numeric input count."""
-    rows = lines.filter(F.col("value").contains('"usage"')).withColumn("v", F.try_parse_json("value"))
+    rows = c.parse_once(lines.filter(F.col("value").contains('"usage"')), F.try_parse_json("value"), ORDER)
     usage = c.get("v", "$.message.usage")
     part = lambda name: F.coalesce(c.number(c.get(usage, f"$.{name}")), F.lit(0.0))
     has_input = c.number(c.get(usage, "$.input_tokens")).isNotNull()

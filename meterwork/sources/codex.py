@@ -44,22 +44,22 @@ COUNTER_NAMES = {
     "reasoning": ("reasoning_output_tokens", "reasoning_tokens"),
 }
 COUNTERS = ["input", "cached", "output", "reasoning", "total"]
+# Where a model name may stand (P16), first match wins.
+MODEL_NAMES = ("model", "model_name", "metadata.model")
 
 
 def counters(node: Column) -> Column:
     """A usage object as a struct of counters; NULL if the node is no object."""
     zero_ = F.lit(0).cast("bigint")
     part = {k: F.coalesce(*[c.natural(c.get(node, f"$.{n}")) for n in names], zero_) for k, names in COUNTER_NAMES.items()}
-    added = part["input"] + part["output"] + part["reasoning"]
-    stated = c.natural(c.get(node, "$.total_tokens"))
-    total = F.when((stated > 0) | (added == 0), stated)
-    fields = [x.alias(k) for k, x in part.items()] + [F.coalesce(total, added).alias("total")]
+    fields = [x.alias(k) for k, x in part.items()] + [c.natural(c.get(node, "$.total_tokens")).alias("total")]
     return F.when(c.is_object(node), F.struct(*fields))
 
 
-def model_of(node: Column) -> Column:
-    """P16."""
-    return F.coalesce(*[c.trimmed(c.get(node, f"$.{p}")) for p in ("model", "model_name", "metadata.model")])
+def trusted_total(usage: Column) -> Column:
+    """The stated total counts if positive or if nothing else was used, else the sum of the parts."""
+    added = usage["input"] + usage["output"] + usage["reasoning"]
+    return F.coalesce(F.when((usage["total"] > 0) | (added == 0), usage["total"]), added)
 
 
 def auto_review_model(model: Column, ts: Column) -> Column:
@@ -72,40 +72,65 @@ def auto_review_model(model: Column, ts: Column) -> Column:
 def rollout_lines(lines: DataFrame) -> DataFrame:
     """Narrow typed rows of every raw line; ``kind`` is NULL for blank and malformed ones, which still have a length."""
     v, value = F.col("v"), F.col("value")
-    payload, info = c.get(v, "$.payload"), c.get(v, "$.payload.info")
-    line_type, payload_type = c.string(c.get(v, "$.type")), c.string(c.get(payload, "$.type"))
-    is_token = (line_type == "event_msg") & (payload_type == "token_count")
-    headless = ~line_type.eqNullSafe("event_msg") & ~line_type.eqNullSafe("turn_context") & ~payload_type.eqNullSafe("turn_context")
-    hosts = [v, c.get(v, "$.data"), c.get(v, "$.result"), c.get(v, "$.response")]
-    stamps = [c.get(h, f"$.{k}") for h in hosts for k in ("timestamp", "created_at", "createdAt")]
-    tool = (
-        F.when(payload_type.isin("function_call", "custom_tool_call"), c.trimmed(c.get(payload, "$.name")))
-        .when(payload_type == "local_shell_call", F.lit("shell"))
-        .when(line_type == "function_call", c.trimmed(c.get(v, "$.name")))
-    )
-    yes = lambda x: F.coalesce(x, F.lit(False))
     text = F.regexp_replace(value, "\r$", "")
-    rows = lines.withColumn("v", F.try_parse_json(value)).withColumn("v", F.when(c.is_object(F.col("v")), F.col("v")))
-    return rows.select(
+    sized = lines.select(
         *ORDER,
         "mtime",
+        "value",
         (F.octet_length(text) + 1).cast("bigint").alias("bytes"),
         reduce(lambda a, b: a | b, [value.contains(m) for m in FORK_MARKERS]).alias("marked"),
-        F.when(yes(is_token), "token").when(line_type == "turn_context", "context").when(v.isNotNull(), "other").alias("kind"),
-        c.string(c.get(v, "$.timestamp")).alias("ts_raw"),
-        F.nullif(F.coalesce(c.string(c.get(payload, "$.cwd")), c.string(c.get(v, "$.cwd"))), F.lit("")).alias("cwd"),
+    )
+    placed = [*ORDER, "mtime", "bytes", "marked"]
+    rows = c.parse_once(sized, F.try_parse_json(value), placed)
+    nodes = rows.select(
+        *placed,
+        "v",
+        c.is_object(v).alias("is_line"),
+        c.string(c.get(v, "$.type")).alias("line_type"),
+        c.string(c.get(v, "$.payload.type")).alias("payload_type"),
+    )
+    is_token = F.col("is_line") & F.coalesce((F.col("line_type") == "event_msg") & (F.col("payload_type") == "token_count"), F.lit(False))
+    is_context = F.col("is_line") & F.coalesce(F.col("line_type") == "turn_context", F.lit(False))
+    silent = is_context | F.col("line_type").eqNullSafe("event_msg") | F.col("payload_type").eqNullSafe("turn_context")
+    hosts = ["$", "$.data", "$.result", "$.response"]
+    tool = (
+        F.when(F.col("payload_type").isin("function_call", "custom_tool_call"), c.trimmed(c.get(v, "$.payload.name")))
+        .when(F.col("payload_type") == "local_shell_call", F.lit("shell"))
+        .when(F.col("line_type") == "function_call", c.trimmed(c.get(v, "$.name")))
+    )
+    kinds = nodes.select(
+        *placed,
+        "v",
+        F.when(is_token, "token").when(is_context, "context").when(F.col("is_line"), "other").alias("kind"),
+        (F.col("is_line") & ~silent).alias("may_be_headless"),
         tool.alias("tool_name"),
-        F.when(is_token, c.is_object(info)).alias("has_info"),
-        F.when(is_token, counters(c.get(info, "$.last_token_usage"))).alias("last"),
-        F.when(is_token, counters(c.get(info, "$.total_token_usage"))).alias("totals"),
-        F.when(headless, F.coalesce(*[counters(c.get(h, "$.usage")) for h in hosts])).alias("headless"),
-        F.when(is_token, F.coalesce(model_of(payload), model_of(info)))
-        .when(line_type == "turn_context", model_of(payload))
-        .when(headless, F.coalesce(*[model_of(h) for h in hosts]))
+    )
+    objects = F.filter(F.array(*[c.get(v, f"{h}.usage") for h in hosts]), c.is_object)
+    used = kinds.select(
+        *[x for x in kinds.columns if x != "may_be_headless"],
+        F.when(F.col("may_be_headless"), F.try_element_at(objects, F.lit(1))).alias("usage_node"),
+    )
+    token, headless = F.col("kind") == "token", F.col("usage_node").isNotNull()
+    stamps = [c.get(v, f"{h}.{k}") for h in hosts for k in ("timestamp", "created_at", "createdAt")]
+    names = lambda paths: c.first([c.get(v, f"{p}.{k}") for p in paths for k in MODEL_NAMES], c.trimmed)
+    typed = used.select(
+        *placed,
+        "kind",
+        "tool_name",
+        c.string(c.get(v, "$.timestamp")).alias("ts_raw"),
+        F.nullif(F.coalesce(c.string(c.get(v, "$.payload.cwd")), c.string(c.get(v, "$.cwd"))), F.lit("")).alias("cwd"),
+        F.when(token, c.is_object(c.get(v, "$.payload.info"))).alias("has_info"),
+        F.when(token, counters(c.get(v, "$.payload.info.last_token_usage"))).alias("last"),
+        F.when(token, counters(c.get(v, "$.payload.info.total_token_usage"))).alias("totals"),
+        F.when(headless, counters(F.col("usage_node"))).alias("headless"),
+        F.when(token, names(["$.payload", "$.payload.info"]))
+        .when(F.col("kind") == "context", names(["$.payload"]))
+        .when(headless, names(hosts))
         .alias("named_model"),
-        F.when(headless, F.coalesce(*[normalized(s) for s in stamps], "mtime")).alias("headless_ts"),
-        F.when(headless, F.coalesce(*[kept_or_normalized(s) for s in stamps], "mtime")).alias("headless_model_ts"),
+        F.when(headless, F.coalesce(c.first(stamps, normalized), "mtime")).alias("headless_ts"),
+        F.when(headless, F.coalesce(c.first(stamps, kept_or_normalized), "mtime")).alias("headless_model_ts"),
     )
+    return typed.withColumns({u: F.col(u).withField("total", trusted_total(F.col(u))) for u in ("last", "totals", "headless")})
 
 
 def replay_seconds(rows: DataFrame, chunk: list[Column] | None = None) -> DataFrame:

@@ -149,10 +149,12 @@ def kimi(lines: DataFrame) -> Facts:
         likely = likely | value.contains(key)
     found = lines.filter(likely).select(
         *PLACE,
-        F.try_parse_json(value).alias("line"),
-        F.try_parse_json(c.owner_of_keys(KIMI_USAGE)(value)).alias("v"),
-        F.try_parse_json(c.owner_of_keys(["messageId", "message_id", "id"])(value)).alias("host"),
-    ).filter("v IS NOT NULL")
+        "value",
+        c.owner_of_keys(KIMI_USAGE)(value).alias("usage"),
+        c.owner_of_keys(["messageId", "message_id", "id"])(value).alias("id_owner"),
+    ).filter("usage IS NOT NULL")
+    nodes = F.struct(*[F.try_parse_json(x).alias(n) for x, n in (("value", "line"), ("usage", "v"), ("id_owner", "host"))])
+    found = c.parse_once(found, nodes, PLACE, "n").select(*PLACE, "n.*")
     host = F.col("host")
     rows = found.select(
         *record(

@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.coerce import parse_once
 from ..functions.times import DAY_MS, HOUR_MS
 
 LINE_COLUMNS = ["file", "block_start", "line_no", "pos", "value", "mtime"]
@@ -73,11 +74,8 @@ def table_lines(df: DataFrame, file: Column, line_no: Column, value: Column, mti
 
 def parsed(lines: DataFrame) -> DataFrame:
     """Lines that are JSON, as ``v``; blank, malformed and null lines are gone."""
-    v = F.try_parse_json("value")
-    return (
-        lines.select("file", "block_start", "line_no", "pos", "mtime", v.alias("v"))
-        .filter(F.col("v").isNotNull() & ~F.is_variant_null("v"))
-    )
+    rows = parse_once(lines, F.try_parse_json("value"), ["file", "block_start", "line_no", "pos", "mtime"])
+    return rows.filter(F.col("v").isNotNull() & ~F.is_variant_null("v"))
 
 
 def explode_nodes(df: DataFrame, nodes: Column, keep: list[str]) -> DataFrame:

@@ -34,7 +34,8 @@ def _cell(table: DataFrame, name: str) -> Column:
 def kilo(messages: DataFrame) -> Facts:
     """A JSON message in the text column ``data``; the session id may also be a column."""
     row_session = F.col("session_id").cast("string") if "session_id" in messages.columns else F.lit(None).cast("string")
-    rows = _rows(messages).withColumn("v", F.try_parse_json("data"))
+    rows = _rows(messages)
+    rows = c.parse_once(rows, F.try_parse_json("data"), rows.columns)
     used = rows.filter((c.string(c.get(V, "$.role")) == "assistant") & c.is_object(c.get(V, "$.tokens")))
     amount = lambda path: c.whole(c.number(c.get(V, path)))
     created = F.nullif(c.number(c.get(V, "$.time.created")), F.lit(0.0))

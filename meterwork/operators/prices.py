@@ -15,30 +15,27 @@ from ..functions.pricing import (
 )
 from .dedup import keep_first
 
-PRICE_STRUCT = "struct<" + ",".join(f"{f}:double" for f in PRICE_FIELDS) + ">"
+_SEED = {row[0]: row for row in STATIC_PRICES}
+_FREE = ("", 0.0, 0.0, None, None)
 
 
-def _literal(row) -> Column:
+def _literal(row) -> str:
+    """SQL text of a price struct: one call to the JVM per expression, however many rows the table has."""
     values = [*row[1:], None][: len(PRICE_FIELDS)]
-    return F.struct(*[F.lit(v).cast("double").alias(n) for n, v in zip(PRICE_FIELDS, values)])
+    fields = ", ".join(f"'{n}', CAST({'NULL' if v is None else v} AS DOUBLE)" for n, v in zip(PRICE_FIELDS, values))
+    return f"named_struct({fields})"
 
 
-_SEED = {row[0]: row for row in STATIC_PRICES}
-_FREE = ("", 0.0, 0.0, None, None)
-
-
-def static_prefix_price(model: Column) -> Column:
+def static_prefix_price(model: str = "model") -> Column:
     """Longest seed key the model starts with; NULL if none. A projection: no join, no shuffle."""
-    chain = None
-    for key in sorted(_SEED, key=len, reverse=True):
-        hit = model.startswith(key)
-        price = _literal(_SEED[key])
-        chain = F.when(hit, price) if chain is None else chain.when(hit, price)
-    return chain
+    cases = " ".join(
+        f"WHEN startswith({model}, '{key}') THEN {_literal(_SEED[key])}" for key in sorted(_SEED, key=len, reverse=True)
+    )
+    return F.expr(f"CASE {cases} END")
 
 
-def fallback_price(model: Column) -> Column:
-    return F.when(model.startswith(FALLBACK_PREFIX), _literal(_SEED[FALLBACK_KEY])).otherwise(_literal(_FREE))
+def fallback_price(model: str = "model") -> Column:
+    return F.expr(f"CASE WHEN startswith({model}, '{FALLBACK_PREFIX}') THEN {_literal(_SEED[FALLBACK_KEY])} ELSE {_literal(_FREE)} END")
 
 
 def resolve_live(models: DataFrame, live: DataFrame) -> DataFrame:
@@ -65,13 +62,12 @@ def with_price(df: DataFrame, live: DataFrame | None = None, models: DataFrame |
     on aggregated rows. With a live table, ``models`` (the distinct model names)
     saves computing ``df`` twice.
     """
-    model = F.col("model")
     if live is None:
-        return df.withColumn("price", F.coalesce(static_prefix_price(model), fallback_price(model)))
+        return df.withColumn("price", F.coalesce(static_prefix_price(), fallback_price()))
     resolved = resolve_live(df if models is None else models, live)
     return (
         df.join(resolved, "model", "left")
-        .withColumn("price", F.coalesce("exact", static_prefix_price(model), "prefix", fallback_price(model)))
+        .withColumn("price", F.coalesce("exact", static_prefix_price(), "prefix", fallback_price()))
         .drop("exact", "prefix")
     )
 

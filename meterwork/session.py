@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # Call-site capture costs more than planning for wide expressions.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 _LOCAL_ROOT: list[str] = []

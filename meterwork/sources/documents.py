@@ -12,8 +12,7 @@ from ..operators.usage import Facts
 from .lines import explode_nodes, parsed
 from .records import PLACE, complete, no_tools, record, records_to_facts, sessions_of
 
-V = F.col("v")
-FILE = F.col("file")
+V = "v"
 
 
 def droid(documents: DataFrame) -> Facts:
@@ -23,7 +22,7 @@ def droid(documents: DataFrame) -> Facts:
     rows = used.select(
         *record(
             "droid",
-            FILE,
+            F.col("file"),
             F.coalesce(c.text(c.get(V, "$.model")), F.lit("droid-unknown")),
             F.coalesce(c.text(c.get(V, "$.updatedAt")), c.text(c.get(V, "$.createdAt")), F.col("mtime")),
             None,
@@ -46,7 +45,7 @@ def codebuff(documents: DataFrame, dedup: bool = False) -> Facts:
     rows = used.select(
         *record(
             "codebuff",
-            FILE,
+            F.col("file"),
             F.coalesce(c.text(c.get(V, "$.metadata.model")), F.lit("codebuff-unknown")),
             F.coalesce(c.text(c.get(V, "$.timestamp")), F.col("mtime")),
             F.coalesce(*[c.text(c.get(V, f"$.{k}")) for k in ("id", "messageId", "message_id")]),
@@ -63,7 +62,7 @@ def amp(documents: DataFrame) -> Facts:
     """Ledger events with cache tokens of the message they point at, else assistant messages."""
     docs = parsed(documents).select(
         *PLACE,
-        F.coalesce(c.text(c.get(V, "$.id")), FILE).alias("session"),
+        F.coalesce(c.text(c.get(V, "$.id")), F.col("file")).alias("session"),
         c.elements(c.get(V, "$.messages")).alias("messages"),
         c.elements(c.get(V, "$.usageLedger.events")).alias("events"),
     )

@@ -14,8 +14,7 @@ from ..session import stage
 from .lines import explode_nodes, parsed
 from .records import PLACE, record, records_to_facts
 
-V = F.col("v")
-FILE = F.col("file")
+V = "v"
 
 # Field names each log format uses, first match wins.
 GEMINI_INPUT = ["input", "prompt", "input_tokens", "prompt_tokens"]
@@ -55,7 +54,7 @@ def gemini(lines: DataFrame, documents: DataFrame | None = None) -> Facts:
     rows = used.select(
         *record(
             "gemini",
-            FILE,
+            F.col("file"),
             F.coalesce(c.text(c.get(V, "$.model")), F.col("doc_model"), F.lit("gemini-unknown")),
             c.text(c.get(V, "$.timestamp")),
             _first_text("$.id", "$.messageId", "$.message_id", "$.responseId"),
@@ -74,7 +73,7 @@ def qwen(lines: DataFrame) -> Facts:
     rows = used.select(
         *record(
             "qwen",
-            FILE,
+            F.col("file"),
             F.coalesce(c.text(c.get(V, "$.model")), F.lit("qwen-unknown")),
             c.text(c.get(V, "$.timestamp")),
             _first_text("$.id", "$.messageId", "$.message_id"),
@@ -92,7 +91,7 @@ def pi(lines: DataFrame) -> Facts:
     rows = used.select(
         *record(
             "pi",
-            FILE,
+            F.col("file"),
             F.coalesce(c.text(c.get(V, "$.message.model")), F.lit("pi-unknown")),
             c.text(c.get(V, "$.timestamp")),
             _first_text("$.message.id", "$.id", "$.message.messageId"),
@@ -128,7 +127,7 @@ def openclaw(lines: DataFrame, chunk=None) -> Facts:
     records = sticky.filter("used").select(
         *record(
             "openclaw",
-            FILE,
+            F.col("file"),
             F.coalesce("own_model", "current", F.lit("openclaw-unknown")),
             F.col("ts_raw"),
             F.col("event_id"),
@@ -159,7 +158,7 @@ def kimi(lines: DataFrame) -> Facts:
     rows = found.select(
         *record(
             "kimi",
-            FILE,
+            F.col("file"),
             F.coalesce(c.text(c.get("line", "$.model")), F.lit("kimi-unknown")),
             c.text(c.get("line", "$.timestamp")),
             F.coalesce(*[c.text(c.get(host, f"$.{k}")) for k in ("messageId", "message_id", "id")]),

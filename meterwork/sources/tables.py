@@ -10,7 +10,7 @@ from ..functions.times import iso, iso_from_ms
 from ..operators.usage import Facts
 from .records import record, records_to_facts
 
-V = F.col("v")
+V = "v"
 
 
 def _rows(table: DataFrame) -> DataFrame:

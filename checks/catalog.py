@@ -1,6 +1,6 @@
 """All registered queries and the SQL that must give the same rows."""
 
-from . import reports
+from . import reports, sources
 
-QUERIES = {**reports.QUERIES}
-SQL = {**reports.SQL}
+QUERIES = {**sources.QUERIES, **reports.QUERIES}
+SQL = {**sources.SQL, **reports.SQL}

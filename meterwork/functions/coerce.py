@@ -108,20 +108,18 @@ def parse_once(df, value: Column, keep: list[str], name: str = "v"):
     return df.select(*keep, F.explode(F.array(value)).alias(name))
 
 
-def otel_value(attributes: Column, key: str) -> Column:
+def otel_value(node: Column) -> Column:
     """P10: an attribute that may be wrapped as {intValue|doubleValue|stringValue|value}."""
-    base = f"$['{key}']"
-    nodes = [get(attributes, f"{base}.{w}") for w in ("intValue", "doubleValue", "stringValue", "value")]
-    nodes.append(get(attributes, base))
-    return F.coalesce(*[F.when(kind(n) != "VOID", n) for n in nodes])
+    inner = [get(node, f"$.{w}") for w in ("intValue", "doubleValue", "stringValue", "value")]
+    return F.coalesce(*[F.when(kind(n) != "VOID", n) for n in [*inner, node]])
 
 
-def otel_text(attributes: Column, keys: list[str]) -> Column:
-    """First attribute that is non-empty text or a number (as text)."""
+def otel_text(nodes: list[Column]) -> Column:
+    """First unwrapped attribute that is non-empty text or a number (as text)."""
     def read(node: Column) -> Column:
         return F.when(kind(node).rlike("^(STRING|BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.nullif(F.try_variant_get(node, "$", "string"), F.lit("")))
 
-    return first([otel_value(attributes, k) for k in keys], read)
+    return first(nodes, read)
 
 
 def owner_of_keys(keys: list[str], depth: int = 6):

@@ -13,9 +13,9 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.variant.allowDuplicateKeys": "true",
-    # Call-site capture costs more than planning for wide expressions.
-    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
+# Settings a running session no longer takes: call-site capture costs more than planning for wide expressions.
+STARTUP_SETTINGS = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
 
 _LOCAL_ROOT: list[str] = []
 
@@ -24,7 +24,7 @@ def build_session(master: str | None = None, app: str = "meterwork", **extra: st
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**SETTINGS, **extra}.items():
+    for key, value in {**SETTINGS, **STARTUP_SETTINGS, **extra}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 

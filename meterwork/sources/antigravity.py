@@ -30,7 +30,7 @@ def read_conversations(spark: SparkSession, paths: str | list[str]) -> DataFrame
 
 def scan_text(conversations: DataFrame) -> DataFrame:
     """(conversation_id, model, turns, pos, text_chars) from ``content``; model '' marks turns without a readable name."""
-    latin = conversations.select("conversation_id", F.decode("content", F.lit("ISO-8859-1")).alias("t"))
+    latin = conversations.select("conversation_id", F.decode("content", "ISO-8859-1").alias("t"))
     # The look-ahead captures what follows each marker without consuming it, so windows may overlap.
     windows = F.regexp_extract_all("t", F.lit(MARKER + r"(?=([\s\S]{0,%d}))" % NAME_BYTES), F.lit(1))
     turns = latin.select("conversation_id", printable_chars(F.col("t")).alias("text_chars"), F.posexplode(windows).alias("pos", "w"))

@@ -22,6 +22,15 @@ GEMINI_OUTPUT = ["output", "candidates", "output_tokens", "candidates_tokens"]
 GEMINI_THOUGHTS = ["thoughts", "reasoning", "thoughts_tokens", "reasoning_tokens"]
 GEMINI_CACHED = ["cached", "cached_tokens"]
 KIMI_USAGE = ["inputOther", "input_other", "inputCacheRead", "input_cache_read"]
+COPILOT_COUNTS = [
+    "input_tokens",
+    "output_tokens",
+    "cache_read.input_tokens",
+    "cache_write.input_tokens",
+    "cache_creation.input_tokens",
+    "reasoning.output_tokens",
+    "reasoning_tokens",
+]
 COPILOT_MODELS = ["gen_ai.response.model", "gen_ai.request.model"]
 COPILOT_SESSIONS = [
     "gen_ai.conversation.id",
@@ -174,25 +183,36 @@ def kimi(lines: DataFrame) -> Facts:
 def copilot(lines: DataFrame) -> Facts:
     """Telemetry records; one inference may appear in several spans and files."""
     attrs = c.get(V, "$.attributes")
-
-    def amount(*names: str):
-        """First non-zero attribute of the given names."""
-        counts = [c.count(c.otel_value(attrs, f"gen_ai.usage.{n}")) for n in names]
-        return F.coalesce(*[F.nullif(x, F.lit(0)) for x in counts], F.lit(0).cast("bigint"))
-
-    rows = parsed(lines.filter(F.col("value").contains("attributes"))).filter(c.is_object(attrs)).select(
+    has_attributes = parsed(lines.filter(F.col("value").contains("attributes"))).filter(c.is_object(attrs))
+    usage = {n: f"gen_ai.usage.{n}" for n in COPILOT_COUNTS}
+    keys = {**usage, **{k: k for k in [*COPILOT_MODELS, *COPILOT_SESSIONS]}}
+    # One projection per step, so each step reads columns and not repeated expressions.
+    raw = has_attributes.select(
         *PLACE,
-        amount("input_tokens").alias("i"),
-        amount("output_tokens").alias("o"),
-        amount("cache_read.input_tokens").alias("r"),
-        amount("cache_write.input_tokens", "cache_creation.input_tokens").alias("w"),
-        amount("reasoning.output_tokens", "reasoning_tokens").alias("think"),
-        F.coalesce(c.otel_text(attrs, COPILOT_SESSIONS), F.lit("copilot")).alias("session"),
-        c.otel_text(attrs, ["gen_ai.response.id"]).alias("response"),
-        F.coalesce(c.otel_text(V, ["spanId"]), F.lit("")).alias("span"),
-        F.coalesce(c.otel_text(attrs, COPILOT_MODELS), F.lit("copilot-unknown")).alias("model"),
+        *[c.get(attrs, f"$['{k}']").alias(n) for n, k in keys.items()],
+        c.get(V, "$.spanId").alias("span_node"),
         F.coalesce(iso(c.get(V, "$.timestamp")), iso(c.get(V, "$.startTime"))).alias("ts_raw"),
     )
+    named = [*keys, "span_node"]
+    plain = raw.select(*PLACE, "ts_raw", *[c.otel_value(F.col(f"`{n}`")).alias(n) for n in named])
+    counted = plain.select(
+        *PLACE,
+        "ts_raw",
+        *[c.count(F.col(f"`{n}`")).alias(n.replace(".", "_")) for n in usage],
+        F.coalesce(c.otel_text([F.col(f"`{k}`") for k in COPILOT_SESSIONS]), F.lit("copilot")).alias("session"),
+        c.otel_text([F.col("`gen_ai.response.id`")]).alias("response"),
+        F.coalesce(c.otel_text([F.col("span_node")]), F.lit("")).alias("span"),
+        F.coalesce(c.otel_text([F.col(f"`{k}`") for k in COPILOT_MODELS]), F.lit("copilot-unknown")).alias("model"),
+    )
+    either = lambda a, b: F.when(F.col(a) != 0, F.col(a)).otherwise(F.col(b))
+    rows = counted.select(
+        "*",
+        F.col("input_tokens").alias("i"),
+        F.col("output_tokens").alias("o"),
+        F.col("cache_read_input_tokens").alias("r"),
+        either("cache_write_input_tokens", "cache_creation_input_tokens").alias("w"),
+        either("reasoning_output_tokens", "reasoning_tokens").alias("think"),
+    )
     # The zero test comes before reasoning tokens are added.
     used = rows.filter(F.col("i") + F.col("o") + F.col("r") + F.col("w") != 0)
     spanned = F.when(F.col("response").isNull(), F.struct("span", "session", "i", "o"))

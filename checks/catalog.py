@@ -1,6 +1,6 @@
 """All registered queries and the SQL that must give the same rows."""
 
-from . import reports, sources
+from . import reports, sources, streams
 
-QUERIES = {**sources.QUERIES, **reports.QUERIES}
-SQL = {**sources.SQL, **reports.SQL}
+QUERIES = {**sources.QUERIES, **reports.QUERIES, **streams.QUERIES}
+SQL = {**sources.SQL, **reports.SQL, **streams.SQL}

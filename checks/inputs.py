@@ -48,7 +48,10 @@ def _choose(column: Column, cases: dict[str, str]) -> Column:
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
     """Events with the usage columns all derivations share."""
-    raw = table(spark, sf, "events")
+    return events_from(table(spark, sf, "events"))
+
+
+def events_from(raw: DataFrame) -> DataFrame:
     k = F.regexp_extract("props", r"(\d+)", 1).cast("bigint")
     day = F.date_format("ts", "yyyy-MM-dd")
     base = raw.select(

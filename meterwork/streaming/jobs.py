@@ -1,0 +1,304 @@
+"""Structured Streaming jobs (R1-R6). Each has a batch operator as its twin.
+
+Logs must land as new files; the file source does not see appends. A stateful
+step writes a table and the next step reads it, so no query stacks two.
+"""
+
+from __future__ import annotations
+
+import datetime as dt
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from ..functions.measures import MEASURES, sums, total_tokens
+from ..functions.times import HOUR_MS
+from ..operators.blocks import BLOCK_MS, burn_level, burn_rate
+from ..operators.deltas import COUNTERS
+from ..operators.prices import with_cost
+
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+}
+
+
+def use_state_store(spark: SparkSession) -> None:
+    """Arbitrary stateful steps need the RocksDB state store."""
+    for key, value in STATE_STORE.items():
+        spark.conf.set(key, value)
+
+
+def stream_lines(spark: SparkSession, paths: str, glob: str = "*.jsonl", files_per_batch: int = 1000) -> DataFrame:
+    """New log files as a stream of placed lines, the input of every adapter's stateless stage."""
+    text = (
+        spark.readStream.option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", glob)
+        .option("maxFilesPerTrigger", files_per_batch)
+        .option("lineSep", "\n")
+        .text(paths)
+    )
+    return text.select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block_start"),
+        F.monotonically_increasing_id().alias("line_no"),
+        F.lit(0).cast("bigint").alias("pos"),
+        "value",
+        F.date_format("_metadata.file_modification_time", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("mtime"),
+    )
+
+
+def ingest(lines: DataFrame, parse: Callable[[DataFrame], DataFrame], table: str, checkpoint: str):
+    """Run an adapter's parser on each batch of whole files and append the rows to ``table``.
+
+    A file arrives whole in one batch, so file-local state (sticky models,
+    snapshots) is complete inside the batch. The batch id names the folder:
+    a repeated batch replaces its own output.
+    """
+    def land(batch: DataFrame, batch_id: int) -> None:
+        parse(batch).write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+
+    return lines.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+
+
+GROWTH = ["message_id", "file", "day", "model"]
+
+
+def growth_per_file(lines: DataFrame) -> DataFrame:
+    """R2 input: counted lines with a message id, reduced to one row of maxima per (id, file, day, model).
+
+    Meant for ``ingest``: it runs as a batch aggregation with map-side partial
+    maxima, so an id that fills a third of a batch reaches the stateful step as
+    one row per file. An id's total is its maximum whatever the grouping.
+    """
+    counted = lines.filter(F.col("counted") & F.col("message_id").isNotNull())
+    return counted.groupBy(*GROWTH).agg(F.min("line_no").alias("line_no"), *[F.max(c).alias(c) for c in COUNTERS])
+
+
+def lone_lines(lines: DataFrame) -> DataFrame:
+    """R2: counted lines without a message id need no state; each is a turn of its own."""
+    lone = lines.filter(F.col("counted") & F.col("message_id").isNull())
+    return lone.select(*GROWTH, "line_no", *COUNTERS, F.lit(1).cast("bigint").alias("turns"))
+
+
+class _Deltas(StatefulProcessor):
+    """Highest counters seen per message id."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        schema = T.StructType([T.StructField(c, T.LongType()) for c in COUNTERS])
+        self._high = handle.getValueState("high", schema)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        seen = self._high.exists()
+        high = dict(zip(COUNTERS, self._high.get())) if seen else dict.fromkeys(COUNTERS, 0)
+        # Batch by batch, so a long group is never held whole.
+        for pdf in rows:
+            pdf = pdf.sort_values(["file", "line_no"], ignore_index=True)
+            counts = pdf[COUNTERS].clip(lower=0)
+            before = counts.cummax().shift(fill_value=0).clip(lower=pd.Series(high), axis=1)
+            out = pdf.drop(columns=COUNTERS).assign(**(counts - before).clip(lower=0).astype("int64"))
+            out["turns"] = [0 if seen or i else 1 for i in range(len(out))]
+            seen = seen or len(out) > 0
+            high = {c: int(max(high[c], counts[c].max())) for c in COUNTERS}
+            yield out
+        self._high.update(tuple(high[c] for c in COUNTERS))
+
+    def close(self) -> None:
+        pass
+
+
+def message_deltas_stream(growth: DataFrame) -> DataFrame:
+    """R2: running-max deltas per message id, in order of arrival; reads the landed ``growth_per_file`` rows."""
+    out = T.StructType(
+        [T.StructField(c, T.StringType()) for c in GROWTH]
+        + [T.StructField("line_no", T.LongType())]
+        + [T.StructField(c, T.LongType()) for c in [*COUNTERS, "turns"]]
+    )
+    return (
+        growth.select(*GROWTH, "line_no", *COUNTERS)
+        .groupBy("message_id")
+        .transformWithStateInPandas(_Deltas(), outputStructType=out, outputMode="Append", timeMode="None")
+    )
+
+
+def first_of(stream: DataFrame, keys: list[str], event_time: str = "ts", delay: str = "1 day") -> DataFrame:
+    """Drop copies of a record, tool call or span that come within the watermark delay."""
+    return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys)
+
+
+def daily_usage_stream(usage: DataFrame, keys: list[str] | None = None, delay: str = "1 day", length: str = "1 day",
+                       slide: str | None = None) -> DataFrame:
+    """Usage per day and model; late rows within ``delay`` still count. A longer ``length`` with a
+    one-day ``slide`` gives the 7-day and 30-day views."""
+    window = F.window("ts", length, slide) if slide else F.window("ts", length)
+    return (
+        usage.withWatermark("ts", delay)
+        .groupBy(window.alias("w"), *(keys or []), "model")
+        .agg(*sums())
+        .select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), *(keys or []), "model", *MEASURES)
+    )
+
+
+class _Blocks(StatefulProcessor):
+    """The open block of a key; a closed one is emitted when a later bucket or the timer ends it."""
+
+    FIELDS = ["start", "end", "first_ts", "last_ts", "total_tokens", "late"]
+
+    def __init__(self, length_ms: int) -> None:
+        self._length = length_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        schema = T.StructType([T.StructField(f, T.LongType()) for f in self.FIELDS] + [T.StructField("cost_usd", T.DoubleType())])
+        self._open = handle.getValueState("open", schema)
+
+    def _load(self):
+        return list(self._open.get()) if self._open.exists() else None
+
+    def _frame(self, key, block, closed: bool) -> pd.DataFrame:
+        return pd.DataFrame(
+            {
+                "key": [key[0]],
+                "block_start": [block[0]],
+                "block_end": [block[1]],
+                "first_ts": [block[2]],
+                "last_ts": [block[3]],
+                "total_tokens": [block[4]],
+                "cost_usd": [block[6]],
+                "late_events": [block[5]],
+                "closed": [closed],
+            }
+        )
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        block, out = self._load(), []
+        pdf = pd.concat(rows, ignore_index=True).sort_values("bucket", ignore_index=True)
+        for r in pdf.itertuples(index=False):
+            if block is not None and r.bucket < block[0]:
+                # A boundary that was emitted cannot move; the batch job is the correction path.
+                block[5] += int(r.events)
+                continue
+            if block is None or r.bucket >= block[1]:
+                if block is not None:
+                    out.append(self._frame(key, block, True))
+                start = int(r.bucket // HOUR_MS * HOUR_MS)
+                block = [start, start + self._length, int(r.first_ts), int(r.last_ts), 0, 0, 0.0]
+            block[2], block[3] = min(block[2], int(r.first_ts)), max(block[3], int(r.last_ts))
+            block[4] += int(r.total_tokens)
+            block[6] += float(r.cost_usd)
+        if block is not None:
+            self._open.update(tuple(block))
+            if timerValues.getCurrentWatermarkInMs() >= 0:
+                self._handle.registerTimer(block[1])
+        if out:
+            yield pd.concat(out, ignore_index=True)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        block = self._load()
+        # A timer of a block that later input already closed finds another block open.
+        if block is not None and block[1] <= expiredTimerInfo.getExpiryTimeInMs():
+            self._open.clear()
+            yield self._frame(key, block, True)
+
+    def close(self) -> None:
+        pass
+
+
+BLOCK_DDL = (
+    "key string, block_start bigint, block_end bigint, first_ts bigint, last_ts bigint, "
+    "total_tokens bigint, cost_usd double, late_events bigint, closed boolean"
+)
+
+
+def block_stream(buckets: DataFrame, length_ms: int = BLOCK_MS) -> DataFrame:
+    """Anchored blocks from hourly usage buckets.
+
+    ``buckets`` comes from a landed hourly table (key, ts, bucket, first_ts,
+    last_ts, events, total_tokens, cost_usd): a key sends at most one row per
+    bucket, model and batch, however many events it has.
+    """
+    return (
+        buckets.withWatermark("ts", "1 hour")
+        .groupBy("key")
+        .transformWithStateInPandas(_Blocks(length_ms), outputStructType=BLOCK_DDL, outputMode="Append", timeMode="EventTime")
+    )
+
+
+def hourly_rows(usage: DataFrame, key: Column, length_ms: int = BLOCK_MS, live: DataFrame | None = None) -> DataFrame:
+    """R5 input for one landed batch of usage (a static DataFrame): priced hourly buckets."""
+    from ..operators.blocks import hourly_buckets
+
+    summed = hourly_buckets(usage.withColumn("key", key), ["key"], length_ms)
+    events = F.col("turns").alias("events")
+    return with_cost(summed, live).select(
+        "key",
+        F.timestamp_millis("last_ts").alias("ts"),
+        "bucket",
+        "first_ts",
+        "last_ts",
+        events,
+        total_tokens().alias("total_tokens"),
+        "cost_usd",
+    )
+
+
+def live_view(daily: DataFrame, blocks: DataFrame, today: str, now_ms: int, live: DataFrame | None = None) -> DataFrame:
+    """Spend today, tokens of the active block and its pace, per key.
+
+    daily(key, day, model, measures) and blocks as the batch operators give them.
+    """
+    priced = with_cost(daily.filter(F.col("day") == today), live)
+    spent = priced.groupBy("key").agg(F.sum("cost_usd").alias("today_usd"))
+    pace = burn_rate(blocks, now_ms).select(
+        "key",
+        F.col("cost_usd").alias("block_usd"),
+        "remaining_ms",
+        "tokens_per_minute",
+        "cost_per_hour",
+        burn_level(F.col("tokens_per_minute")).alias("level"),
+    )
+    return spent.join(pace, "key", "full_outer").withColumn("today_usd", F.coalesce("today_usd", F.lit(0.0)))
+
+
+def live_job(usage_stream: DataFrame, state_table: str, view_table: str, checkpoint: str, now: dt.datetime):
+    """Keep hourly usage per key as a partial table and rewrite the view after every batch.
+
+    Each batch writes its own sums (replacing them if it is repeated), split by
+    day; the view adds the partial rows since the live cutoff (S25) and reads
+    no older day.
+    """
+    from ..operators.blocks import build_blocks
+    from ..sources.lines import live_cutoff
+
+    now_ms = int(now.replace(tzinfo=dt.timezone.utc).timestamp() * 1000)
+    cutoff = dt.datetime.fromisoformat(live_cutoff(now)).replace(tzinfo=dt.timezone.utc)
+
+    def update(batch: DataFrame, batch_id: int) -> None:
+        hour = F.floor(F.col("ts_ms") / HOUR_MS) * HOUR_MS
+        partial = batch.groupBy("key", "day", "model", hour.alias("hour_ms")).agg(*sums(), F.min("ts_ms").alias("ts_ms"))
+        partial.write.mode("overwrite").partitionBy("day").parquet(f"{state_table}/batch={batch_id}")
+        schema = partial.schema.add("batch", T.IntegerType())
+        recent = (F.col("day") >= cutoff.strftime("%Y-%m-%d")) & (F.col("ts_ms") >= int(cutoff.timestamp() * 1000))
+        known = batch.sparkSession.read.schema(schema).parquet(state_table).filter(recent)
+        daily = known.groupBy("key", "day", "model").agg(*sums())
+        blocks = build_blocks(known, ["key"], now_ms)
+        live_view(daily, blocks, now.strftime("%Y-%m-%d"), now_ms).write.mode("overwrite").parquet(view_table)
+
+    return usage_stream.writeStream.foreachBatch(update).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+
+
+def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """Process everything available, append it to a Parquet table and read the table back."""
+    query = (
+        stream.writeStream.format("parquet")
+        .outputMode(mode)
+        .option("path", path)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from meterwork.functions.measures import MEASURES, zero
 from meterwork.functions.pricing import FALLBACK_KEY, FALLBACK_PREFIX, STATIC_PRICES
+from meterwork.sources.lines import spread
 from meterwork.operators.usage import SESSION_COLUMNS, TOOL_COLUMNS, USAGE_COLUMNS, Facts, cubes
 
 ISO = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
@@ -48,7 +49,7 @@ def _choose(column: Column, cases: dict[str, str]) -> Column:
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
     """Events with the usage columns all derivations share."""
-    return events_from(table(spark, sf, "events"))
+    return events_from(spread(table(spark, sf, "events")))
 
 
 def events_from(raw: DataFrame) -> DataFrame:

@@ -35,6 +35,14 @@ def is_object(node: Column) -> Column:
     return F.try_variant_get(node, "$", "struct<_ variant>").isNotNull()
 
 
+def fields(node: Column | str, names: list[str]) -> Column:
+    """Several fields of an object at once, as a struct of nodes; NULL if the node is no object.
+
+    One pass over the object instead of one path walk per field.
+    """
+    return F.try_variant_get(node, "$", "struct<" + ", ".join(f"`{n}` variant" for n in names) + ">")
+
+
 def elements(node: Column) -> Column:
     """ARRAY<VARIANT> of an array node, else NULL."""
     return F.try_variant_get(node, "$", "array<variant>")
@@ -111,7 +119,8 @@ def parse_once(df, value: Column, keep: list[str], name: str = "v"):
 def otel_value(node: Column) -> Column:
     """P10: an attribute that may be wrapped as {intValue|doubleValue|stringValue|value}."""
     inner = [get(node, f"$.{w}") for w in ("intValue", "doubleValue", "stringValue", "value")]
-    return F.coalesce(*[F.when(kind(n) != "VOID", n) for n in [*inner, node]])
+    unwrapped = F.coalesce(*[F.when(kind(n) != "VOID", n) for n in inner], node)
+    return F.when(is_object(node), unwrapped).otherwise(F.when(kind(node) != "VOID", node))
 
 
 def otel_text(nodes: list[Column]) -> Column:

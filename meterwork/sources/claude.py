@@ -17,73 +17,85 @@ from ..session import stage
 
 AGENT = "claude"
 SYNTHETIC = "<synthetic>"
+USAGE_FIELDS = ["input_tokens", "cache_creation_input_tokens", "cache_read_input_tokens", "output_tokens"]
 
 
-def _optional_string(node: Column) -> Column:
-    return c.absent(node) | c.is_string(node)
+def _optional_string(node: str) -> Column:
+    return c.absent(F.col(node)) | c.is_string(F.col(node))
 
 
-def _valid(v: Column) -> Column:
-    """The structure an assistant line must have; wrong numbers are forgiven, wrong shapes are not."""
-    usage, content = c.get(v, "$.message.usage"), c.get(v, "$.message.content")
-    creation = c.get(v, "$.message.usage.cache_creation")
+def _opened(lines: DataFrame) -> DataFrame:
+    """Lines as structs of nodes: ``s`` the line, ``m`` its message, ``u`` the usage, ``h`` the cache split, ``blocks`` the content."""
+    rows = c.parse_once(lines, F.try_parse_json("value"), ORDER)
+    line = rows.select(*ORDER, c.fields("v", ["type", "cwd", "timestamp", "message"]).alias("s"))
+    message = line.select("*", c.fields("s.message", ["id", "model", "usage", "content"]).alias("m"))
+    usage = message.select(
+        "*",
+        c.fields("m.usage", [*USAGE_FIELDS, "cache_creation"]).alias("u"),
+        F.transform(c.elements(F.col("m.content")), lambda b: c.fields(b, ["type", "id", "name"])).alias("blocks"),
+    )
+    return usage.select("*", c.fields("u.cache_creation", ["ephemeral_1h_input_tokens"]).alias("h"))
+
 
+def _valid() -> Column:
+    """The structure an assistant line must have; wrong numbers are forgiven, wrong shapes are not."""
     def block_ok(b: Column) -> Column:
-        return (
-            c.is_string(c.get(b, "$.type"))
-            & _optional_string(c.get(b, "$.id"))
-            & _optional_string(c.get(b, "$.name"))
-        )
+        id_ok = b["id"].isNull() | c.is_string(b["id"])
+        return b.isNotNull() & c.is_string(b["type"]) & id_ok & (b["name"].isNull() | c.is_string(b["name"]))
 
-    blocks = F.coalesce(F.forall(c.elements(content), block_ok), F.lit(False))
+    has = lambda x: F.col(x).isNotNull()
     return (
-        F.coalesce(c.string(c.get(v, "$.type")) == "assistant", F.lit(False))
-        & c.is_object(c.get(v, "$.message"))
-        & _optional_string(c.get(v, "$.cwd"))
-        & _optional_string(c.get(v, "$.timestamp"))
-        & _optional_string(c.get(v, "$.message.id"))
-        & _optional_string(c.get(v, "$.message.model"))
-        & (c.absent(usage) | c.is_object(usage))
-        & (c.missing_or_null(creation) | c.is_object(creation))
-        & (c.absent(content) | blocks)
+        has("m")
+        & F.coalesce(c.string(F.col("s.type")) == "assistant", F.lit(False))
+        & _optional_string("s.cwd")
+        & _optional_string("s.timestamp")
+        & _optional_string("m.id")
+        & _optional_string("m.model")
+        & (~has("m.usage") | has("u"))
+        & (~has("u.cache_creation") | has("h") | c.missing_or_null(F.col("u.cache_creation")))
+        & (~has("m.content") | F.coalesce(F.forall("blocks", block_ok), F.lit(False)))
     )
 
 
-def _counter(v: Column, path: str) -> Column:
-    return c.whole(c.number(c.get(v, f"$.message.usage.{path}")))
+def _counter(node: str) -> Column:
+    return c.whole(c.number(F.col(node)))
 
 
 def assistant_lines(lines: DataFrame, zone: str | None = None) -> DataFrame:
     """Assistant lines as narrow typed rows; ``tools`` holds their tool calls.
 
-    The substring test runs before the JSON parser sees the line.
+    The substring test runs before the JSON parser sees the line, and the
+    validity test is the last step, on columns that are already there.
     """
-    v = F.col("v")
     candidates = lines.filter((F.length("value") >= 2) & F.col("value").contains("assistant"))
-    rows = c.parse_once(candidates, F.try_parse_json("value"), ORDER).filter(F.col("v").isNotNull()).filter(_valid(v))
-    tool_blocks = F.filter(
-        c.elements(c.get(v, "$.message.content")),
-        lambda b: (c.string(c.get(b, "$.type")) == "tool_use") & c.text(c.get(b, "$.name")).isNotNull(),
-    )
-    ts = c.text(c.get(v, "$.timestamp"))
-    model = F.coalesce(c.string(c.get(v, "$.message.model")), F.lit("unknown"))
-    return rows.select(
+    calls = F.transform("blocks", lambda b: F.struct(
+        c.text(b["id"]).alias("call_id"),
+        F.when(c.string(b["type"]) == "tool_use", c.text(b["name"])).alias("tool_name"),
+    ))
+    model = F.coalesce(c.string(F.col("m.model")), F.lit("unknown"))
+    typed = _opened(candidates).select(
         *ORDER,
-        c.text(c.get(v, "$.cwd")).alias("cwd"),
-        ts.alias("ts_raw"),
-        day_key(ts, zone).alias("day"),
-        c.text(c.get(v, "$.message.id")).alias("message_id"),
+        _valid().alias("valid"),
+        c.text(F.col("s.cwd")).alias("cwd"),
+        c.text(F.col("s.timestamp")).alias("ts_raw"),
+        c.text(F.col("m.id")).alias("message_id"),
         model.alias("model"),
-        (c.is_object(c.get(v, "$.message.usage")) & (model != SYNTHETIC)).alias("counted"),
-        _counter(v, "input_tokens").alias("input_tokens"),
-        _counter(v, "cache_read_input_tokens").alias("cache_read_tokens"),
-        _counter(v, "cache_creation_input_tokens").alias("cache_write_tokens"),
-        _counter(v, "cache_creation.ephemeral_1h_input_tokens").alias("cache_write_1h_tokens"),
-        _counter(v, "output_tokens").alias("output_tokens"),
-        F.transform(
-            tool_blocks,
-            lambda b: F.struct(c.text(c.get(b, "$.id")).alias("call_id"), c.text(c.get(b, "$.name")).alias("tool_name")),
-        ).alias("tools"),
+        F.col("u").isNotNull().alias("has_usage"),
+        _counter("u.input_tokens").alias("input_tokens"),
+        _counter("u.cache_read_input_tokens").alias("cache_read_tokens"),
+        _counter("u.cache_creation_input_tokens").alias("cache_write_tokens"),
+        _counter("h.ephemeral_1h_input_tokens").alias("cache_write_1h_tokens"),
+        _counter("u.output_tokens").alias("output_tokens"),
+        calls.alias("calls"),
+    )
+    names = [x for x in typed.columns if x not in ("valid", "has_usage", "calls")]
+    # Generators keep the columns computed once; the filter then reads one boolean.
+    kept = typed.select(F.explode(F.array(F.struct(*typed.columns))).alias("r")).filter("r.valid").select("r.*")
+    return kept.select(
+        *names,
+        day_key(F.col("ts_raw"), zone).alias("day"),
+        (F.col("has_usage") & (F.col("model") != SYNTHETIC)).alias("counted"),
+        F.filter("calls", lambda t: t["tool_name"].isNotNull()).alias("tools"),
     )
 
 

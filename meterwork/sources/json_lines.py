@@ -42,12 +42,18 @@ COPILOT_SESSIONS = [
 ]
 
 
-def _first_text(*paths: str):
-    return F.coalesce(*[c.text(c.get(V, p)) for p in paths])
+def _first_text(*columns: str):
+    return F.coalesce(*[c.text(F.col(x)) for x in columns])
 
 
-def _count(base: str, keys: list[str]):
-    return c.count(*[c.get(V, f"{base}.{k}") for k in keys])
+def _count(owner: str, keys: list[str]):
+    return c.count(*[F.col(f"{owner}.{k}") for k in keys])
+
+
+def _open(df: DataFrame, keep: list[str], **objects) -> DataFrame:
+    """Add struct columns of the named fields, one level per call, and keep rows where the last one is an object."""
+    opened = df.select(*keep, *[c.fields(node, names).alias(n) for n, (node, names) in objects.items()])
+    return opened.filter(F.col(list(objects)[-1]).isNotNull())
 
 
 def gemini(lines: DataFrame, documents: DataFrame | None = None) -> Facts:
@@ -59,17 +65,20 @@ def gemini(lines: DataFrame, documents: DataFrame | None = None) -> Facts:
         messages = explode_nodes(docs, c.elements(c.get(V, "$.messages")), keep)
         last = docs.withColumn("pos", F.lit((1 << 62)))
         nodes = nodes.unionByName(messages.select(*nodes.columns)).unionByName(last.select(*nodes.columns))
-    used = nodes.filter(c.is_object(c.get(V, "$.tokens")))
+    top = ["model", "timestamp", "id", "messageId", "message_id", "responseId", "tokens"]
+    level1 = _open(nodes, [*PLACE, "doc_model"], s=(V, top))
+    counters = [*GEMINI_INPUT, *GEMINI_OUTPUT, *GEMINI_THOUGHTS, *GEMINI_CACHED]
+    used = _open(level1, [*PLACE, "doc_model", "s"], t=("s.tokens", counters))
     rows = used.select(
         *record(
             "gemini",
             F.col("file"),
-            F.coalesce(c.text(c.get(V, "$.model")), F.col("doc_model"), F.lit("gemini-unknown")),
-            c.text(c.get(V, "$.timestamp")),
-            _first_text("$.id", "$.messageId", "$.message_id", "$.responseId"),
-            _count("$.tokens", GEMINI_INPUT),
-            _count("$.tokens", GEMINI_OUTPUT) + _count("$.tokens", GEMINI_THOUGHTS),
-            _count("$.tokens", GEMINI_CACHED),
+            F.coalesce(c.text(F.col("s.model")), F.col("doc_model"), F.lit("gemini-unknown")),
+            c.text(F.col("s.timestamp")),
+            _first_text("s.id", "s.messageId", "s.message_id", "s.responseId"),
+            _count("t", GEMINI_INPUT),
+            _count("t", GEMINI_OUTPUT) + _count("t", GEMINI_THOUGHTS),
+            _count("t", GEMINI_CACHED),
         )
     )
     return records_to_facts(rows, dedup=True)
@@ -77,17 +86,20 @@ def gemini(lines: DataFrame, documents: DataFrame | None = None) -> Facts:
 
 def qwen(lines: DataFrame) -> Facts:
     """The prompt count includes the cached part."""
-    used = parsed(lines.filter(F.col("value").contains("usageMetadata"))).filter(c.is_object(c.get(V, "$.usageMetadata")))
-    cached = _count("$.usageMetadata", ["cachedContentTokenCount"])
+    lines = parsed(lines.filter(F.col("value").contains("usageMetadata")))
+    level1 = _open(lines, PLACE, s=(V, ["model", "timestamp", "id", "messageId", "message_id", "usageMetadata"]))
+    counters = ["promptTokenCount", "candidatesTokenCount", "thoughtsTokenCount", "cachedContentTokenCount"]
+    used = _open(level1, [*PLACE, "s"], t=("s.usageMetadata", counters))
+    cached = _count("t", ["cachedContentTokenCount"])
     rows = used.select(
         *record(
             "qwen",
             F.col("file"),
-            F.coalesce(c.text(c.get(V, "$.model")), F.lit("qwen-unknown")),
-            c.text(c.get(V, "$.timestamp")),
-            _first_text("$.id", "$.messageId", "$.message_id"),
-            F.greatest(F.lit(0), _count("$.usageMetadata", ["promptTokenCount"]) - cached),
-            _count("$.usageMetadata", ["candidatesTokenCount"]) + _count("$.usageMetadata", ["thoughtsTokenCount"]),
+            F.coalesce(c.text(F.col("s.model")), F.lit("qwen-unknown")),
+            c.text(F.col("s.timestamp")),
+            _first_text("s.id", "s.messageId", "s.message_id"),
+            F.greatest(F.lit(0), _count("t", ["promptTokenCount"]) - cached),
+            _count("t", ["candidatesTokenCount"]) + _count("t", ["thoughtsTokenCount"]),
             cached,
         )
     )
@@ -96,18 +108,17 @@ def qwen(lines: DataFrame) -> Facts:
 
 def pi(lines: DataFrame) -> Facts:
     """S11."""
-    used = parsed(lines.filter(F.col("value").contains("usage"))).filter(c.is_object(c.get(V, "$.message.usage")))
+    level1 = _open(parsed(lines.filter(F.col("value").contains("usage"))), PLACE, s=(V, ["timestamp", "id", "message"]))
+    level2 = _open(level1, [*PLACE, "s"], m=("s.message", ["model", "id", "messageId", "usage"]))
+    used = _open(level2, [*PLACE, "s", "m"], t=("m.usage", ["input", "output", "cacheRead", "cacheWrite"]))
     rows = used.select(
         *record(
             "pi",
             F.col("file"),
-            F.coalesce(c.text(c.get(V, "$.message.model")), F.lit("pi-unknown")),
-            c.text(c.get(V, "$.timestamp")),
-            _first_text("$.message.id", "$.id", "$.message.messageId"),
-            _count("$.message.usage", ["input"]),
-            _count("$.message.usage", ["output"]),
-            _count("$.message.usage", ["cacheRead"]),
-            _count("$.message.usage", ["cacheWrite"]),
+            F.coalesce(c.text(F.col("m.model")), F.lit("pi-unknown")),
+            c.text(F.col("s.timestamp")),
+            _first_text("m.id", "s.id", "m.messageId"),
+            *[_count("t", [k]) for k in ("input", "output", "cacheRead", "cacheWrite")],
         )
     )
     return records_to_facts(rows, dedup=True)
@@ -115,20 +126,23 @@ def pi(lines: DataFrame) -> Facts:
 
 def openclaw(lines: DataFrame, chunk=None) -> Facts:
     """A model line names the model of the lines after it; a message's own model wins."""
-    line_type = c.string(c.get(V, "$.type"))
-    sets_model = F.coalesce(line_type.isin("model_change", "model-snapshot"), F.lit(False))
+    level1 = _open(parsed(lines), ORDER, s=(V, ["type", "timestamp", "id", "modelId", "model", "data", "message"]))
+    opened = level1.select(
+        *ORDER,
+        "s",
+        c.fields("s.data", ["modelId", "model"]).alias("d"),
+        c.fields("s.message", ["modelId", "model", "timestamp", "id", "messageId", "usage"]).alias("m"),
+    ).select("*", c.fields("m.usage", ["input", "output", "cacheRead", "cacheWrite"]).alias("t"))
+    sets_model = F.coalesce(c.string(F.col("s.type")).isin("model_change", "model-snapshot"), F.lit(False))
     rows = stage(
-        parsed(lines).select(
+        opened.select(
             *ORDER,
-            F.when(sets_model, _first_text("$.data.modelId", "$.data.model", "$.modelId", "$.model")).alias("set_model"),
-            (~sets_model & c.is_object(c.get(V, "$.message.usage"))).alias("used"),
-            _first_text("$.message.modelId", "$.message.model").alias("own_model"),
-            _first_text("$.message.timestamp", "$.timestamp").alias("ts_raw"),
-            _first_text("$.message.id", "$.id", "$.message.messageId").alias("event_id"),
-            _count("$.message.usage", ["input"]).alias("i"),
-            _count("$.message.usage", ["output"]).alias("o"),
-            _count("$.message.usage", ["cacheRead"]).alias("r"),
-            _count("$.message.usage", ["cacheWrite"]).alias("w"),
+            F.when(sets_model, _first_text("d.modelId", "d.model", "s.modelId", "s.model")).alias("set_model"),
+            (~sets_model & F.col("t").isNotNull()).alias("used"),
+            _first_text("m.modelId", "m.model").alias("own_model"),
+            _first_text("m.timestamp", "s.timestamp").alias("ts_raw"),
+            _first_text("m.id", "s.id", "m.messageId").alias("event_id"),
+            *[_count("t", [k]).alias(n) for k, n in (("input", "i"), ("output", "o"), ("cacheRead", "r"), ("cacheWrite", "w"))],
         ).filter("set_model IS NOT NULL OR used"),
         "openclaw-lines",
     )
@@ -163,18 +177,20 @@ def kimi(lines: DataFrame) -> Facts:
     ).filter("usage IS NOT NULL")
     nodes = F.struct(*[F.try_parse_json(x).alias(n) for x, n in (("value", "line"), ("usage", "v"), ("id_owner", "host"))])
     found = c.parse_once(found, nodes, PLACE, "n").select(*PLACE, "n.*")
-    host = F.col("host")
-    rows = found.select(
+    counters = ["inputOther", "input_other", "output", "inputCacheRead", "input_cache_read", "inputCacheCreation", "input_cache_creation"]
+    ids = ["messageId", "message_id", "id"]
+    opened = _open(found, PLACE, s=("line", ["model", "timestamp"]), h=("host", ids), t=("v", counters))
+    rows = opened.select(
         *record(
             "kimi",
             F.col("file"),
-            F.coalesce(c.text(c.get("line", "$.model")), F.lit("kimi-unknown")),
-            c.text(c.get("line", "$.timestamp")),
-            F.coalesce(*[c.text(c.get(host, f"$.{k}")) for k in ("messageId", "message_id", "id")]),
-            _count("$", ["inputOther", "input_other"]),
-            _count("$", ["output"]),
-            _count("$", ["inputCacheRead", "input_cache_read"]),
-            _count("$", ["inputCacheCreation", "input_cache_creation"]),
+            F.coalesce(c.text(F.col("s.model")), F.lit("kimi-unknown")),
+            c.text(F.col("s.timestamp")),
+            _first_text(*[f"h.{k}" for k in ids]),
+            _count("t", ["inputOther", "input_other"]),
+            _count("t", ["output"]),
+            _count("t", ["inputCacheRead", "input_cache_read"]),
+            _count("t", ["inputCacheCreation", "input_cache_creation"]),
         )
     )
     return records_to_facts(rows, dedup=True)
@@ -182,16 +198,16 @@ def kimi(lines: DataFrame) -> Facts:
 
 def copilot(lines: DataFrame) -> Facts:
     """Telemetry records; one inference may appear in several spans and files."""
-    attrs = c.get(V, "$.attributes")
-    has_attributes = parsed(lines.filter(F.col("value").contains("attributes"))).filter(c.is_object(attrs))
     usage = {n: f"gen_ai.usage.{n}" for n in COPILOT_COUNTS}
     keys = {**usage, **{k: k for k in [*COPILOT_MODELS, *COPILOT_SESSIONS]}}
+    level1 = _open(parsed(lines.filter(F.col("value").contains("attributes"))), PLACE, s=(V, ["attributes", "spanId", "timestamp", "startTime"]))
+    opened = _open(level1, [*PLACE, "s"], a=("s.attributes", list(dict.fromkeys(keys.values()))))
     # One projection per step, so each step reads columns and not repeated expressions.
-    raw = has_attributes.select(
+    raw = opened.select(
         *PLACE,
-        *[c.get(attrs, f"$['{k}']").alias(n) for n, k in keys.items()],
-        c.get(V, "$.spanId").alias("span_node"),
-        F.coalesce(iso(c.get(V, "$.timestamp")), iso(c.get(V, "$.startTime"))).alias("ts_raw"),
+        *[F.col(f"a.`{k}`").alias(n) for n, k in keys.items()],
+        F.col("s.spanId").alias("span_node"),
+        F.coalesce(iso(F.col("s.timestamp")), iso(F.col("s.startTime"))).alias("ts_raw"),
     )
     named = [*keys, "span_node"]
     plain = raw.select(*PLACE, "ts_raw", *[c.otel_value(F.col(f"`{n}`")).alias(n) for n in named])

@@ -48,6 +48,15 @@ def read_documents(spark: SparkSession, paths: str | list[str], glob: str | None
     return _placed(_reader(spark, glob, modified_after).text(paths, wholetext=True))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a source with fewer splits than cores (one file, one row group) work for all of them.
+
+    Sources with enough splits, which is every large one, pass through without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def live_cutoff(now: dt.datetime) -> str:
     """Lower bound of file times for the live view, the earlier of six hours ago and just before midnight."""
     since_midnight = (now - now.replace(hour=0, minute=0, second=0, microsecond=0)).total_seconds() * 1000

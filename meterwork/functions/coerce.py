@@ -54,7 +54,7 @@ def absent(node: Column) -> Column:
 
 
 def missing_or_null(node: Column) -> Column:
-    return F.coalesce(kind(node) == "VOID", F.lit(True))
+    return node.isNull() | F.is_variant_null(node)
 
 
 def is_string(node: Column) -> Column:
@@ -82,8 +82,8 @@ def number(node: Column) -> Column:
 
 def lenient_number(node: Column) -> Column:
     """A number, or text that reads as one (blank text reads as 0)."""
-    filled = F.regexp_replace(F.to_json(node), _BLANK, "0")
-    return F.regexp_extract(filled, _NUMBER, 1).try_cast("double")
+    text_ = F.to_json(node)
+    return F.coalesce(F.regexp_extract(text_, _NUMBER, 1).try_cast("double"), F.when(text_.rlike(_BLANK), F.lit(0.0)))
 
 
 def whole(value: Column) -> Column:
@@ -119,8 +119,8 @@ def parse_once(df, value: Column, keep: list[str], name: str = "v"):
 def otel_value(node: Column) -> Column:
     """P10: an attribute that may be wrapped as {intValue|doubleValue|stringValue|value}."""
     inner = [get(node, f"$.{w}") for w in ("intValue", "doubleValue", "stringValue", "value")]
-    unwrapped = F.coalesce(*[F.when(kind(n) != "VOID", n) for n in inner], node)
-    return F.when(is_object(node), unwrapped).otherwise(F.when(kind(node) != "VOID", node))
+    unwrapped = F.coalesce(*[F.when(~F.is_variant_null(n), n) for n in inner], node)
+    return F.when(is_object(node), unwrapped).otherwise(F.when(~F.is_variant_null(node), node))
 
 
 def otel_text(nodes: list[Column]) -> Column:

@@ -133,13 +133,16 @@ def rollout_lines(lines: DataFrame) -> DataFrame:
     return typed.withColumns({u: F.col(u).withField("total", trusted_total(F.col(u))) for u in ("last", "totals", "headless")})
 
 
-def replay_seconds(rows: DataFrame, chunk: list[Column] | None = None) -> DataFrame:
+def replay_seconds(rows: DataFrame) -> DataFrame:
     """(file, replay_second) of forked files whose first two token counts share one second.
 
     A file is forked when a marker occurs in a line that starts within its first bytes.
     """
-    sized = running(rows.select(*ORDER, "bytes", "marked"), ["file"], [Running("before", "sum", F.col("bytes"))], chunk)
-    forked = sized.filter(F.col("marked") & (F.col("before") <= PROBE_BYTES)).select("file").distinct()
+    first_mark = rows.filter("marked").groupBy("file").agg(F.min(order_struct()).alias("mark"))
+    up_to_mark = rows.select(*ORDER, "bytes").join(first_mark, "file").filter(order_struct() <= F.col("mark"))
+    # Bytes ahead of the first marked line; sums per file need no ordered scan.
+    ahead = F.sum(F.when(order_struct() < F.col("mark"), F.col("bytes")).otherwise(0))
+    forked = up_to_mark.groupBy("file").agg(ahead.alias("before")).filter(F.col("before") <= PROBE_BYTES).select("file")
     counted = rows.filter(
         (F.col("kind") == "token") & (F.col("last").isNotNull() | F.col("totals").isNotNull()) & (F.length("ts_raw") >= 19)
     ).select(*ORDER, F.substring("ts_raw", 1, 19).alias("second"))
@@ -272,7 +275,7 @@ def sessions(rows: DataFrame) -> DataFrame:
 def load(lines: DataFrame, chunk: list[Column] | None = None) -> Facts:
     """Raw rollout lines to facts."""
     rows = stage(rollout_lines(lines), "codex-lines")
-    used = stage(turn_usage(rows, replay_seconds(rows, chunk), chunk), "codex-used")
+    used = stage(turn_usage(rows, replay_seconds(rows), chunk), "codex-used")
     placed = stage(model_and_turn(used, chunk), "codex-turns")
     events = first_events(placed)
     return Facts(events.select(*USAGE_COLUMNS), tool_calls(placed, events), sessions(rows))

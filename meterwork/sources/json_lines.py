@@ -51,9 +51,13 @@ def _count(owner: str, keys: list[str]):
 
 
 def _open(df: DataFrame, keep: list[str], **objects) -> DataFrame:
-    """Add struct columns of the named fields, one level per call, and keep rows where the last one is an object."""
-    opened = df.select(*keep, *[c.fields(node, names).alias(n) for n, (node, names) in objects.items()])
-    return opened.filter(F.col(list(objects)[-1]).isNotNull())
+    """Add struct columns of the named fields, one level per call, and keep rows where the last one is an object.
+
+    The last one comes out of a generator: a filter would be pushed down and open the object a second time.
+    """
+    opened = {n: c.fields(node, names) for n, (node, names) in objects.items()}
+    name, last = opened.popitem()
+    return df.select(*keep, *[x.alias(n) for n, x in opened.items()], F.explode(F.array_compact(F.array(last))).alias(name))
 
 
 def gemini(lines: DataFrame, documents: DataFrame | None = None) -> Facts:
@@ -202,26 +206,21 @@ def copilot(lines: DataFrame) -> Facts:
     keys = {**usage, **{k: k for k in [*COPILOT_MODELS, *COPILOT_SESSIONS]}}
     level1 = _open(parsed(lines.filter(F.col("value").contains("attributes"))), PLACE, s=(V, ["attributes", "spanId", "timestamp", "startTime"]))
     opened = _open(level1, [*PLACE, "s"], a=("s.attributes", list(dict.fromkeys(keys.values()))))
-    # One projection per step, so each step reads columns and not repeated expressions.
-    raw = opened.select(
-        *PLACE,
-        *[F.col(f"a.`{k}`").alias(n) for n, k in keys.items()],
-        F.col("s.spanId").alias("span_node"),
-        F.coalesce(iso(F.col("s.timestamp")), iso(F.col("s.startTime"))).alias("ts_raw"),
-    )
-    named = [*keys, "span_node"]
-    plain = raw.select(*PLACE, "ts_raw", *[c.otel_value(F.col(f"`{n}`")).alias(n) for n in named])
-    counted = plain.select(
-        *PLACE,
-        "ts_raw",
-        *[c.count(F.col(f"`{n}`")).alias(n.replace(".", "_")) for n in usage],
-        F.coalesce(c.otel_text([F.col(f"`{k}`") for k in COPILOT_SESSIONS]), F.lit("copilot")).alias("session"),
-        c.otel_text([F.col("`gen_ai.response.id`")]).alias("response"),
-        F.coalesce(c.otel_text([F.col("span_node")]), F.lit("")).alias("span"),
-        F.coalesce(c.otel_text([F.col(f"`{k}`") for k in COPILOT_MODELS]), F.lit("copilot-unknown")).alias("model"),
-    )
+    # Every attribute is unwrapped and read once; the filter below then sees plain columns.
+    names = [*keys, "span_node"]
+    nodes = F.array(*[F.col(f"a.`{k}`") for k in keys.values()], F.col("s.spanId"))
+    stamp = F.coalesce(iso(F.col("s.timestamp")), iso(F.col("s.startTime")))
+    plain = c.parse_once(opened.select(*PLACE, stamp.alias("ts_raw"), "a", "s"), F.transform(nodes, c.otel_value), [*PLACE, "ts_raw"], "x")
+    value = {n: F.col("x")[i] for i, n in enumerate(names)}
     either = lambda a, b: F.when(F.col(a) != 0, F.col(a)).otherwise(F.col(b))
-    rows = counted.select(
+    read = F.struct(
+        *[c.count(value[n]).alias(n.replace(".", "_")) for n in usage],
+        F.coalesce(c.otel_text([value[k] for k in COPILOT_SESSIONS]), F.lit("copilot")).alias("session"),
+        c.otel_text([value["gen_ai.response.id"]]).alias("response"),
+        F.coalesce(c.otel_text([value["span_node"]]), F.lit("")).alias("span"),
+        F.coalesce(c.otel_text([value[k] for k in COPILOT_MODELS]), F.lit("copilot-unknown")).alias("model"),
+    )
+    rows = c.parse_once(plain, read, [*PLACE, "ts_raw"], "r").select(*PLACE, "ts_raw", "r.*").select(
         "*",
         F.col("input_tokens").alias("i"),
         F.col("output_tokens").alias("o"),

@@ -9,6 +9,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,18 +94,19 @@ class _Deltas(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         seen = self._high.exists()
-        high = dict(zip(COUNTERS, self._high.get())) if seen else dict.fromkeys(COUNTERS, 0)
+        high = np.array(self._high.get() if seen else [0] * len(COUNTERS), "int64")
         # Batch by batch, so a long group is never held whole.
         for pdf in rows:
+            if pdf.empty:
+                continue
             pdf = pdf.sort_values(["file", "line_no"], ignore_index=True)
-            counts = pdf[COUNTERS].clip(lower=0)
-            before = counts.cummax().shift(fill_value=0).clip(lower=pd.Series(high), axis=1)
-            out = pdf.drop(columns=COUNTERS).assign(**(counts - before).clip(lower=0).astype("int64"))
-            out["turns"] = [0 if seen or i else 1 for i in range(len(out))]
-            seen = seen or len(out) > 0
-            high = {c: int(max(high[c], counts[c].max())) for c in COUNTERS}
-            yield out
-        self._high.update(tuple(high[c] for c in COUNTERS))
+            tops = np.maximum.accumulate(np.vstack([high, pdf[COUNTERS].to_numpy("int64")]))
+            pdf[COUNTERS] = np.diff(tops, axis=0)
+            pdf["turns"] = 0
+            pdf.loc[0, "turns"] = 0 if seen else 1
+            seen, high = True, tops[-1]
+            yield pdf
+        self._high.update(tuple(int(x) for x in high))
 
     def close(self) -> None:
         pass
@@ -158,23 +160,25 @@ class _Blocks(StatefulProcessor):
     def _load(self):
         return list(self._open.get()) if self._open.exists() else None
 
-    def _frame(self, key, block, closed: bool) -> pd.DataFrame:
+    @staticmethod
+    def _frame(key, blocks: list) -> pd.DataFrame:
+        start, end, first, last, tokens, late, cost = zip(*blocks)
         return pd.DataFrame(
             {
-                "key": [key[0]],
-                "block_start": [block[0]],
-                "block_end": [block[1]],
-                "first_ts": [block[2]],
-                "last_ts": [block[3]],
-                "total_tokens": [block[4]],
-                "cost_usd": [block[6]],
-                "late_events": [block[5]],
-                "closed": [closed],
+                "key": key[0],
+                "block_start": start,
+                "block_end": end,
+                "first_ts": first,
+                "last_ts": last,
+                "total_tokens": tokens,
+                "cost_usd": cost,
+                "late_events": late,
+                "closed": True,
             }
         )
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        block, out = self._load(), []
+        block, done = self._load(), []
         pdf = pd.concat(rows, ignore_index=True).sort_values("bucket", ignore_index=True)
         for r in pdf.itertuples(index=False):
             if block is not None and r.bucket < block[0]:
@@ -183,7 +187,7 @@ class _Blocks(StatefulProcessor):
                 continue
             if block is None or r.bucket >= block[1]:
                 if block is not None:
-                    out.append(self._frame(key, block, True))
+                    done.append(block)
                 start = int(r.bucket // HOUR_MS * HOUR_MS)
                 block = [start, start + self._length, int(r.first_ts), int(r.last_ts), 0, 0, 0.0]
             block[2], block[3] = min(block[2], int(r.first_ts)), max(block[3], int(r.last_ts))
@@ -193,15 +197,15 @@ class _Blocks(StatefulProcessor):
             self._open.update(tuple(block))
             if timerValues.getCurrentWatermarkInMs() >= 0:
                 self._handle.registerTimer(block[1])
-        if out:
-            yield pd.concat(out, ignore_index=True)
+        if done:
+            yield self._frame(key, done)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         block = self._load()
         # A timer of a block that later input already closed finds another block open.
         if block is not None and block[1] <= expiredTimerInfo.getExpiryTimeInMs():
             self._open.clear()
-            yield self._frame(key, block, True)
+            yield self._frame(key, [block])
 
     def close(self) -> None:
         pass

@@ -8,10 +8,10 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable, Iterator
+from itertools import islice
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -66,6 +66,7 @@ def ingest(lines: DataFrame, parse: Callable[[DataFrame], DataFrame], table: str
 
 
 GROWTH = ["message_id", "file", "day", "model"]
+SLICE_ROWS = 10_000
 
 
 def growth_per_file(lines: DataFrame) -> DataFrame:
@@ -92,21 +93,17 @@ class _Deltas(StatefulProcessor):
         schema = T.StructType([T.StructField(c, T.LongType()) for c in COUNTERS])
         self._high = handle.getValueState("high", schema)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        seen = self._high.exists()
-        high = np.array(self._high.get() if seen else [0] * len(COUNTERS), "int64")
-        # Batch by batch, so a long group is never held whole.
-        for pdf in rows:
-            if pdf.empty:
-                continue
-            pdf = pdf.sort_values(["file", "line_no"], ignore_index=True)
-            tops = np.maximum.accumulate(np.vstack([high, pdf[COUNTERS].to_numpy("int64")]))
-            pdf[COUNTERS] = np.diff(tops, axis=0)
-            pdf["turns"] = 0
-            pdf.loc[0, "turns"] = 0 if seen else 1
-            seen, high = True, tops[-1]
-            yield pdf
-        self._high.update(tuple(int(x) for x in high))
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        stored = self._high.get()
+        first, high = stored is None, [0] * len(COUNTERS) if stored is None else list(stored)
+        # Slice by slice, so a long group is never held whole; most ids have one row per batch.
+        while part := list(islice(rows, SLICE_ROWS)):
+            for row in sorted(part, key=lambda r: (r.file, r.line_no)):
+                top = [max(h, row[c]) for h, c in zip(high, COUNTERS)]
+                added = {c: t - h for c, t, h in zip(COUNTERS, top, high)}
+                yield Row(**{**row.asDict(), **added, "turns": int(first)})
+                first, high = False, top
+        self._high.update(tuple(high))
 
     def close(self) -> None:
         pass
@@ -122,7 +119,7 @@ def message_deltas_stream(growth: DataFrame) -> DataFrame:
     return (
         growth.select(*GROWTH, "line_no", *COUNTERS)
         .groupBy("message_id")
-        .transformWithStateInPandas(_Deltas(), outputStructType=out, outputMode="Append", timeMode="None")
+        .transformWithState(_Deltas(), outputStructType=out, outputMode="Append", timeMode="None")
     )
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterwork.llm import byte_bpe, exact, line_quality, mixing, rule_ensemble, simhash
+from meterwork.llm import byte_bpe, exact, language, line_quality, mixing, rule_ensemble, simhash, toxicity
 from meterwork.llm.common import is_held_out
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -44,11 +44,25 @@ def op3_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return byte_bpe.round_trip(documents(spark, sf).select("doc_id", "text"), tokenizer())
 
 
+def op4_byte_gru(spark: SparkSession, sf: str) -> DataFrame:
+    docs = documents(spark, sf)
+    network = language.learn(docs, ~is_held_out("doc_id", 3, 1))
+    rows = language.predicted(docs, network)
+    return rows.select("doc_id", is_held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", "score")
+
+
 def op5_rule_ensemble(spark: SparkSession, sf: str) -> DataFrame:
     rows = rule_ensemble.scored(documents(spark, sf).select("doc_id", "text"), quality_model(spark, sf))
     return rows.select("doc_id", is_held_out("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op6_attention_gru(spark: SparkSession, sf: str) -> DataFrame:
+    docs = documents(spark, sf)
+    network = toxicity.learn(docs, labels(spark, sf), "toxic", ~is_held_out("doc_id", 5, 0))
+    rows = toxicity.scored(docs, network)
+    return rows.select("doc_id", is_held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_pareto_mix(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix_sizes(documents(spark, sf)).drop("copies")
 
@@ -58,7 +72,8 @@ def op8_simhash_tiles(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_quality, op2_exact_dedup, op3_byte_bpe, op5_rule_ensemble, op7_pareto_mix, op8_simhash_tiles)}
+QUERIES = {f.__name__: f for f in (op1_line_quality, op2_exact_dedup, op3_byte_bpe, op4_byte_gru, op5_rule_ensemble, op6_attention_gru,
+                                    op7_pareto_mix, op8_simhash_tiles)}
 
 _STOCK = " OR ".join(f"contains(translate(line, '{UPPER}', '{LOWER}'), '{x}')" for x in line_quality.BOILERPLATE)
 _CLOSING = line_quality.CLOSING.replace("'", "''")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterwork.llm import byte_bpe, exact, language, line_quality, mixing, rule_ensemble, simhash, toxicity
+from meterwork.llm import byte_bpe, exact, language, line_quality, mixing, pii, revisits, rule_ensemble, simhash, toxicity
 from meterwork.llm.common import is_held_out
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -72,8 +72,42 @@ def op8_simhash_tiles(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def page_captures(spark: SparkSession, sf: str) -> DataFrame:
+    """Five captures of every page: two full responses (the second changed for odd pages) and three revisits.
+
+    Of the revisits, one comes before any response of every third page's, one has the tag of the first response, one
+    the page's last tag or, for every fourth page, only a payload digest. URLs are written in several ways.
+    """
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", F.md5(F.coalesce("html", F.lit(""))).alias("tag"))
+    n, k = F.col("page_id"), F.col("k")
+    second = F.when(n % 2 == 1, F.md5(F.concat("tag", F.lit("x")))).otherwise(F.col("tag"))
+    tag = F.when(k.isin(0, 1, 2), F.col("tag")).otherwise(second)
+    at = 1_700_000_000 + (n % 1000) * 60 + F.when((k == 0) & (n % 3 != 0), 1).otherwise(k) * 86_400
+    url = F.when(k == 1, F.concat("url", F.lit("#top"))).when(k == 2, F.regexp_replace("url", "^https?://", "HTTPS://")).otherwise(F.col("url"))
+    bare = (k == 4) & (n % 4 == 0)
+    revisit = F.concat(
+        F.lit("HTTP/1.1 304 Not Modified\r\nDate: day "), k.cast("string"), F.lit("\r\nContent-Length: 0\r\n"),
+        F.when(bare, F.lit("")).otherwise(F.concat(F.lit('ETag: W/"'), tag, F.lit('"\r\n'))), F.lit("Cache-Control: max-age="), k.cast("string"), F.lit("\r\n\r\n"))
+    response = F.concat(
+        F.lit("HTTP/1.1 200 OK\r\nDate: day "), k.cast("string"), F.lit('\r\nContent-Type: text/html\r\nETag: "'), tag, F.lit('"\r\nContent-Length: 9\r\n\r\n'))
+    rows = pages.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    return rows.select((n * 10 + k).alias("record_id"), url.alias("url"), at.alias("ts"), F.when(k.isin(1, 3), response).otherwise(revisit).alias("block"), tag.alias("digest"))
+
+
+def op9_revisits(spark: SparkSession, sf: str) -> DataFrame:
+    rows = revisits.resolved(page_captures(spark, sf))
+    field = lambda name: F.try_element_at(F.col("headers"), F.lit(name))
+    return rows.select("record_id", "canonical", "target_id", "outcome", field("etag").alias("etag"), field("date").alias("date"),
+                       field("content-length").alias("content_length"), field("cache-control").alias("cache_control"), F.size(F.map_keys("headers")).alias("n_headers"))
+
+
+def op10_pii_lstm(spark: SparkSession, sf: str) -> DataFrame:
+    docs = documents(spark, sf)
+    return pii.found(docs, pii.learn(docs))
+
+
 QUERIES = {f.__name__: f for f in (op1_line_quality, op2_exact_dedup, op3_byte_bpe, op4_byte_gru, op5_rule_ensemble, op6_attention_gru,
-                                    op7_pareto_mix, op8_simhash_tiles)}
+                                    op7_pareto_mix, op8_simhash_tiles, op9_revisits, op10_pii_lstm)}
 
 _STOCK = " OR ".join(f"contains(translate(line, '{UPPER}', '{LOWER}'), '{x}')" for x in line_quality.BOILERPLATE)
 _CLOSING = line_quality.CLOSING.replace("'", "''")
@@ -117,4 +151,24 @@ r AS (SELECT d.doc_id, d.size, p.*, target - whole * source_size AS rest_words,
         sum(size) OVER (PARTITION BY p.source, u) AS own FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source)
 SELECT doc_id, size::BIGINT AS size, source_size, target::DOUBLE AS target,
   (size * (whole + CASE WHEN rest > 0 AND (upto < rest_words OR upto - own < rest_words AND upto - rest_words <= rest_words - (upto - own)) THEN 1 ELSE 0 END))::BIGINT AS taken FROM r""",
+    "op9_revisits": r"""
+WITH k AS (SELECT unnest([0, 1, 2, 3, 4]) AS k),
+c AS (SELECT page_id * 10 + k AS record_id, k,
+        1700000000 + (page_id % 1000) * 60 + CASE WHEN k = 0 AND page_id % 3 <> 0 THEN 1 ELSE k END * 86400 AS ts,
+        regexp_replace(trim(CASE WHEN k = 1 THEN url || '#top' WHEN k = 2 THEN regexp_replace(url, '^https?://', 'HTTPS://') ELSE url END), '#.*$', '') AS url,
+        CASE WHEN k IN (3, 4) AND page_id % 2 = 1 THEN md5(md5(coalesce(html, '')) || 'x') ELSE md5(coalesce(html, '')) END AS tag,
+        k IN (1, 3) AS response, k = 4 AND page_id % 4 = 0 AS bare FROM pages, k),
+u AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)', 1)), ':(80|443)$', ''), '^www\.', '')
+        || regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*([^?]*)', 1), '/$', '') AS stem,
+        array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT starts_with(x, 'utm_'))), '&') AS query FROM c),
+n AS (SELECT *, CASE WHEN NOT regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)') THEN url WHEN query <> '' THEN stem || '?' || query ELSE stem END AS canonical FROM u),
+l AS (SELECT *, max(CASE WHEN response THEN lpad(ts::VARCHAR, 12, '0') || lpad(record_id::VARCHAR, 20, '0') END)
+        OVER (PARTITION BY canonical ORDER BY ts, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM n),
+j AS (SELECT l.*, f.record_id AS f_id, f.tag AS f_tag, f.k AS f_k, l.canonical IS NOT NULL AND f.record_id IS NOT NULL AS met
+      FROM l LEFT JOIN n AS f ON f.record_id = substr(l.last, 13)::BIGINT WHERE NOT l.response)
+SELECT record_id, canonical, CASE WHEN met AND tag = f_tag THEN f_id END AS target_id,
+  CASE WHEN NOT met THEN 'orphan' WHEN tag = f_tag THEN 'matched' ELSE 'conflict' END AS outcome,
+  CASE WHEN met AND tag = f_tag THEN CASE WHEN bare THEN '"' || f_tag || '"' ELSE 'W/"' || tag || '"' END END AS etag,
+  CASE WHEN met AND tag = f_tag THEN 'day ' || k::VARCHAR END AS date, CASE WHEN met AND tag = f_tag THEN '9' END AS content_length,
+  CASE WHEN met AND tag = f_tag THEN 'max-age=' || k::VARCHAR END AS cache_control, CASE WHEN met AND tag = f_tag THEN 5 END AS n_headers FROM j""",
 }

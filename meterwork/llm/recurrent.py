@@ -1,7 +1,7 @@
 """Small bidirectional recurrent layers in numpy: training by backpropagation through time, and lean inference.
 
 Gates are piecewise linear (a clipped line instead of a sigmoid or tanh), which numpy computes ten times faster than
-exponentials; the gradient outside a gate's range is a small leak. Inputs come as rows of a table, already multiplied
+exponentials; the gradient outside a GRU gate's range is a small leak (in an LSTM, whose cell adds up, it would explode). Inputs come as rows of a table, already multiplied
 by the input weights: a symbol's row is looked up, so a step costs one product of the state with the recurrent
 weights. Arrays are (time, batch, features).
 """
@@ -19,9 +19,9 @@ LIMIT = np.float32(1.0)
 _HOLD = 1e4
 
 
-def _clip(x: np.ndarray, low: float, high: float) -> tuple[np.ndarray, np.ndarray]:
+def _clip(x: np.ndarray, low: float, high: float, leak: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
     y = np.clip(x, low, high)
-    return y, np.where(y == x, np.float32(1), np.float32(LEAK))
+    return y, np.where(y == x, np.float32(1), np.float32(leak))
 
 
 def _split(weights: np.ndarray, gates: int, shifts: tuple = (0, 0, 0, 0)) -> list[np.ndarray]:
@@ -48,9 +48,9 @@ class Gru:
         h = np.zeros((batch, hid), np.float32)
         for t in range(steps):
             g = h @ u
-            zr, m_zr = _clip(a[t, :, : 2 * hid] + g[:, : 2 * hid] + np.float32(0.5), 0, 1)
+            zr, m_zr = _clip(a[t, :, : 2 * hid] + g[:, : 2 * hid] + np.float32(0.5), 0, 1, LEAK)
             z, r = zr[:, :hid], zr[:, hid:]
-            n, m_n = _clip(a[t, :, 2 * hid :] + r * g[:, 2 * hid :], -1, 1)
+            n, m_n = _clip(a[t, :, 2 * hid :] + r * g[:, 2 * hid :], -1, 1, LEAK)
             kept.append((h, z, r, n, g[:, 2 * hid :], m_zr, m_n))
             h = n + z * (h - n)
             out[t] = h

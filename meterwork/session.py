@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -32,7 +33,13 @@ def build_session(master: str | None = None, app: str = "meterwork", **extra: st
 
 
 def use_settings(spark: SparkSession) -> SparkSession:
-    """Put the runtime settings the operators rely on (UTC day keys above all) on a given session."""
+    """Put the runtime settings the operators rely on (UTC day keys above all) on a given session.
+
+    Python workers on this machine find the package wherever they start; a cluster needs it installed or in --py-files.
+    """
+    workers, root = spark.sparkContext.environment, os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if root not in workers.get("PYTHONPATH", "").split(os.pathsep):
+        workers["PYTHONPATH"] = os.pathsep.join(filter(None, [root, workers.get("PYTHONPATH")]))
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
     return spark

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterwork.llm.common import content_mark, join_side, kept_rows, staged_small, text_bytes, texts_of
@@ -108,13 +108,15 @@ def linked(prints: DataFrame, radius: int = 4, tile: int = TILE) -> DataFrame:
         .groupBy("bits", "part").agg(F.collect_list("fp").alias("fps"))
     )
     tiles = stage(tiles, "tiles")
-    reach = [k for k in range(-radius, radius + 1)]
-    partners = F.flatten(F.array(*[
-        F.transform(
-            F.when(F.coalesce(F.try_element_at(held, F.col("bits") + k), F.lit(0)) > 0, F.sequence(F.lit(0), F.try_element_at(held, F.col("bits") + k) - 1)).otherwise(F.array().cast("array<int>")),
-            lambda p, k=k: F.struct((F.col("bits") + k).cast("int").alias("bits"), p.cast("int").alias("part")),
-        ) for k in reach
-    ]))
+
+    def parts_at(away: int) -> Column:
+        """All parts of the tiles whose bit count is ``away`` more."""
+        bits = (F.col("bits") + away).cast("int")
+        n = F.coalesce(F.try_element_at(held, bits), F.lit(0))
+        numbers = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(numbers, lambda p: F.struct(bits.alias("bits"), p.cast("int").alias("part")))
+
+    partners = F.flatten(F.array(*[parts_at(k) for k in range(-radius, radius + 1)]))
     own = F.struct(F.col("bits").cast("int").alias("bits"), F.col("part").alias("part"))
     left = tiles.select(F.col("fps").alias("left"), own.alias("own"), F.explode(F.filter(partners, lambda p: p >= own)).alias("to"))
     right = tiles.select(F.col("fps").alias("right"), own.alias("at"))

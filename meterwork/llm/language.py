@@ -116,8 +116,12 @@ def train(texts: list[bytes], languages: list[str], fit: Fit = Fit()) -> Network
 
 def learn(docs: DataFrame, teaches: Column, fit: Fit = Fit(), id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> Network:
     """Train on documents whose id meets ``teaches``; their number is bounded for each language before they travel."""
-    known = docs.filter(teaches & F.col(id_column).isNotNull() & F.col(lang_column).isNotNull() & (F.length(text_column) > 0))
-    drawn = known.select(F.col(lang_column).alias("lang"), F.col(id_column).alias("id"), F.xxhash64(id_column).alias("draw"), F.col(text_column).alias("text"))
+    known = docs.filter(teaches & F.col(id_column).isNotNull() & F.col(lang_column).isNotNull() & (F.length(text_column) > 0)).select(
+        F.col(lang_column).alias("lang"), F.col(id_column).alias("id"), F.xxhash64(id_column).alias("draw"), F.col(text_column).alias("text"))
+    # Thinned by the draw to about three times what is wanted before languages are ranked, so that a common one stays small.
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    wanted = F.pmod(F.col("draw"), F.lit(1 << 20)) < F.lit(3.0 * fit.per_language * (1 << 20)) / F.col("n")
+    drawn = known.join(counts, "lang").filter(wanted)
     place = F.pmod(F.col("draw"), F.greatest(F.length("text") - fit.piece, F.lit(1)).cast("bigint")) + 1
     pieces = drawn.select("lang", "id", "draw", F.substr(F.col("text"), place.cast("int"), F.lit(fit.piece)).alias("text"))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "id", "text"))

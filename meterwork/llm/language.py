@@ -71,7 +71,7 @@ class Network:
         total = np.zeros((len(texts), len(self.languages)))
         most = max(64, _FLOATS_AT_ONCE // (self.window * len(self.languages)))
         for own in by_length(size, most):
-            ids = padded(flat, begins[doc[own]] + start[own], size[own], _PAD).astype(np.int16)
+            ids = padded(flat, begins[doc[own]] + start[own], size[own], _PAD)
             at = np.arange(len(ids))[:, None]
             edge = self.overlap // 2
             last = start[own] + size[own] == lengths[doc[own]]

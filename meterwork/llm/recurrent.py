@@ -244,8 +244,8 @@ def windows(lengths: np.ndarray, size: int, overlap: int) -> tuple[np.ndarray, n
 def padded(flat: np.ndarray, begins: np.ndarray, lengths: np.ndarray, pad: int) -> np.ndarray:
     """(time, batch) symbols of slices of ``flat``."""
     at = np.arange(int(lengths.max()))[:, None]
-    ids = flat[np.minimum(begins[None, :] + at, len(flat) - 1)]
-    return np.where(at < lengths[None, :], ids, pad)
+    ids = flat[np.minimum(begins[None, :] + at, len(flat) - 1)].astype(np.int32)  # bytes could not hold the padding
+    return np.where(at < lengths[None, :], ids, np.int32(pad))
 
 
 def by_length(lengths: np.ndarray, most: int) -> Iterator[np.ndarray]:

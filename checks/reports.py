@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import datetime as dt
+import functools
+import uuid
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterwork.functions import text, times
@@ -13,6 +16,7 @@ from meterwork.operators import prices, servers
 from meterwork.operators.dedup import keep_first
 from meterwork.operators.usage import Facts, clamp, tool_cube, usage_cube
 from meterwork.plans import agents, live, projects, reports
+from meterwork.session import staging_root
 
 from .inputs import (
     EVENTS_SQL,
@@ -220,11 +224,23 @@ def _(spark, sf):
     return reports.usage_by(event_cubes(spark, sf).usage.filter(times.in_range(F.col("day"), bounds)), ["day"])
 
 
-@check("s26_report_document")
+@check("s26_report_document", with_sql(EVENTS_SQL, PRICES_SQL, SESSIONS_SQL, *totals_sql(["agent_id"]),
+    grouped_sql("e", ["agent_id", "model"], "mg"), priced_sql("mg", "mp"), grouped_sql("e", ["agent_id", "day", "model"], "dg"), priced_sql("dg", "dp"), *TOOLS_SQL[2:], select=f"""
+SELECT agent_id, 'totals' AS part, '' AS item, total_cost_usd AS cost_usd, total_turns AS n FROM tot
+UNION ALL SELECT agent_id, 'models', model, {usd_sql('cost_usd')}, CAST(turns AS BIGINT) FROM mp
+UNION ALL SELECT agent_id, 'daily', day, {usd_sql('sum(cost_usd)', 'cost_usd')}, CAST(sum(turns) AS BIGINT) FROM dp GROUP BY agent_id, day
+UNION ALL SELECT agent_id, 'tools', tool_name, {usd_sql('sum(cost_usd)', 'cost_usd')}, CAST(sum(calls) AS BIGINT) FROM tools GROUP BY agent_id, tool_name"""))
 def _(spark, sf):
-    c = event_cubes(spark, sf)
-    doc = reports.report_document(reports.build_report(c, ["agent_id"]), ["agent_id"])
-    return doc.select("agent_id", F.to_json(F.struct(*[x for x in doc.columns if x != "agent_id"])).alias("report"))
+    """The document is written by the JSON sink, read back and unnested."""
+    marts = reports.build_report(event_cubes(spark, sf), ["agent_id"])
+    path = f"{staging_root(spark)}/report-{uuid.uuid4().hex}"
+    reports.write_json(reports.report_document(marts, ["agent_id"]), path)
+    doc = spark.read.json(path)
+    parts = [doc.select("agent_id", F.lit("totals").alias("part"), F.lit("").alias("item"), F.col("total_cost_usd").alias("cost_usd"), F.col("total_turns").alias("n"))]
+    for part, item, n in (("models", "model", "turns"), ("daily", "day", "turns"), ("tools", "tool_name", "calls")):
+        rows = doc.select("agent_id", F.explode(part).alias("r"))
+        parts.append(rows.select("agent_id", F.lit(part).alias("part"), F.col(f"r.{item}").alias("item"), F.col("r.cost_usd").alias("cost_usd"), F.col(f"r.{n}").alias("n")))
+    return usd_columns(functools.reduce(DataFrame.union, parts), "cost_usd")
 
 
 # ---- servers ----------------------------------------------------------------
@@ -282,50 +298,55 @@ def _(spark, sf):
     return reports.server_total(servers.server_audit(supplier_tools(spark, sf), supplier_servers(spark, sf), []))
 
 
-@check("t05_p26_servers_by_cost", with_sql(TOOL_LINES_SQL, select="SELECT name, calls, cost_usd FROM audit ORDER BY cost_usd DESC, name LIMIT 25"))
+@check("t05_p26_servers_by_cost", with_sql(TOOL_LINES_SQL, select="SELECT name, calls, cost_usd, row_number() OVER (ORDER BY cost_usd DESC, name) AS rank FROM audit"))
 def _(spark, sf):
     audit = servers.server_audit(supplier_tools(spark, sf), supplier_servers(spark, sf), [])
     shown = audit.withColumn("name", text.display_server(F.col("name"), F.col("configured")))
-    return reports.top(shown.select("name", "calls", "cost_usd"), "cost_usd", "name", 25)
+    return reports.by_cost(shown.select("name", "calls", "cost_usd"), "cost_usd", "name")
 
 
-# Server configuration files rendered from suppliers: one project per nation, the supplier names its servers.
+# Server configuration files rendered from suppliers: three homes, one project per nation, the supplier names its servers.
+# Each home lists every project a second time under a path that reads alike once sanitized; the last one listed counts.
 def server_configs(spark, sf):
     s = table(spark, sf, "supplier").select(
+        F.concat(F.lit("/h"), (F.col("s_nationkey") % 3).cast("string")).alias("home"),
         F.concat(F.lit("/work/n"), F.col("s_nationkey").cast("string")).alias("project_path"), "s_suppkey")
     def names(key, only):
         return F.map_from_entries(F.array_sort(F.collect_list(F.when(only, F.struct(key, F.struct(F.lit("run").alias("command")))))))
     key = F.concat(F.lit("srv"), (F.col("s_suppkey") % 12).cast("string"))
-    ranked = s.select("project_path", key.alias("name"), (F.col("s_suppkey") % 3).alias("kind")).distinct()
+    ranked = s.select("home", "project_path", key.alias("name"), (F.col("s_suppkey") % 3).alias("kind")).distinct()
     body = lambda kind: F.to_json(F.struct(names(F.col("name"), F.col("kind") == kind).alias("mcpServers")))
-    files = ranked.groupBy("project_path").agg(body(0).alias("value"), body(1).alias("entry"))
-    own = files.select("project_path", F.concat("project_path", F.lit("/.mcp.json")).alias("file"), "value")
-    shared = ranked.filter("kind = 2").select("name").distinct().agg(
+    files = ranked.groupBy("home", "project_path").agg(body(0).alias("value"), body(1).alias("entry"))
+    own = files.select("home", "project_path", F.concat("project_path", F.lit("/.mcp.json")).alias("file"), "value")
+    shared = ranked.filter("kind = 2").select("home", "name").distinct().groupBy("home").agg(
         F.array_join(F.array_sort(F.collect_list(F.concat(F.lit('"'), "name", F.lit('":{}')))), ",").alias("shared"))
-    entries = files.agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit('"'), "project_path", F.lit('":'), "entry"))), ",").alias("projects"))
-    top = shared.withColumn("_o", F.lit(1)).join(entries.withColumn("_o", F.lit(1)), "_o").select(
-        F.lit("/home/.claude.json").alias("file"),
-        F.concat(F.lit('{"mcpServers":{'), "shared", F.lit('},"projects":{'), "projects", F.lit("}}")).alias("value"))
-    return own, top, files.select("project_path")
+    twin = files.select("home", F.replace("project_path", F.lit("/work/"), F.lit("/work-")).alias("project_path"), F.lit("{}").alias("entry"))
+    listed = F.concat(F.lit('"'), "project_path", F.lit('":'), "entry")
+    entries = files.select("home", "project_path", "entry").union(twin).groupBy("home").agg(
+        F.array_join(F.sort_array(F.collect_list(listed), asc=False), ",").alias("projects"))
+    top = entries.join(shared, "home", "left").select(
+        "home", F.concat("home", F.lit("/.claude.json")).alias("file"),
+        F.concat(F.lit('{"mcpServers":{'), F.coalesce("shared", F.lit("")), F.lit('},"projects":{'), "projects", F.lit("}}")).alias("value"))
+    return own, top, files.select("home", "project_path")
 
 
 CONFIG_SQL = """
-r AS (SELECT DISTINCT '/work/n' || s_nationkey AS project_path, 'srv' || (s_suppkey % 12) AS name, s_suppkey % 3 AS kind FROM supplier),
-pr AS (SELECT DISTINCT project_path FROM r),
+r AS (SELECT DISTINCT '/h' || (s_nationkey % 3) AS home, '/work/n' || s_nationkey AS project_path, 'srv' || (s_suppkey % 12) AS name, s_suppkey % 3 AS kind FROM supplier),
+pr AS (SELECT DISTINCT home, project_path FROM r),
 al AS (
-  SELECT project_path, name, project_path || '/.mcp.json' AS source, 0 AS rank FROM r WHERE kind = 0
-  UNION ALL SELECT project_path, name, '/home/.claude.json', 1 FROM pr, (SELECT DISTINCT name FROM r WHERE kind = 2)
-  UNION ALL SELECT project_path, name, '/home/.claude.json (project entry)', 2 FROM r WHERE kind = 1),
-cfg AS (SELECT * FROM al QUALIFY row_number() OVER (PARTITION BY project_path, name ORDER BY rank) = 1)"""
+  SELECT home, project_path, name, project_path || '/.mcp.json' AS source, 0 AS rank FROM r WHERE kind = 0
+  UNION ALL SELECT home, project_path, name, home || '/.claude.json', 1 FROM pr JOIN (SELECT DISTINCT home, name FROM r WHERE kind = 2) USING (home)
+  UNION ALL SELECT home, project_path, name, home || '/.claude.json (project entry)', 2 FROM r WHERE kind = 1),
+cfg AS (SELECT * FROM al QUALIFY row_number() OVER (PARTITION BY home, project_path, name ORDER BY rank) = 1)"""
 
 
-@check("s20_d07_configured_servers", with_sql(CONFIG_SQL, select="SELECT project_path, name, source FROM cfg"))
+@check("s20_d07_configured_servers", with_sql(CONFIG_SQL, select="SELECT home, project_path, name, source FROM cfg"))
 def _(spark, sf):
     own, top, paths = server_configs(spark, sf)
-    return servers.configured_servers(own, top, paths).select("project_path", "name", "source")
+    return servers.configured_servers(own, top, paths).select("home", "project_path", "name", "source")
 
 
-@check("s21_p21_project_path_map", with_sql(CONFIG_SQL, select="SELECT regexp_replace(project_path, '[^a-zA-Z0-9]', '-', 'g') AS sanitized, project_path AS real_path FROM pr"))
+@check("s21_p21_project_path_map", with_sql(CONFIG_SQL, select="SELECT home, regexp_replace(project_path, '[^a-zA-Z0-9]', '-', 'g') AS sanitized, replace(project_path, '/work/', '/work-') AS real_path FROM pr"))
 def _(spark, sf):
     _own, top, _paths = server_configs(spark, sf)
     return servers.config_project_paths(top)
@@ -450,17 +471,23 @@ def _(spark, sf):
 
 
 @check("t06_projects_by_cost", with_sql(*PROJECT_SQL, *totals_sql(["agent_id", "project_id"], "pe", "ps"),
-                                        select="SELECT project_id, total_cost_usd FROM tot ORDER BY total_cost_usd DESC, project_id LIMIT 8"))
+                                        select="SELECT project_id, total_cost_usd, row_number() OVER (ORDER BY total_cost_usd DESC, project_id) AS rank FROM tot"))
 def _(spark, sf):
     facts, dim = event_projects(spark, sf)
-    return projects.ordered(tidy_totals(projects.project_list(facts, dim)), "cost").limit(8).select("project_id", "total_cost_usd")
+    return projects.ordered(tidy_totals(projects.project_list(facts, dim)), "cost").select("project_id", "total_cost_usd", "rank")
 
 
 @check("t06_projects_by_recency", with_sql(*PROJECT_SQL, *totals_sql(["agent_id", "project_id"], "pe", "ps"),
-                                           select="SELECT project_id, span_end FROM tot ORDER BY span_end DESC, project_id LIMIT 8"))
+                                           select="SELECT project_id, span_end, row_number() OVER (ORDER BY span_end DESC, project_id) AS rank FROM tot"))
+def _(spark, sf):
+    facts, dim = event_projects(spark, sf)
+    return projects.ordered(projects.project_list(facts, dim), "recent").select("project_id", "span_end", "rank")
+
+
+@check("t06_projects_by_name", with_sql(*PROJECT_SQL, select="SELECT project_id, label, row_number() OVER (ORDER BY label, project_id) AS rank FROM dim"))
 def _(spark, sf):
     facts, dim = event_projects(spark, sf)
-    return projects.ordered(projects.project_list(facts, dim), "recent").limit(8).select("project_id", "span_end")
+    return projects.ordered(projects.project_list(facts, dim), "name").select("project_id", "label", "rank")
 
 
 # ---- agents ----------------------------------------------------------------

@@ -41,25 +41,39 @@ def drain(writer):
     writer.start().awaitTermination()
 
 
-@check("r01_r02_stream_deltas", with_sql(EVENTS_SQL, select="""SELECT CASE WHEN k % 3 = 0 THEN 'hot' ELSE 'm' || (event_id % 4000) END AS message_id,
-  max(input_tokens) AS input_tokens, max(cache_read_tokens) AS cache_read_tokens, max(output_tokens) AS output_tokens, 1 AS turns FROM e GROUP BY 1"""))
+BATCHES = 3
+DELTA_SQL = """
+m AS (SELECT *, CASE WHEN k % 3 = 0 THEN 'hot' ELSE 'm' || (event_id % 4000) END AS message_id, session_id AS file FROM e),
+w AS (SELECT *, max(input_tokens) OVER p AS hi_in, max(cache_read_tokens) OVER p AS hi_read, max(cache_write_tokens) OVER p AS hi_write,
+    max(cache_write_1h_tokens) OVER p AS hi_1h, max(output_tokens) OVER p AS hi_out, count(*) OVER p AS before
+  FROM m WINDOW p AS (PARTITION BY message_id ORDER BY event_id % 3, file, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+
+
+@check("r01_r02_stream_deltas", with_sql(EVENTS_SQL, DELTA_SQL, select="""SELECT * FROM (SELECT message_id, file, day, model,
+  CAST(sum(greatest(0, input_tokens - coalesce(hi_in, 0))) AS BIGINT) AS input_tokens, CAST(sum(greatest(0, cache_read_tokens - coalesce(hi_read, 0))) AS BIGINT) AS cache_read_tokens,
+  CAST(sum(greatest(0, cache_write_tokens - coalesce(hi_write, 0))) AS BIGINT) AS cache_write_tokens, CAST(sum(greatest(0, cache_write_1h_tokens - coalesce(hi_1h, 0))) AS BIGINT) AS cache_write_1h_tokens,
+  CAST(sum(greatest(0, output_tokens - coalesce(hi_out, 0))) AS BIGINT) AS output_tokens, count(*) FILTER (WHERE before = 0) AS turns FROM w GROUP BY ALL)
+  WHERE input_tokens + cache_read_tokens + cache_write_tokens + cache_write_1h_tokens + output_tokens + turns > 0"""))
 def _(spark, sf, work):
+    """Three batches arrive one after the other; ids and models interleave in and across them."""
     mid = F.when(F.col("k") % 3 == 0, "hot").otherwise(F.concat(F.lit("m"), (F.col("event_id") % 4000).cast("string")))
-    lines = event_stream(spark, sf).select(
+    lines = events_from(table(spark, sf, "events")).select(
         mid.alias("message_id"), F.col("session_id").alias("file"), "day", "model", F.col("event_id").alias("line_no"), F.lit(True).alias("counted"),
         "input_tokens", "cache_read_tokens", "cache_write_tokens", "cache_write_1h_tokens", "output_tokens")
-    drain(jobs.ingest(lines, jobs.growth_per_file, f"{work}/growth", f"{work}/ck1"))
-    landed = spark.read.parquet(f"{work}/growth").schema
-    growth = spark.readStream.schema(landed).parquet(f"{work}/growth")
-    deltas = jobs.run_to_table(jobs.message_deltas_stream(growth), f"{work}/deltas", f"{work}/ck2")
-    return deltas.groupBy("message_id").agg(*[F.sum(c).alias(c) for c in ("input_tokens", "cache_read_tokens", "output_tokens", "turns")])
+    for k in range(BATCHES):
+        lines.filter(F.col("line_no") % BATCHES == k).write.parquet(f"{work}/in/part={k}")
+        arrived = spark.readStream.schema(lines.schema).parquet(f"{work}/in").drop("part")
+        drain(jobs.message_deltas_job(arrived, work))
+    deltas = spark.read.parquet(f"{work}/deltas")
+    counters = ["input_tokens", "cache_read_tokens", "cache_write_tokens", "cache_write_1h_tokens", "output_tokens", "turns"]
+    return deltas.groupBy("message_id", "file", "day", "model").agg(*[F.sum(c).alias(c) for c in counters])
 
 
-@check("r03_stream_dedup", with_sql(EVENTS_SQL, select="SELECT count(DISTINCT event_id % 4000) AS kept FROM e"))
+@check("r03_stream_dedup", with_sql(EVENTS_SQL, select="SELECT event_id % 4000 AS call_id, count(*) AS kept FROM (SELECT DISTINCT event_id % 4000 AS event_id FROM e) GROUP BY 1"))
 def _(spark, sf, work):
     keyed = event_stream(spark, sf).select("ts", (F.col("event_id") % 4000).alias("call_id"))
     kept = jobs.run_to_table(jobs.first_of(keyed, ["call_id"], delay="40 days"), f"{work}/out", f"{work}/ck")
-    return kept.agg(F.count("*").alias("kept"))
+    return kept.groupBy("call_id").agg(F.count("*").alias("kept"))
 
 
 @check("r04_stream_daily_usage", with_sql(EVENTS_SQL, select=f"""SELECT day, model, {SUMS_SQL} FROM e
@@ -88,13 +102,40 @@ def _(spark, sf, work):
     return usd_columns(jobs.run_to_table(jobs.block_stream(hours), f"{work}/out", f"{work}/ck2"), "cost_usd")
 
 
-R6_NOW = dt.datetime(2024, 1, 30, 20)
-R6_MS = 1706644800000
+def r6_sql(now):
+    """The batch answer at one moment: spend of the day and the pace of the newest block if it is still open."""
+    ms = int(now.replace(tzinfo=dt.timezone.utc).timestamp() * 1000)
+    return with_sql(EVENTS_SQL, PRICES_SQL, blocks_sql(["agent_id"], 5), f"""
+day_used AS (SELECT * FROM e WHERE day = '{now:%Y-%m-%d}'),
+spent AS (SELECT agent_id, sum(cost_usd) AS usd FROM ({priced_now()}) GROUP BY 1),
+open AS (SELECT *, {ms} - first_ts AS gone FROM (SELECT *, max(block_start) OVER (PARTITION BY agent_id) AS newest FROM blocks) WHERE block_start = newest AND {ms} < block_end)""",
+        select=f"""SELECT coalesce(spent.agent_id, open.agent_id) AS key, {usd_sql('coalesce(usd, 0)', 'today_usd')}, {usd_sql('cost_usd', 'block_usd')},
+  greatest(0, block_end - {ms}) AS remaining_ms, {usd_sql('total_tokens / (greatest(60000, gone) / 60000.0)', 'tokens_per_minute')},
+  {usd_sql('cost_usd / (greatest(60000, gone) / 3600000.0)', 'cost_per_hour')},
+  CASE WHEN total_tokens / (greatest(60000, gone) / 60000.0) > 5000 THEN 'high' WHEN total_tokens / (greatest(60000, gone) / 60000.0) > 2000 THEN 'moderate'
+    WHEN total_tokens IS NOT NULL THEN 'normal' END AS level FROM spent FULL JOIN open ON spent.agent_id = open.agent_id""")
 
 
-@check("r06_stream_live_view", with_sql(EVENTS_SQL, PRICES_SQL, f"\ntd AS (SELECT * FROM e WHERE day = '2024-01-30')", grouped_sql("td", ["agent_id", "model"]), priced_sql("g"),
-                                        select=f"SELECT agent_id AS key, {usd_sql('sum(cost_usd)', 'today_usd')} FROM priced GROUP BY 1"))
-def _(spark, sf, work):
-    usage = event_stream(spark, sf).withColumn("key", F.col("agent_id"))
-    drain(jobs.live_job(usage, f"{work}/state", f"{work}/view", f"{work}/ck", R6_NOW))
-    return usd_columns(spark.read.parquet(f"{work}/view").select("key", "today_usd"), "today_usd")
+def priced_now():
+    """Usage of the chosen day per agent and model, priced."""
+    return f"WITH {grouped_sql('day_used', ['agent_id', 'model'], 'dg').strip()}, {priced_sql('dg', 'dp').strip()} SELECT agent_id, cost_usd FROM dp"
+
+
+R6_NOWS = {"evening": dt.datetime(2024, 1, 30, 20), "early": dt.datetime(2024, 1, 30, 3, 30), "after_midnight": dt.datetime(2024, 1, 31, 0, 20)}
+
+
+def _live(now):
+    def run(spark, sf, work):
+        """Events arrive in two interleaved batches, so blocks grow in the second."""
+        usage = events_from(table(spark, sf, "events")).withColumn("key", F.col("agent_id"))
+        for k, part in enumerate((F.col("event_id") % 2 == 0, F.col("event_id") % 2 == 1)):
+            usage.filter(part).write.parquet(f"{work}/in/part={k}")
+            arrived = spark.readStream.schema(usage.schema).parquet(f"{work}/in").drop("part")
+            drain(jobs.live_job(arrived, f"{work}/state", f"{work}/view", f"{work}/ck", lambda: now))
+        return usd_columns(spark.read.parquet(f"{work}/view"), "today_usd", "block_usd", "tokens_per_minute", "cost_per_hour")
+
+    return run
+
+
+for _name, _now in R6_NOWS.items():
+    check("r06_stream_live_view" if _name == "evening" else f"r06_stream_live_view_{_name}", r6_sql(_now))(_live(_now))

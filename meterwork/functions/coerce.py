@@ -19,8 +19,8 @@ _NUMBER = r'^"?\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)\s*"?$'
 _DIGITS = r'^(?:"\s*)?(\d+)(?:\s*"|\.0+)?$'
 _BLANK = r'^"\s*"$'
 _BLANKS = " \t\r\n\f"
-# Largest integer a double holds exactly.
-_MAX_WHOLE = 9007199254740991.0
+# What a count beyond BIGINT reads as.
+_MOST = (1 << 63) - 1
 
 
 def get(v: Column | str, path: str) -> Column:
@@ -87,9 +87,9 @@ def lenient_number(node: Column) -> Column:
 
 
 def whole(value: Column) -> Column:
-    """Truncate toward zero and floor at zero."""
-    bounded = F.least(F.greatest(value, F.lit(0.0)), F.lit(_MAX_WHOLE))
-    return F.coalesce(bounded.cast("bigint"), F.lit(0).cast("bigint"))
+    """Truncate toward zero and floor at zero; beyond BIGINT is its largest value, no number is 0."""
+    floored = F.greatest(value, F.lit(0.0))
+    return F.coalesce(floored.try_cast("bigint"), F.when(floored > 0, F.lit(_MOST)), F.lit(0).cast("bigint"))
 
 
 def count(*nodes: Column) -> Column:

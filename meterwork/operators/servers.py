@@ -9,6 +9,7 @@ from ..functions import coerce as c
 from ..functions.text import server_of_tool
 from .dedup import keep_first
 
+# Fixed value: the source shown for servers that no configuration names.
 OBSERVED_SOURCE = "observed in transcripts (plugin or external config)"
 
 
@@ -20,32 +21,35 @@ def _names(text: Column, path: str) -> Column:
 
 
 def configured_servers(project_files: DataFrame, global_files: DataFrame, projects: DataFrame) -> DataFrame:
-    """(project_path, name, source); project file beats global file beats the global per-project entry.
+    """(home, project_path, name, source); project file beats global file beats the global per-project entry.
 
     project_files(project_path, file, value), global_files(file, value) and
-    projects(project_path). Names of the global file hold for every project.
+    projects(project_path), each with ``home`` unless all files are of one home.
+    Names of a global file hold for every project of its home.
     """
+    one_home = "home" not in global_files.columns
+    if one_home:
+        project_files, global_files, projects = (df.withColumn("home", F.lit("")) for df in (project_files, global_files, projects))
+    place = ["home", "project_path"]
+    projects = projects.select(*place).distinct()
     empty = F.lit([]).cast("array<string>")
-    top = global_files.select("file", "value", F.from_json("value", "map<string,string>").alias("doc"))
-    own = project_files.select("project_path", F.posexplode(_names(F.col("value"), "mcpServers")).alias("pos", "name"), "file")
-    ranked_own = own.select("project_path", "name", F.col("file").alias("source"), F.lit(0).alias("rank"), "pos")
-    shared = top.select("file", F.posexplode(_names(F.col("value"), "mcpServers")).alias("pos", "name"))
-    # One value: the name list of the global document, bounded by that document's size.
-    listed_globally = shared.agg(F.collect_list(F.struct("pos", "name", "file"))).scalar()
-    ranked_shared = projects.select("project_path", F.explode(listed_globally).alias("g")).select(
-        "project_path", "g.name", F.col("g.file").alias("source"), F.lit(1).alias("rank"), "g.pos"
-    )
+    top = global_files.select("home", "file", "value", F.from_json("value", "map<string,string>").alias("doc"))
+    own = project_files.select(*place, F.posexplode(_names(F.col("value"), "mcpServers")).alias("pos", "name"), "file")
+    ranked_own = own.select(*place, "name", F.col("file").alias("source"), F.lit(0).alias("rank"), "pos")
+    shared = top.select("home", "file", F.posexplode(_names(F.col("value"), "mcpServers")).alias("pos", "name"))
+    ranked_shared = projects.join(shared, "home").select(*place, "name", F.col("file").alias("source"), F.lit(1).alias("rank"), "pos")
     entries = top.select(
-        "file", F.explode(F.from_json(F.try_element_at("doc", F.lit("projects")), "map<string,string>")).alias("project_path", "entry")
+        "home", "file", F.explode(F.from_json(F.try_element_at("doc", F.lit("projects")), "map<string,string>")).alias("project_path", "entry")
     )
     listed = entries.select(
-        "project_path", "file", F.posexplode(F.coalesce(_names(F.col("entry"), "mcpServers"), empty)).alias("pos", "name")
-    ).join(projects, "project_path", "left_semi")
+        *place, "file", F.posexplode(F.coalesce(_names(F.col("entry"), "mcpServers"), empty)).alias("pos", "name")
+    ).join(projects, place, "left_semi")
     ranked_entry = listed.select(
-        "project_path", "name", F.concat("file", F.lit(" (project entry)")).alias("source"), F.lit(2).alias("rank"), "pos"
+        *place, "name", F.concat("file", F.lit(" (project entry)")).alias("source"), F.lit(2).alias("rank"), "pos"
     )
     every = ranked_own.unionByName(ranked_shared).unionByName(ranked_entry)
-    return keep_first(every, ["project_path", "name"], ["rank", "pos"]).select("project_path", "name", "source", "rank", "pos")
+    kept = keep_first(every, [*place, "name"], ["rank", "pos"]).select(*place, "name", "source", "rank", "pos")
+    return kept.drop("home") if one_home else kept
 
 
 def _cut_points(name: Column, pad: str) -> Column:
@@ -62,7 +66,7 @@ def tool_servers(tools: DataFrame, scope: list[str]) -> DataFrame:
     so matching them against configured servers is an equi-join.
     """
     mcp = tools.filter(F.col("tool_name").startswith("mcp__"))
-    rest = F.substring("tool_name", 6, 1 << 30)
+    rest = F.substr(F.col("tool_name"), F.lit(6))
     return (
         mcp.select(*scope, "calls", "cost_usd", F.explode(_cut_points(rest, "")).alias("name"))
         .groupBy(*scope, "name")
@@ -113,11 +117,14 @@ def merge_servers(audits: DataFrame, scope: list[str], order: list[str]) -> Data
 
 
 def config_project_paths(global_files: DataFrame) -> DataFrame:
-    """(sanitized, real_path) for every project named in the global configuration."""
+    """([home,] sanitized, real_path) for every project named in a global configuration; of paths that read alike the last one listed."""
     from ..functions.text import sanitize_path
 
     doc = F.from_json("value", "map<string,string>")
+    home = ["home"] if "home" in global_files.columns else []
     keys = global_files.select(
-        F.explode(F.map_keys(F.from_json(F.try_element_at(doc, F.lit("projects")), "map<string,string>"))).alias("real_path")
-    ).distinct()
-    return keys.groupBy(sanitize_path(F.col("real_path")).alias("sanitized")).agg(F.max("real_path").alias("real_path"))
+        *home, F.posexplode(F.map_keys(F.from_json(F.try_element_at(doc, F.lit("projects")), "map<string,string>"))).alias("pos", "real_path")
+    )
+    return keys.groupBy(*home, sanitize_path(F.col("real_path")).alias("sanitized")).agg(
+        F.max_by("real_path", F.struct("pos", "real_path")).alias("real_path")
+    )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.measures import MEASURES, sums
 from ..functions.times import in_range
+from ..session import stage
 from .prices import with_cost
 
 SESSION = ["agent_id", "session_id"]
@@ -48,7 +49,10 @@ def tool_cube(tools: DataFrame, live: DataFrame | None = None) -> DataFrame:
 
 
 def cubes(facts: Facts, live: DataFrame | None = None) -> Facts:
-    return Facts(usage_cube(facts.usage), tool_cube(facts.tools, live), facts.sessions)
+    """The tables every mart regroups, each built once and staged; ``session.clear_staged`` removes them."""
+    return Facts(
+        stage(usage_cube(facts.usage), "usage-cube"), stage(tool_cube(facts.tools, live), "tool-cube"), stage(facts.sessions, "sessions")
+    )
 
 
 def clamp(facts: Facts, bounds: tuple[str, str] | None) -> Facts:

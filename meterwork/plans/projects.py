@@ -102,10 +102,10 @@ def matching(projects: DataFrame, query: str) -> DataFrame:
 
 
 def ordered(projects: DataFrame, mode: str = "cost") -> DataFrame:
-    """By cost, by most recent activity or by name; ties by id."""
+    """By cost, by most recent activity or by name, ties by id; ``rank`` holds the place. Lists of projects are report-sized."""
     keys = {
         "cost": F.desc("total_cost_usd"),
         "recent": F.desc(F.coalesce("span_end", F.lit(""))),
         "name": F.asc("label"),
     }
-    return projects.orderBy(keys[mode], F.asc("project_id"))
+    return projects.withColumn("rank", F.row_number().over(Window.orderBy(keys[mode], F.asc("project_id")))).orderBy("rank")

@@ -184,6 +184,11 @@ def top(mart: DataFrame, by: str, key: str, n: int, scope: list[str] | None = No
     return mart.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
 
 
+def by_cost(mart: DataFrame, by: str, key: str) -> DataFrame:
+    """T5: the whole mart by falling ``by``, ties by name; ``rank`` holds the place."""
+    return mart.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(by), F.asc(key)))).orderBy("rank")
+
+
 def top_tools(tools: DataFrame, n: int = 15) -> DataFrame:
     """By cost if any tool cost anything, else by calls; both orders agree with the one below.
 

@@ -21,6 +21,7 @@ SETTINGS = {
 STARTUP_SETTINGS = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
 
 _LOCAL_ROOT: list[str] = []
+_STAGED: list[str] = []
 
 
 def build_session(master: str | None = None, app: str = "meterwork", **extra: str) -> SparkSession:
@@ -67,4 +68,20 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{staging_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def staged_mark() -> int:
+    """How many tables this process has staged; give it to ``clear_staged`` to keep those."""
+    return len(_STAGED)
+
+
+def clear_staged(spark: SparkSession, since: int = 0) -> int:
+    """Delete the tables this process staged after ``since`` (their readers must be done); returns their number."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    paths, _STAGED[since:] = _STAGED[since:], []
+    for path in paths:
+        place = hadoop.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    return len(paths)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.measures import zero
 from ..operators.dedup import first_records
 from ..operators.usage import SESSION, TOOL_COLUMNS, USAGE_COLUMNS, Facts
+from ..session import stage
 
 PLACE = ["file", "block_start", "line_no", "pos"]
 
@@ -58,9 +59,9 @@ def sessions_of(usage: DataFrame, cwd: DataFrame | None = None) -> DataFrame:
 
 
 def records_to_facts(records: DataFrame, dedup: bool, cwd: DataFrame | None = None) -> Facts:
-    """P14 then D1 then the canonical tables."""
+    """P14 then D1 then the canonical tables. The typed rows are staged: sessions, cubes and marts never parse the log again."""
     used = records.filter(
         F.col("input_tokens") + F.col("output_tokens") + F.col("cache_read_tokens") + F.col("cache_write_tokens") != 0
     )
-    usage = complete(first_records(used) if dedup else used)
+    usage = stage(complete(first_records(used) if dedup else used), "records")
     return Facts(usage, no_tools(usage), sessions_of(usage, cwd))

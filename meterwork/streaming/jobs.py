@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable, Iterator
-from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -20,6 +19,7 @@ from ..functions.measures import MEASURES, sums, total_tokens
 from ..functions.times import HOUR_MS
 from ..operators.blocks import BLOCK_MS, burn_level, burn_rate
 from ..operators.deltas import COUNTERS
+from ..operators.ordered import Running, line_chunk, running
 from ..operators.prices import with_cost
 
 STATE_STORE = {
@@ -52,32 +52,41 @@ def stream_lines(spark: SparkSession, paths: str, glob: str = "*.jsonl", files_p
     )
 
 
-def ingest(lines: DataFrame, parse: Callable[[DataFrame], DataFrame], table: str, checkpoint: str):
+def ingest(lines: DataFrame, parse: Callable[[DataFrame], DataFrame], table: str, checkpoint: str, then: Callable[[], None] | None = None):
     """Run an adapter's parser on each batch of whole files and append the rows to ``table``.
 
     A file arrives whole in one batch, so file-local state (sticky models,
     snapshots) is complete inside the batch. The batch id names the folder:
-    a repeated batch replaces its own output.
+    a repeated batch replaces its own output. ``then`` runs after each batch
+    has landed, e.g. a stateful step that must see one batch at a time.
     """
     def land(batch: DataFrame, batch_id: int) -> None:
         parse(batch).write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+        if then:
+            then()
 
     return lines.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
 GROWTH = ["message_id", "file", "day", "model"]
-SLICE_ROWS = 10_000
+BEFORE = [f"before_{c}" for c in COUNTERS]
 
 
-def growth_per_file(lines: DataFrame) -> DataFrame:
-    """R2 input: counted lines with a message id, reduced to one row of maxima per (id, file, day, model).
+def growth_lines(lines: DataFrame) -> DataFrame:
+    """R2 input: of the counted lines with a message id those that raise a counter above all earlier lines of the batch.
 
-    Meant for ``ingest``: it runs as a batch aggregation with map-side partial
-    maxima, so an id that fills a third of a batch reaches the stateful step as
-    one row per file. An id's total is its maximum whatever the grouping.
+    Meant for ``ingest``: the highest value before each line comes from the
+    chunked running maximum of W1, so an id that fills a third of a batch is
+    spread over tasks, and lines that add nothing never reach the stateful step.
+    ``opens`` marks the id's first line in the batch.
     """
-    counted = lines.filter(F.col("counted") & F.col("message_id").isNotNull())
-    return counted.groupBy(*GROWTH).agg(F.min("line_no").alias("line_no"), *[F.max(c).alias(c) for c in COUNTERS])
+    counted = lines.filter(F.col("counted") & F.col("message_id").isNotNull()).select(
+        *GROWTH, F.lit(0).cast("bigint").alias("block_start"), "line_no", F.lit(0).cast("bigint").alias("pos"), *COUNTERS)
+    specs = [Running(b, "max", F.col(c)) for b, c in zip(BEFORE, COUNTERS)] + [Running("_seen", "max", F.lit(1))]
+    placed = running(counted, ["message_id"], specs, line_chunk())
+    opens = F.col("_seen").isNull()
+    raises = F.array_max(F.array(*[F.col(c) > F.greatest(F.coalesce(b, F.lit(0)), F.lit(0)) for b, c in zip(BEFORE, COUNTERS)]))
+    return placed.filter(opens | raises).select(*GROWTH, "line_no", *COUNTERS, *[F.coalesce(b, F.lit(0)).alias(b) for b in BEFORE], opens.alias("opens"))
 
 
 def lone_lines(lines: DataFrame) -> DataFrame:
@@ -87,42 +96,65 @@ def lone_lines(lines: DataFrame) -> DataFrame:
 
 
 class _Deltas(StatefulProcessor):
-    """Highest counters seen per message id."""
+    """Highest counters seen per message id in earlier batches; rows of a batch may come in any order."""
+
+    def __init__(self, keep_ms: int | None) -> None:
+        self._keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         schema = T.StructType([T.StructField(c, T.LongType()) for c in COUNTERS])
-        self._high = handle.getValueState("high", schema)
+        self._high = handle.getValueState("high", schema, self._keep_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         stored = self._high.get()
-        first, high = stored is None, [0] * len(COUNTERS) if stored is None else list(stored)
-        # Slice by slice, so a long group is never held whole; most ids have one row per batch.
-        while part := list(islice(rows, SLICE_ROWS)):
-            for row in sorted(part, key=lambda r: (r.file, r.line_no)):
-                top = [max(h, row[c]) for h, c in zip(high, COUNTERS)]
-                added = {c: t - h for c, t, h in zip(COUNTERS, top, high)}
-                yield Row(**{**row.asDict(), **added, "turns": int(first)})
-                first, high = False, top
+        first, base = stored is None, [0] * len(COUNTERS) if stored is None else list(stored)
+        high = list(base)
+        for row in rows:
+            added = {c: max(0, row[c] - max(h, row[b])) for c, b, h in zip(COUNTERS, BEFORE, base)}
+            high = [max(h, row[c]) for h, c in zip(high, COUNTERS)]
+            turn = int(first and row["opens"])
+            if turn or any(added.values()):
+                yield Row(**{c: row[c] for c in [*GROWTH, "line_no"]}, **added, turns=turn)
         self._high.update(tuple(high))
 
     def close(self) -> None:
         pass
 
 
-def message_deltas_stream(growth: DataFrame) -> DataFrame:
-    """R2: running-max deltas per message id, in order of arrival; reads the landed ``growth_per_file`` rows."""
+def message_deltas_stream(growth: DataFrame, keep: dt.timedelta | None = None) -> DataFrame:
+    """R2: running-max deltas per message id from the landed ``growth_lines``, equal to W1 line by line.
+
+    A micro-batch must hold one landed batch: run it as the ``then`` of ``ingest``. State of ids that did not grow
+    for ``keep`` is dropped; without it every id is kept.
+    """
     out = T.StructType(
         [T.StructField(c, T.StringType()) for c in GROWTH]
         + [T.StructField("line_no", T.LongType())]
         + [T.StructField(c, T.LongType()) for c in [*COUNTERS, "turns"]]
     )
+    keep_ms = None if keep is None else int(keep.total_seconds() * 1000)
     return (
-        growth.select(*GROWTH, "line_no", *COUNTERS)
+        growth.select(*GROWTH, "line_no", *COUNTERS, *BEFORE, "opens")
         .groupBy("message_id")
-        .transformWithState(_Deltas(), outputStructType=out, outputMode="Append", timeMode="None")
+        .transformWithState(_Deltas(keep_ms), outputStructType=out, outputMode="Append", timeMode="None" if keep is None else "ProcessingTime")
     )
 
 
+def message_deltas_job(lines: DataFrame, work: str, keep: dt.timedelta | None = None):
+    """R2: land growth batch by batch under ``work`` and turn each into deltas at ``work``/deltas before the next one lands."""
+    spark = lines.sparkSession
+    names = [*GROWTH, "line_no", *COUNTERS, *BEFORE, "opens"]
+    types = {**dict.fromkeys(GROWTH, "string"), "opens": "boolean"}
+    schema = ", ".join(f"{c} {types.get(c, 'bigint')}" for c in names)
+
+    def follow() -> None:
+        growth = spark.readStream.schema(schema).parquet(f"{work}/growth")
+        # One batch; state with an age would otherwise ask for further batches without end.
+        run_to_table(message_deltas_stream(growth, keep), f"{work}/deltas", f"{work}/deltas-checkpoint", one_batch=True)
+
+    return ingest(lines, growth_lines, f"{work}/growth", f"{work}/growth-checkpoint", follow)
+
+
 def first_of(stream: DataFrame, keys: list[str], event_time: str = "ts", delay: str = "1 day") -> DataFrame:
     """Drop copies of a record, tool call or span that come within the watermark delay."""
     return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys)
@@ -264,41 +296,58 @@ def live_view(daily: DataFrame, blocks: DataFrame, today: str, now_ms: int, live
     return spent.join(pace, "key", "full_outer").withColumn("today_usd", F.coalesce("today_usd", F.lit(0.0)))
 
 
-def live_job(usage_stream: DataFrame, state_table: str, view_table: str, checkpoint: str, now: dt.datetime):
+COMPACT_EVERY = 50
+
+
+def live_job(usage_stream: DataFrame, state_table: str, view_table: str, checkpoint: str, now: Callable[[], dt.datetime]):
     """Keep hourly usage per key as a partial table and rewrite the view after every batch.
 
-    Each batch writes its own sums (replacing them if it is repeated), split by
-    day; the view adds the partial rows since the live cutoff (S25) and reads
-    no older day.
+    Whole files are pruned, never hours of a file: with an ``mtime`` column, rows of files last touched before the
+    live cutoff (S25) are left out as they arrive. Each batch writes its own hourly sums (replacing them if it is
+    repeated); every ``COMPACT_EVERY`` batches the sums so far become one folder, so the table holds one row per
+    (key, hour, model) plus the batches since. ``now`` is asked once per batch.
     """
     from ..operators.blocks import build_blocks
     from ..sources.lines import live_cutoff
 
-    now_ms = int(now.replace(tzinfo=dt.timezone.utc).timestamp() * 1000)
-    cutoff = dt.datetime.fromisoformat(live_cutoff(now)).replace(tzinfo=dt.timezone.utc)
-
     def update(batch: DataFrame, batch_id: int) -> None:
+        at = now()
+        now_ms = int(at.replace(tzinfo=dt.timezone.utc).timestamp() * 1000)
+        kept = batch.filter(F.col("mtime") >= live_cutoff(at)) if "mtime" in batch.columns else batch
         hour = F.floor(F.col("ts_ms") / HOUR_MS) * HOUR_MS
-        partial = batch.groupBy("key", "day", "model", hour.alias("hour_ms")).agg(*sums(), F.min("ts_ms").alias("ts_ms"))
-        partial.write.mode("overwrite").partitionBy("day").parquet(f"{state_table}/batch={batch_id}")
-        schema = partial.schema.add("batch", T.IntegerType())
-        recent = (F.col("day") >= cutoff.strftime("%Y-%m-%d")) & (F.col("ts_ms") >= int(cutoff.timestamp() * 1000))
-        known = batch.sparkSession.read.schema(schema).parquet(state_table).filter(recent)
+        # The first and the last event of an hour are kept apart: blocks show both times.
+        first, last = F.min("ts_ms").alias("ts_ms"), F.max("ts_ms").alias("until_ms")
+        partial = kept.groupBy("key", "day", "model", hour.alias("hour_ms")).agg(*sums(), first, last)
+        partial.write.mode("overwrite").parquet(f"{state_table}/batch={batch_id}")
+        spark = batch.sparkSession
+        base = batch_id // COMPACT_EVERY * COMPACT_EVERY
+        if batch_id and base == batch_id:
+            before = read(spark, partial.schema, max(0, base - COMPACT_EVERY), base - 1)
+            merged = before.groupBy("key", "day", "model", "hour_ms").agg(*sums(), F.min("ts_ms").alias("ts_ms"), F.max("until_ms").alias("until_ms"))
+            merged.write.mode("overwrite").parquet(f"{state_table}/upto={base - 1}")
+        known = read(spark, partial.schema, base, batch_id)
         daily = known.groupBy("key", "day", "model").agg(*sums())
-        blocks = build_blocks(known, ["key"], now_ms)
-        live_view(daily, blocks, now.strftime("%Y-%m-%d"), now_ms).write.mode("overwrite").parquet(view_table)
+        none = [F.lit(0).cast("bigint").alias(m) for m in MEASURES]
+        ends = known.select("key", "day", "model", F.col("until_ms").alias("ts_ms"), *none)
+        blocks = build_blocks(known.select("key", "day", "model", "ts_ms", *MEASURES).unionByName(ends), ["key"], now_ms)
+        live_view(daily, blocks, at.strftime("%Y-%m-%d"), now_ms).write.mode("overwrite").parquet(view_table)
+
+    def read(spark: SparkSession, schema: T.StructType, base: int, last: int) -> DataFrame:
+        """The compacted sums before ``base`` and the batches from there on."""
+        paths = ([f"{state_table}/upto={base - 1}"] if base else []) + [f"{state_table}/batch={k}" for k in range(base, last + 1)]
+        return spark.read.schema(schema).parquet(*paths)
 
     return usage_stream.writeStream.foreachBatch(update).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
-def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Process everything available, append it to a Parquet table and read the table back."""
+def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", one_batch: bool = False) -> DataFrame:
+    """Process everything available, in one batch if asked, append it to a Parquet table and read the table back."""
     query = (
         stream.writeStream.format("parquet")
         .outputMode(mode)
         .option("path", path)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**({"once": True} if one_batch else {"availableNow": True}))
         .start()
     )
     query.awaitTermination()

@@ -46,14 +46,18 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(docs.select("doc_id", "source", "text"), queries.tokenizer())
 
 
-STAGES = [("quality", quality), ("exact_copies", exact_copies), ("near_copies", near_copies), ("mix", mix), ("tokens", tokens)]
+def _with_settings(stage):
+    """Stages are also called one by one on sessions of others: day keys in UTC, Arrow batches of a few megabytes."""
+    return lambda spark, docs, sf_dir: stage(use_settings(spark), docs, sf_dir)
+
+
+STAGES = [(f.__name__, _with_settings(f)) for f in (quality, exact_copies, near_copies, mix, tokens)]
 
 #: The classifier and the tokenizer are beyond SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    use_settings(spark)
     root = f"{staging_root(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):

@@ -36,8 +36,8 @@ from pyspark.sql.types import StructType
 from meterwork.llm.common import slices, text_bytes, texts_of
 
 #: Pre-tokens remembered by a process; the memory is emptied when it is full, results do not change.
-REMEMBERED = 300_000
-_BYTES_AT_ONCE = 1 << 22
+REMEMBERED = 150_000
+_BYTES_AT_ONCE = 1 << 20
 #: Bytes are mapped to consecutive letters of Latin Extended and what follows, none of which sentencepiece treats specially.
 _FIRST = 0x100
 _BPE, _NORMAL, _UNKNOWN = 2, 1, 2

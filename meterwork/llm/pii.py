@@ -104,6 +104,7 @@ def symbols(text: str) -> np.ndarray:
 @dataclass(frozen=True)
 class Fit:
     rows: int = 3000
+    drawn: int = 30  # documents looked at for each row wanted
     around: int = 60
     hidden: int = 8
     batch: int = 96
@@ -290,7 +291,9 @@ def train(snippets: list[str], fit: Fit = Fit()) -> Network:
 def learn(docs: DataFrame, fit: Fit = Fit(), id_column: str = "doc_id", text_column: str = "text") -> Network:
     """Train on snippets of drawn documents: those with digits or "@" around the first of them, and as many without."""
     first = F.regexp_instr(F.col(text_column), F.lit(r"[0-9]{2}|\+[0-9]|@"))
-    drawn = docs.filter(F.col(id_column).isNotNull() & (F.length(text_column) > 0)).select(
+    # Thinned by the draw first: what is sorted and sent stays the same however many documents there are.
+    thin = F.pmod(F.xxhash64(id_column), F.lit(1 << 20)) < F.lit(fit.drawn * fit.rows * float(1 << 20) / max(1, docs.count()))
+    drawn = docs.filter(F.col(id_column).isNotNull() & (F.length(text_column) > 0) & thin).select(
         F.col(id_column).alias("id"), F.xxhash64(id_column).alias("draw"), F.col(text_column).alias("text"), first.alias("first"))
     begin = F.greatest(F.col("first") - fit.around, F.lit(1))
     drawn = drawn.select("id", "draw", (F.col("first") > 0).alias("held"), F.substr("text", begin, F.lit(3 * fit.around)).alias("snippet"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterwork.llm.common import slices, text_bytes, texts_of
+from meterwork.llm.common import join_side, slices, staged_small, text_bytes, texts_of
 from meterwork.llm.recurrent import Adam, Bidirectional, Gru, by_length, emissions, padded, windows
 
 UNDETERMINED = "und"
@@ -119,9 +119,9 @@ def learn(docs: DataFrame, teaches: Column, fit: Fit = Fit(), id_column: str = "
     known = docs.filter(teaches & F.col(id_column).isNotNull() & F.col(lang_column).isNotNull() & (F.length(text_column) > 0)).select(
         F.col(lang_column).alias("lang"), F.col(id_column).alias("id"), F.xxhash64(id_column).alias("draw"), F.col(text_column).alias("text"))
     # Thinned by the draw to about three times what is wanted before languages are ranked, so that a common one stays small.
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    counts, small = staged_small(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
     wanted = F.pmod(F.col("draw"), F.lit(1 << 20)) < F.lit(3.0 * fit.per_language * (1 << 20)) / F.col("n")
-    drawn = known.join(counts, "lang").filter(wanted)
+    drawn = known.join(join_side(counts, small), "lang").filter(wanted)  # texts are not shuffled for it
     place = F.pmod(F.col("draw"), F.greatest(F.length("text") - fit.piece, F.lit(1)).cast("bigint")) + 1
     pieces = drawn.select("lang", "id", "draw", F.substr(F.col("text"), place.cast("int"), F.lit(fit.piece)).alias("text"))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "id", "text"))

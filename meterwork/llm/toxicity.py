@@ -2,7 +2,8 @@
 
 A word's input is the sum of a word vector (words of the vocabulary; others share one) and the scaled sum of hashed
 vectors of its character trigrams and beginnings; the network reads windows of words, and attention weighs the states of a window into one
-logit. Every text is read whole in overlapping windows; a document's score is that of its most toxic window.
+logit. Every text is read whole in overlapping windows; a document's score is that of its most toxic window. Units without white space
+that are longer than ``UNIT`` bytes (unspaced scripts, glued words, long runs) enter as overlapping pieces, in training and scoring alike.
 
 Training runs in numpy on the driver on a bounded sample (``Fit``): at most ``per_label`` documents of each label, drawn
 by a hash of their id, ``piece`` characters from a drawn place each when they are longer. The first vector entries of
@@ -35,6 +36,9 @@ _BYTES_AT_ONCE = 1 << 21
 _WINDOWS_AT_ONCE = 2048
 #: A clean document called toxic counts as so many missed toxic ones when the cut is set.
 CLEAN_COST = 2.0
+#: Bytes of the longest input. A longer unit is cut into pieces of ``_PIECE`` bytes, about as dense as words are, so that what is in
+#: the midst of it weighs as much as in a word; they overlap by the longest character input.
+UNIT, _PIECE, _LAP = 64, 16, 8
 _TRIM = b".,;:!?\"'()[]{}<>*#$%&|/\\-_=+~`^@"
 
 
@@ -59,14 +63,18 @@ class Fit:
 
 
 def words_of(text: bytes) -> list[bytes]:
-    """Lower-cased words without punctuation around them."""
-    return [w.strip(_TRIM) for w in text.lower().split()]
+    """Lower-cased words without punctuation around them; the pieces, in order, of those longer than ``UNIT``."""
+    words = [w.strip(_TRIM) for w in text.lower().split()]
+    if not words or max(map(len, words)) <= UNIT:
+        return words
+    cut = lambda w: [w[i : i + _PIECE] for i in range(0, len(w) - _LAP, _PIECE - _LAP)]
+    return [x for w in words for x in (cut(w) if len(w) > UNIT else (w,))]
 
 
 @lru_cache(maxsize=1 << 18)
 def grams(word: bytes, rows: int) -> tuple[int, ...]:
     """Hashed character inputs of a word: its trigrams, and its beginnings of four to seven bytes."""
-    held = b"<" + word[:64] + b">"
+    held = b"<" + word + b">"
     cut = [held[i : i + 3] for i in range(max(1, len(held) - 2))]
     return tuple([crc32(x) % rows for x in cut + [held[:n] for n in range(5, min(9, len(held)))]])
 

@@ -86,6 +86,29 @@ def test_toxic_words_and_beginnings(docs, prose, spark):
     assert max(r["score"] for r in toxicity.scored(docs(rows), blank).collect()) < 0.5
 
 
+def test_long_units_are_read_whole(docs, prose):
+    unit = bytes(random.Random(1).randrange(97, 123) for _ in range(1000))
+    for n in (0, 1, 63, 64, 65, 66, 72, 73, 1000):
+        got = toxicity.words_of(unit[:n])
+        assert got == [unit[:n]][:n] if n <= 64 else all(any(unit[i : min(i + 8, n)] in x for x in got) for i in range(n)) and max(map(len, got)) <= 64
+    assert toxicity.words_of(b"Ab, (cd) -- " + b"x" * 64) == [b"ab", b"cd", b"", b"x" * 64]
+    # Texts of one unit each with toxic words behind byte 64 only.
+    rude_words, rows = ("zounds", "knavexx", "knaveyy", "villain"), []
+    for i, text in rude(prose):
+        words = [w for w in text.split() if w not in rude_words]
+        for w in text.split():
+            if w in rude_words:
+                words.insert(random.Random(i).randrange(20, len(words)), w)
+        rows.append((i, ["", "_", "\u00a0", "\u3000"][i % 7 % 4].join(words)))
+        assert len(rows[-1][1].encode().split()) == 1 and not any(w in rows[-1][1][:64] for w in rude_words)
+    for taught, least in ((rows, 1.0), (rude(prose), 0.75)):
+        some = [(t.encode(), int(i % 4 == 0)) for i, t in taught if i % 5]
+        net = toxicity.train([t for t, _ in some], [y for _, y in some], toxicity.Fit(steps=120))
+        got = {r["doc_id"]: r["score"] >= 0.5 for r in toxicity.scored(docs([x for x in rows if x[0] % 5 == 0]), net).collect()}
+        assert not any(hit for i, hit in got.items() if i % 4)
+        assert sum(hit for i, hit in got.items() if i % 4 == 0) >= least * sum(i % 4 == 0 for i in got)
+
+
 PLANTED = "Write to Ann.Lee+x@mail.example.co.uk or call +1 (743) 555-3824, host 10.20.30.255, card 4785 3805 9239 1139."
 
 

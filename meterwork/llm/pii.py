@@ -73,7 +73,7 @@ def base_spans(text: str) -> list[Span]:
     """Spans of the fixed patterns, by start, then kind."""
     found = list(_emails(text))
     if _DIGIT.search(text):
-        found += [(1, m.start(), m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        found += [(1, m.start(), m.end()) for m in _IP.finditer(text) if all(len(q := p.lstrip("0")) <= 3 and int(q or "0") <= 255 for p in m[0].split("."))]
         for m in _CARD.finditer(text):
             if 14 <= len(d := _digits(m[0])) <= 19 and luhn(d):
                 found.append((2, m.start(), m.end()))

@@ -132,6 +132,11 @@ def test_base_spans_equal_the_plain_patterns():
     assert pii.base_spans("a" * 200_000 + "@") == [] and pii.base_spans("1" * 200_000) == []
 
 
+def test_addresses_with_thousands_of_leading_zeros():
+    zeros = "0" * 5000
+    assert pii.base_spans(f"1.2.3.{zeros}") == [(1, 0, 5006)] == pii.base_spans(f"1.2.3.{zeros[:-3]}255") and pii.base_spans(f"1.2.3.{zeros}256") == []
+
+
 def test_viterbi_equals_brute_force():
     rng = np.random.default_rng(4)
     moves = np.where(np.eye(5, dtype=bool) | (np.arange(5)[:, None] == 0) | (np.arange(5) == 0), rng.normal(0, 1, (5, 5)), -1e4).astype(np.float32)

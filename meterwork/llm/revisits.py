@@ -47,10 +47,13 @@ def status_of(block: Column) -> Column:
 
 def headers_of(block: Column) -> Column:
     """Header fields of a block by lower-cased name; of repeated fields the last counts."""
-    lines = F.filter(F.slice(F.split(block, "\r?\n"), 2, 10_000), lambda x: x.contains(":"))
-    pairs = F.transform(lines, lambda x: F.struct(F.lower(F.trim(F.substring_index(x, ":", 1))).alias("k"), F.trim(F.regexp_replace(x, "^[^:]*:", "")).alias("v")))
-    last = F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, 10_000), lambda y: y["k"] == x["k"]))
-    return F.map_from_entries(last)
+    lines = F.filter(F.split(block, "\r?\n"), lambda x, i: (i > 0) & x.contains(":"))
+    pairs = F.array_sort(F.transform(lines, lambda x, i: F.struct(
+        F.lower(F.trim(F.substring_index(x, ":", 1))).alias("k"), i.alias("i"), F.trim(F.regexp_replace(x, "^[^:]*:", "")).alias("v"))))
+    # In the order of (name, line) the last of a name is the one whose neighbour has another name.
+    marked = F.zip_with(pairs, F.slice(pairs, 2, F.size(pairs)), lambda x, y: F.struct(x["k"].alias("k"), x["v"].alias("v"), x["k"].eqNullSafe(y["k"]).alias("again")))
+    last = F.filter(marked, lambda x: ~x["again"])
+    return F.map_from_entries(F.transform(last, lambda x: F.struct(x["k"], x["v"])))
 
 
 def _validator(headers: Column, name: str) -> Column:

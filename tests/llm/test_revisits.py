@@ -25,6 +25,13 @@ def test_urls_and_blocks(spark):
     assert tuple(got[0]) == (304, {"x-y": "1", "etag": "c"}) and tuple(got[1]) == (None, {}) and tuple(got[2]) == (None, None)
 
 
+def test_fields_behind_many_lines(spark):
+    many = "".join(f"X-{i % 10_500}: {i}\r\n" for i in range(12_000))
+    df = spark.createDataFrame([(f"HTTP/1.1 200 OK\r\nETag: a\r\n{many}ETag: b\r\nLast-Modified: m\r\n\r\n",)], "b string")
+    got = df.select(headers_of(F.col("b"))).first()[0]
+    assert got == {f"x-{i % 10_500}": str(i) for i in range(12_000)} | {"etag": "b", "last-modified": "m"}
+
+
 def test_each_outcome(spark):
     rows = [
         (1, "http://a.x/p", 100, block(200, ETag='"1"', Content_Type="text/html", Cache_Control="old", Date="d1"), "h1"),

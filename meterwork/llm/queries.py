@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterwork.llm import byte_bpe, exact, language, line_quality, mixing, pii, revisits, rule_ensemble, simhash, toxicity
+from meterwork.llm import byte_bpe, exact, filter_audit, language, licenses, line_quality, mixing, pii, revisits, rule_ensemble, simhash, spelling, toxicity
 from meterwork.llm.common import is_held_out
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -106,8 +106,26 @@ def op10_pii_lstm(spark: SparkSession, sf: str) -> DataFrame:
     return pii.found(docs, pii.learn(docs))
 
 
+def op11_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spelling.spelling_variants(documents(spark, sf))
+    return rows.select("word", "n", "n_near", "form", "form_n", "root")
+
+
+def op12_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    rows = licenses.scanned(documents(spark, sf))
+    base = F.array_distinct(F.col("places.label"))
+    return rows.select(
+        "doc_id", "n_words", F.size("places").cast("bigint").alias("n_base"), F.array_min("places.first").alias("first_word"), F.array_max("places.first").alias("last_word"),
+        F.array_join(F.array_sort(base), ",").alias("base_labels"), F.array_join(F.array_sort(F.array_union(base, F.col("spans.label"))), ",").alias("labels"), "score")
+
+
+def op13_filter_audit(spark: SparkSession, sf: str) -> DataFrame:
+    return filter_audit.audited(documents(spark, sf), labels(spark, sf))
+
+
 QUERIES = {f.__name__: f for f in (op1_line_quality, op2_exact_dedup, op3_byte_bpe, op4_byte_gru, op5_rule_ensemble, op6_attention_gru,
-                                    op7_pareto_mix, op8_simhash_tiles, op9_revisits, op10_pii_lstm)}
+                                    op7_pareto_mix, op8_simhash_tiles, op9_revisits, op10_pii_lstm, op11_spelling_variants, op12_license_scan,
+                                    op13_filter_audit)}
 
 _STOCK = " OR ".join(f"contains(translate(line, '{UPPER}', '{LOWER}'), '{x}')" for x in line_quality.BOILERPLATE)
 _CLOSING = line_quality.CLOSING.replace("'", "''")
@@ -171,4 +189,38 @@ SELECT record_id, canonical, CASE WHEN met AND tag = f_tag THEN f_id END AS targ
   CASE WHEN met AND tag = f_tag THEN CASE WHEN bare THEN '"' || f_tag || '"' ELSE 'W/"' || tag || '"' END END AS etag,
   CASE WHEN met AND tag = f_tag THEN 'day ' || k::VARCHAR END AS date, CASE WHEN met AND tag = f_tag THEN '9' END AS content_length,
   CASE WHEN met AND tag = f_tag THEN 'max-age=' || k::VARCHAR END AS cache_control, CASE WHEN met AND tag = f_tag THEN 5 END AS n_headers FROM j""",
+    "op11_spelling_variants": rf"""
+WITH RECURSIVE r AS (SELECT doc_id, translate(run, '{UPPER}', '{LOWER}') AS run, count(*) AS n
+      FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents) GROUP BY ALL),
+h AS (SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''),
+        lambda ch: CASE WHEN unicode(ch) < 128 THEN [unicode(ch)::BIGINT] ELSE [195, unicode(ch)::BIGINT - 64] END))),
+        lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(3988292384, x >> 1) ELSE x >> 1 END))) AS h FROM r WHERE length(run) >= 6),
+g AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM g WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+x AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS less FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+p AS (SELECT DISTINCT a.word, b.word AS near, b.n AS near_n FROM x AS a JOIN x AS b ON a.i = b.i AND a.less = b.less AND a.word <> b.word
+      UNION SELECT x.word, v.word, v.n FROM x JOIN v ON x.less = v.word UNION SELECT v.word, x.word, x.n FROM x JOIN v ON x.less = v.word),
+b AS (SELECT word, count(*) AS n_near, max(near_n) AS top FROM p GROUP BY word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 5 * v.n THEN (SELECT min(near) FROM p WHERE p.word = v.word AND p.near_n = b.top) END AS form,
+        CASE WHEN top >= 5 * v.n THEN top END AS form_n FROM v LEFT JOIN b ON b.word = v.word),
+c AS (SELECT word, word AS root, form AS next FROM f UNION ALL SELECT c.word, f.word, f.form FROM c JOIN f ON f.word = c.next)
+SELECT f.word, n, n_near, form, form_n, c.root FROM f JOIN c ON c.word = f.word WHERE c.next IS NULL""",
+    "op13_filter_audit": r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY t) AS first FROM d),
+l AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(l.toxic, false) AS toxic,
+        (len(ws) < 50)::INT + 2 * (100 * len(list_distinct(ws)) < 65 * len(ws))::INT + 4 * (100 * len(regexp_replace(t, '[^A-Z]+', '', 'g')) > 5 * length(t))::INT
+        + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(w.doc_id > first, false)::INT AS bits FROM w LEFT JOIN l ON l.doc_id = w.doc_id),
+m AS (SELECT part, bits, count(*) AS n, count(*) FILTER (good) AS n_good, count(*) FILTER (toxic) AS n_toxic FROM f GROUP BY part, bits),
+e AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS e(f, b)),
+o AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, [a.b, b.b, c.b, d.b, e.b] AS bs FROM e AS a, e AS b, e AS c, e AS d, e
+      WHERE a.b | b.b | c.b | d.b | e.b = 31),
+s AS (SELECT filter_order, step::INT AS step, bs[step] AS own, list_sum(list_prepend(0, bs[1:step - 1]))::INT AS before FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+q AS (SELECT part, filter_order, step, own, sum(CASE WHEN bits & (own | before) = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN bits & own > 0 AND bits & before = 0 THEN n ELSE 0 END) AS removed,
+        sum(CASE WHEN bits & own > 0 AND bits & before > 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN bits = own THEN n ELSE 0 END) AS unique_fails,
+        sum(CASE WHEN bits & own > 0 AND bits & before = 0 THEN n_good ELSE 0 END) AS good_lost, sum(CASE WHEN bits & own > 0 AND bits & before = 0 THEN n_toxic ELSE 0 END) AS toxic_lost
+      FROM m, s GROUP BY ALL)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+  good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM q""",
 }

@@ -33,6 +33,8 @@ from meterwork.session import stage
 
 #: Rows of an id range: the lists of a block hold so many numbers at most.
 RANGE = 1 << 16
+#: Groups of copies that may be broadcast: those of 1 / LARGEST of all rows or more, of which there are LARGEST at most.
+LARGEST = 10_000
 _PIECE = 1 << 20
 _SPACE = b" \t\n\r\x0b\x0c"
 _UPPER = bytes(range(65, 91))
@@ -143,13 +145,21 @@ def postings(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text
              limits: Limits = Limits(), span: int = RANGE) -> DataFrame:
     """(part, block, n, A..E, good, toxic): sorted row numbers of a part's documents within one range of rows."""
     rows = stage(flags(docs, id_column, text_column, part_column, limits).withColumn("row", F.monotonically_increasing_id()), "audit")
-    # Copies are told by SHA-256; only groups of several ids are joined back.
-    groups = rows.filter("id IS NOT NULL").groupBy(F.col("digest").alias("_d")).agg(F.min("id").alias("_first"), F.max("id").alias("_last")).filter("_first < _last").drop("_last")
+    # Copies are told by SHA-256; only groups of several ids are joined back. Groups of
+    # 1 / LARGEST of all rows or more are broadcast, so no key of the join by shuffling holds more than that.
+    ids = [F.min("id").alias("_first"), F.max("id").alias("_last"), F.count(F.lit(1)).alias("_n")]
+    groups = stage(rows.filter("id IS NOT NULL").groupBy(F.col("digest").alias("_d")).agg(*ids).filter("_first < _last").drop("_last"), "audit-copies")
+    large = F.col("_n") * LARGEST >= rows.count()
+    hot = groups.filter(large).select(F.col("_d").alias("_h"), F.col("_first").alias("_hot"))
+    cold = groups.filter(~large).select("_d", "_first", F.lit(0).cast("bigint").alias("_c"))
     said = labels.groupBy(F.col(id_column).alias("_l")).agg(
         *[F.coalesce(F.max(F.col(c).cast("int") == 1), F.lit(False)).alias(out) for c, out in (("quality", "good"), ("toxic", "toxic"))]).filter("good OR toxic")
     # Rows without an id meet no label; the second key spreads them.
     spread = F.when(F.col("id").isNull(), F.col("row")).otherwise(F.lit(0))
-    met = rows.join(groups, F.col("digest") == F.col("_d"), "left").withColumn("E", F.coalesce(F.col("id") > F.col("_first"), F.lit(False))).drop("digest", "_d", "_first")
+    met = rows.join(F.broadcast(hot), F.col("digest") == F.col("_h"), "left")
+    own = F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(F.col("row"))  # rows of hot groups meet nothing here, anywhere
+    met = met.join(cold, (F.col("digest") == F.col("_d")) & (own == F.col("_c")), "left")
+    met = met.withColumn("E", F.coalesce(F.col("id") > F.coalesce("_hot", "_first"), F.lit(False))).drop("digest", "_d", "_c", "_first", "_h", "_hot")
     met = met.join(said.withColumn("_s", F.lit(0).cast("bigint")), (F.col("id") == F.col("_l")) & (spread == F.col("_s")), "left")
     listed = [F.sort_array(F.collect_list(F.when(F.col(c), F.col("row")))).alias(c) for c in (*FILTERS, "good", "toxic")]
     return met.groupBy("part", F.floor(F.col("row") / F.lit(span)).alias("block")).agg(F.count(F.lit(1)).alias("n"), *listed)

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from meterwork.functions.measures import MEASURES, zero
 from meterwork.functions.pricing import FALLBACK_KEY, FALLBACK_PREFIX, STATIC_PRICES
-from meterwork.sources.lines import spread
 from meterwork.operators.usage import SESSION_COLUMNS, TOOL_COLUMNS, USAGE_COLUMNS, Facts, cubes
 
 ISO = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
@@ -48,8 +47,9 @@ def _choose(column: Column, cases: dict[str, str]) -> Column:
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
-    """Events with the usage columns all derivations share."""
-    return events_from(spread(table(spark, sf, "events")))
+    """Events with the usage columns all derivations share. A small table is one split: it is dealt to all cores."""
+    raw, cores = table(spark, sf, "events"), spark.sparkContext.defaultParallelism
+    return events_from(raw.repartition(cores) if len(raw.inputFiles()) < cores else raw)
 
 
 def events_from(raw: DataFrame) -> DataFrame:
@@ -114,8 +114,9 @@ def event_facts(spark: SparkSession, sf: str) -> Facts:
     return Facts(usage, tools, sessions.select(*SESSION_COLUMNS))
 
 
-def event_cubes(spark: SparkSession, sf: str) -> Facts:
-    return cubes(event_facts(spark, sf))
+def event_cubes(spark: SparkSession, sf: str, kept: bool = False) -> Facts:
+    """Most checks read one mart; ``kept`` stages the cubes for those that read several."""
+    return cubes(event_facts(spark, sf), kept=kept)
 
 
 SESSIONS_SQL = """

@@ -5,14 +5,18 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from meterwork.functions.measures import MEASURES
-from meterwork.session import staging_root
+from meterwork.operators.usage import Facts
+from meterwork.session import stage, staging_root
 from meterwork.streaming import jobs
 
+from .files import move_below, write_logs
 from .inputs import EVENTS_SQL, PRICES_SQL, SUMS_SQL, events_from, grouped_sql, priced_sql, table, usd_columns, usd_sql, with_sql
 from .reports import blocks_sql
+from .sources import CLAUDE_SQL, CODEX_SQL, claude_lines, codex_lines, facts_table
 
 QUERIES, SQL = {}, {}
 
@@ -139,3 +143,104 @@ def _live(now):
 
 for _name, _now in R6_NOWS.items():
     check("r06_stream_live_view" if _name == "evening" else f"r06_stream_live_view_{_name}", r6_sql(_now))(_live(_now))
+
+
+# ---- text files as a stream (R1) ---------------------------------------------------
+
+
+def arriving(lines, root, job):
+    """Files of three thirds of the names, in their order, land one third after the other; ``job`` runs after each."""
+    third = F.ntile(BATCHES).over(Window.orderBy("file"))
+    files = lines.select("file").distinct().withColumn("third", third)
+    placed = stage(lines.join(files, "file"), "arriving")
+    for k in range(1, BATCHES + 1):
+        write_logs(placed.filter(F.col("third") == k), f"{root}/in-{k}")
+        move_below(lines.sparkSession, f"{root}/in-{k}", f"{root}/in")
+        drain(job())
+
+
+@check("r01_r02_claude_text_stream", with_sql(*CLAUDE_SQL, select=f"SELECT file AS session_id, day, model, {SUMS_SQL} FROM u GROUP BY ALL"))
+def _(spark, sf, work):
+    """Transcripts arrive as files in three batches; the usage is that of the batch job over all of them."""
+    arriving(claude_lines(spark, sf), work, lambda: jobs.claude_text_job(jobs.stream_lines(spark, f"{work}/in"), work))
+    return facts_table(Facts(jobs.claude_usage(spark, work), None, None)).withColumn("session_id", F.regexp_extract("session_id", "/in(/.*)$", 1))
+
+
+@check("r01_r03_codex_text_stream", with_sql(*CODEX_SQL, select=f"SELECT '/a/u' || user_id || '.jsonl' AS session_id, day, model, {SUMS_SQL} FROM cf GROUP BY ALL"))
+def _(spark, sf, work):
+    """Rollouts and, in later batches, copies of them: counters, models and turns are settled per file, copies dropped across batches."""
+    arriving(codex_lines(spark, sf), work, lambda: jobs.codex_text_job(jobs.stream_lines(spark, f"{work}/in"), work))
+    return facts_table(jobs.codex_facts(spark, work)).withColumn("session_id", F.regexp_extract("session_id", "/in(/.*)$", 1))
+
+
+# ---- daily cost with late rows (R4) -----------------------------------------------------
+
+# Three batches: the first fourteen days; the days after them; the newest two days with a fifth of the rows of long ago.
+# A batch ends the days that lie more than ten days behind the newest time of the batches before it; what comes later for
+# an ended day is late.
+R4_SQL = f"""
+p AS (SELECT *, CASE WHEN ts_ms >= (SELECT max(ts_ms) FROM e) - 86400000 * 2 THEN 2 WHEN event_id % 5 = 0 AND ts_ms < (SELECT max(ts_ms) FROM e) - 86400000 * 20 THEN 2
+  WHEN ts_ms < (SELECT min(ts_ms) FROM e) + 86400000 * 14 THEN 0 ELSE 1 END AS part FROM e),
+mk AS (SELECT part, max(max(ts_ms)) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING) - 86400000 * 10 AS mark FROM p GROUP BY part),
+dy AS (SELECT p.*, CAST(epoch(CAST(day AS TIMESTAMP)) * 1000 AS BIGINT) + 86400000 <= coalesce(mark, -1) AS late FROM p JOIN mk USING (part))"""
+
+
+def r4_batches(spark, sf, work, job):
+    e = events_from(table(spark, sf, "events")).withColumn("ts", F.timestamp_millis("ts_ms"))
+    lo, hi = e.agg(F.min("ts_ms"), F.max("ts_ms")).first()
+    part = (
+        F.when(F.col("ts_ms") >= hi - 86_400_000 * 2, 2).when((F.col("event_id") % 5 == 0) & (F.col("ts_ms") < hi - 86_400_000 * 20), 2)
+        .when(F.col("ts_ms") < lo + 86_400_000 * 14, 0).otherwise(1)
+    )
+    e = e.withColumn("part", part)
+    for k in range(BATCHES):
+        e.filter(F.col("part") == k).drop("part").write.parquet(f"{work}/in/part={k}")
+        drain(job(spark.readStream.schema(e.drop("part").schema).parquet(f"{work}/in")))
+
+
+@check("r04_stream_daily_cost", with_sql(EVENTS_SQL, PRICES_SQL, R4_SQL, "\nok AS (SELECT * FROM dy WHERE NOT late)", grouped_sql("ok", ["day", "model"]), priced_sql("g"), select=f"""
+SELECT day, model, input_tokens, output_tokens, turns, {usd_sql('cost_usd')} FROM priced
+WHERE CAST(epoch(CAST(day AS TIMESTAMP)) * 1000 AS BIGINT) + 86400000 <= (SELECT max(ts_ms) FROM p WHERE part < 2) - 86400000 * 10"""))
+def _(spark, sf, work):
+    """Finished days, priced as they leave; days of late rows keep what was counted in time."""
+    r4_batches(spark, sf, work, lambda s: jobs.daily_cost_job(s, work, delay="10 days"))
+    cost = spark.read.parquet(f"{work}/cost").select("day", "model", "input_tokens", "output_tokens", "turns", "cost_usd")
+    return usd_columns(cost, "cost_usd")
+
+
+@check("r04_stream_late_sums", with_sql(EVENTS_SQL, R4_SQL, select="SELECT CAST(count(*) AS BIGINT) AS late_sums FROM (SELECT DISTINCT part, day, model FROM dy WHERE late)"))
+def _(spark, sf, work):
+    """How many (batch, day, model) sums came after their day had ended for good."""
+    r4_batches(spark, sf, work, lambda s: jobs.daily_cost_job(s, work, delay="10 days"))
+    return spark.read.parquet(f"{work}/late").agg(F.sum("late_sums").alias("late_sums"))
+
+
+# ---- live view with bounded state (R6) -----------------------------------------------------
+
+
+def _bounded(now):
+    def run(spark, sf, work):
+        """Events arrive in order in three batches, each read when its last day is over; the last one at ``now``."""
+        usage = events_from(table(spark, sf, "events")).withColumn("key", F.col("agent_id")).filter(F.col("ts_ms") <= int(now.replace(tzinfo=dt.timezone.utc).timestamp() * 1000))
+        cuts = [dt.datetime(2024, 1, 14), dt.datetime(2024, 1, 27), now]
+        low = 0
+        for k, cut in enumerate(cuts):
+            high = int(cut.replace(tzinfo=dt.timezone.utc).timestamp() * 1000)
+            usage.filter((F.col("ts_ms") >= low) & (F.col("ts_ms") < high + (cut == now))).write.parquet(f"{work}/in/part={k}")
+            arrived = spark.readStream.schema(usage.schema).parquet(f"{work}/in").drop("part")
+            drain(jobs.live_job(arrived, f"{work}/state", f"{work}/view", f"{work}/ck", lambda: cut, keep=dt.timedelta(hours=30)))
+            low = high
+        return usd_columns(spark.read.parquet(f"{work}/view"), "today_usd", "block_usd", "tokens_per_minute", "cost_per_hour")
+
+    return run
+
+
+def bounded_sql(now):
+    """The batch answer from what has happened by then; a key without an open block has no time left of one."""
+    ms = int(now.replace(tzinfo=dt.timezone.utc).timestamp() * 1000)
+    seen = EVENTS_SQL.replace("e AS (", "e0 AS (", 1) + f",\ne AS (SELECT * FROM e0 WHERE ts_ms <= {ms})"
+    return r6_sql(now).replace(EVENTS_SQL, seen, 1).replace(f"greatest(0, block_end - {ms})", f"CASE WHEN block_end IS NOT NULL THEN greatest(0, block_end - {ms}) END")
+
+
+for _name, _now in R6_NOWS.items():
+    check(f"r06_stream_bounded_view_{_name}", bounded_sql(_now))(_bounded(_now))

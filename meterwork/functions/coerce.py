@@ -6,18 +6,15 @@ the wrong type; none of them raises under ANSI mode.
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
-# Against the JSON text of a node: a number or a quoted number; digits, bare or quoted.
-_NUMBER = r'^"?\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)\s*"?$'
-_DIGITS = r'^(?:"\s*)?(\d+)(?:\s*"|\.0+)?$'
-_BLANK = r'^"\s*"$'
+# Texts that read as a number, as digits, as nothing.
+_NUMBER = r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)\s*$"
+_DIGITS = r"^\s*(\d+)\s*$"
+_BLANK = r"^\s*$"
+# How a VARIANT names the types of JSON numbers.
+_NUMERIC = "^(BIGINT|DECIMAL|DOUBLE|FLOAT)"
 _BLANKS = " \t\r\n\f"
 # What a count beyond BIGINT reads as.
 _MOST = (1 << 63) - 1
@@ -75,15 +72,20 @@ def trimmed(node: Column) -> Column:
     return F.nullif(F.btrim(string(node), F.lit(_BLANKS)), F.lit(""))
 
 
+def is_number(node: Column) -> Column:
+    return F.coalesce(kind(node).rlike(_NUMERIC), F.lit(False))
+
+
 def number(node: Column) -> Column:
-    """A JSON number; the text "100" is quoted in JSON and therefore not one."""
-    return F.to_json(node).try_cast("double")
+    """A JSON number; the text "100" is text and therefore not one."""
+    return F.when(kind(node).rlike(_NUMERIC), F.try_variant_get(node, "$", "double"))
 
 
 def lenient_number(node: Column) -> Column:
-    """A number, or text that reads as one (blank text reads as 0)."""
-    text_ = F.to_json(node)
-    return F.coalesce(F.regexp_extract(text_, _NUMBER, 1).try_cast("double"), F.when(text_.rlike(_BLANK), F.lit(0.0)))
+    """A number, or text that reads as one (blank text reads as 0). Only text takes the way through patterns."""
+    text_ = string(node)
+    read = F.coalesce(F.regexp_extract(text_, _NUMBER, 1).try_cast("double"), F.when(text_.rlike(_BLANK), F.lit(0.0)))
+    return F.coalesce(number(node), read)
 
 
 def whole(value: Column) -> Column:
@@ -99,7 +101,11 @@ def count(*nodes: Column) -> Column:
 
 def natural(node: Column) -> Column:
     """A non-negative integer, or a string of digits; else NULL."""
-    return F.regexp_extract(F.to_json(node), _DIGITS, 1).try_cast("bigint")
+    exact = F.when(kind(node) == "BIGINT", F.try_variant_get(node, "$", "bigint"))
+    value = number(node)
+    integral = F.when(value == F.floor(value), value.try_cast("bigint"))  # 5.0 counts, 5.5 does not
+    some = F.coalesce(exact, integral)
+    return F.coalesce(F.when(some >= 0, some), F.regexp_extract(string(node), _DIGITS, 1).try_cast("bigint"))
 
 
 def first(nodes: list[Column], read) -> Column:
@@ -131,41 +137,44 @@ def otel_text(nodes: list[Column]) -> Column:
     return first(nodes, read)
 
 
-def owner_of_keys(keys: list[str], depth: int = 6):
-    """JSON text of the first object, outermost first and in key order, that owns one of ``keys``.
+def owner_of_keys(text_: Column, node: Column, keys: list[str], depth: int = 6) -> Column:
+    """The first object, outermost first and in key order, that owns one of ``keys``; NULL if there is none.
 
-    VARIANT sorts object keys, so document order is only kept by parsing the
-    text; this is an Arrow-batched helper meant to run behind a ``contains``
-    filter on the line.
+    ``node`` is the VARIANT of the JSON ``text_``. A VARIANT sorts object keys, so their order is read from the text, one
+    level at a time: every object or array of a level carries its path of places, its own text and its node. Of all
+    owners the one with the least path is the first that a search in depth meets.
     """
-    wanted = frozenset(keys)
-
-    def search(node, left):
-        stack = [(node, left)]
-        while stack:
-            item, room = stack.pop()
-            if isinstance(item, dict):
-                if not wanted.isdisjoint(item):
-                    return item
-                children = list(item.values())
-            elif isinstance(item, list):
-                children = item
-            else:
-                continue
-            if room > 0:
-                stack.extend((c, room - 1) for c in reversed(children))
-        return None
-
-    def one(line):
-        try:
-            hit = search(json.loads(line), depth)
-        except (TypeError, ValueError, RecursionError):
-            return None
-        return None if hit is None else json.dumps(hit)
-
-    @pandas_udf("string")
-    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield batch.map(one)
-
-    return find
+    wanted = F.array(*[F.lit(k) for k in keys])
+
+    def inner(raw: Column, v: Column, path: Column) -> Column:
+        """The objects and arrays right below a node, with their paths."""
+        texts, nodes = F.from_json(raw, "map<string,string>"), F.try_variant_get(v, "$", "map<string,variant>")
+        named = F.transform(F.map_keys(texts), lambda k, i: F.struct(F.concat(path, F.array(i)).alias("path"), F.try_element_at(texts, k).alias("raw"), F.try_element_at(nodes, k).alias("v")))
+        items = F.from_json(raw, "array<string>")
+        listed = F.transform(elements(v), lambda x, i: F.struct(F.concat(path, F.array(i)).alias("path"), F.get(items, i).alias("raw"), x.alias("v")))
+        found = F.when(is_object(v), named).otherwise(listed)
+        return F.filter(F.coalesce(found, F.array().cast(_LEVEL)), lambda c: kind(c["v"]).rlike("^(OBJECT|ARRAY)"))
+
+    def owns(c: Column) -> Column:
+        return F.coalesce(F.arrays_overlap(F.map_keys(F.try_variant_get(c["v"], "$", "map<string,variant>")), wanted), F.lit(False))
+
+    def least(level: Column) -> Column:
+        """The first owner of a level: its nodes stand in the order of their paths."""
+        return F.try_element_at(F.filter(level, owns), F.lit(1))
+
+    def deeper(acc: Column, _: Column) -> Column:
+        level = F.flatten(F.transform(acc["level"], lambda c: inner(c["raw"], c["v"], c["path"])))
+        return F.transform(F.array(level), lambda x: F.struct(x.alias("level"), _first(acc["best"], least(x)).alias("best")).cast(_SEARCH))[0]
+
+    top = F.array(F.struct(F.array().cast("array<int>").alias("path"), text_.alias("raw"), node.alias("v")))
+    start = F.struct(top.alias("level"), least(top).alias("best")).cast(_SEARCH)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), start, deeper, lambda acc: acc["best"]["v"])
+
+
+def _first(a: Column, b: Column) -> Column:
+    return F.when(a.isNull() | (b["path"] < a["path"]), b).otherwise(a)
+
+
+_NODE = "struct<path:array<int>,raw:string,v:variant>"
+_LEVEL = f"array<{_NODE}>"
+_SEARCH = f"struct<level:{_LEVEL},best:{_NODE}>"

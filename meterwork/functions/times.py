@@ -15,6 +15,7 @@ _ISO = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 DAY_MS = 86_400_000
 HOUR_MS = 3_600_000
 
+# Named timeframes as days back from today, first and last.
 TIMEFRAMES = {"today": (0, 0), "yesterday": (1, 1), "7d": (6, 0), "30d": (29, 0)}
 
 

@@ -4,7 +4,10 @@ The first event of a key opens a block at its hour; the block lasts a fixed
 length; the first event at or after its end opens the next one. Every block
 edge falls on an hour plus the fractional hour of the length, so events are
 first summed into (key, half-hour-like bucket, model) with map-side partial
-sums; only the bounded list of buckets of a key is walked in order.
+sums. A key's buckets are walked in stretches of about a month: each stretch
+tells, for every end an earlier block may have, where its own last block ends;
+these few rows per stretch are followed in order, and then every stretch knows
+its open block and is walked by a task of its own.
 """
 
 from __future__ import annotations
@@ -14,11 +17,12 @@ from pyspark.sql import functions as F
 
 from ..functions.measures import MEASURES, sums, total_tokens
 from ..functions.text import short_model
-from ..functions.times import HOUR_MS, round_half_up
+from ..functions.times import DAY_MS, HOUR_MS, epoch_ms, round_half_up
 from ..session import stage
 from .prices import with_cost
 
 BLOCK_MS = 5 * HOUR_MS
+STRETCH_MS = 32 * DAY_MS
 
 
 def hourly_buckets(events: DataFrame, keys: list[str], length_ms: int = BLOCK_MS) -> DataFrame:
@@ -37,43 +41,69 @@ def hourly_buckets(events: DataFrame, keys: list[str], length_ms: int = BLOCK_MS
     )
 
 
-def bucket_blocks(buckets: DataFrame, keys: list[str], length_ms: int = BLOCK_MS) -> DataFrame:
-    """(keys, bucket, block_start) for every bucket; a key has at most two buckets per hour of its history."""
-    listed = buckets.groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct("bucket", "hour"))).alias("seen"))
-    state = F.struct(
-        F.lit(None).cast("bigint").alias("end"),
-        F.lit([]).cast("array<struct<bucket:bigint,start:bigint>>").alias("opened"),
-    )
+def bucket_blocks(buckets: DataFrame, keys: list[str], length_ms: int = BLOCK_MS, entered: DataFrame | None = None) -> DataFrame:
+    """(keys, bucket, block_start) for every bucket; no task holds more of a key than one stretch of its history.
+
+    ``entered`` is (keys, end): the end of a key's last block before its first bucket here, if that is known.
+    """
+    stretch_ms = max(STRETCH_MS, 4 * length_ms)
+    stretch = F.floor(F.col("bucket") / stretch_ms).alias("stretch")
+    seen = F.array_sort(F.collect_set(F.struct("bucket", "hour")))
+    listed = buckets.select(*keys, "bucket", "hour", stretch).groupBy(*keys, "stretch").agg(seen.alias("seen"))
+    none = F.lit(None).cast("bigint")
+
+    def last_end(opened_by: Column) -> Column:
+        """Where the last block of the stretch ends if ``opened_by`` opens its first one."""
+        later = F.filter("seen", lambda b: b["bucket"] >= opened_by["bucket"])
+        return F.aggregate(later, none, lambda end, b: F.when(end.isNull() | (b["bucket"] >= end), b["hour"] + length_ms).otherwise(end))
+
+    # A block of an earlier stretch ends less than a length into this one: few buckets can open its first block.
+    early = F.size(F.filter("seen", lambda b: b["bucket"] < F.col("stretch") * stretch_ms + length_ms))
+    openers = F.slice("seen", 1, early + 1)
+    exits = listed.select(*keys, "stretch", F.transform(openers, lambda o: F.struct(o["bucket"].alias("bucket"), last_end(o).alias("end"))).alias("exits"))
+    followed = exits.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("stretch", "exits"))).alias("stretches"))
+    if entered is not None:
+        followed = followed.join(entered.withColumnRenamed("end", "_end"), keys, "left")
+    state = F.struct((none if entered is None else F.col("_end")).alias("end"), F.lit([]).cast("array<struct<stretch:bigint,end:bigint>>").alias("entered"))
+
+    def enter(acc: Column, s: Column) -> Column:
+        opens = F.filter(s["exits"], lambda x: acc["end"].isNull() | (x["bucket"] >= acc["end"]))
+        return F.struct(
+            F.coalesce(F.try_element_at(opens, F.lit(1))["end"], acc["end"]).alias("end"),
+            F.array_append(acc["entered"], F.struct(s["stretch"].alias("stretch"), acc["end"].alias("end"))).alias("entered"))
+
+    known = followed.select(*keys, F.explode(F.aggregate("stretches", state, enter, lambda acc: acc["entered"])).alias("e"))
+    known = known.select(*keys, "e.stretch", F.col("e.end").alias("entry_end"))
+    walk = F.struct(F.col("entry_end").alias("end"), F.lit([]).cast("array<struct<bucket:bigint,start:bigint>>").alias("opened"))
 
     def step(acc: Column, b: Column) -> Column:
         opens = acc["end"].isNull() | (b["bucket"] >= acc["end"])
         opened = F.struct(b["bucket"].alias("bucket"), b["hour"].alias("start"))
-        return F.when(
-            opens,
-            F.struct((b["hour"] + length_ms).alias("end"), F.array_append(acc["opened"], opened).alias("opened")),
-        ).otherwise(acc)
+        return F.when(opens, F.struct((b["hour"] + length_ms).alias("end"), F.array_append(acc["opened"], opened).alias("opened"))).otherwise(acc)
 
-    walked = listed.select(*keys, "seen", F.aggregate("seen", state, step, lambda acc: acc["opened"]).alias("opened"))
-    every = walked.select(*keys, F.explode("seen.bucket").alias("bucket"), F.lit(None).cast("bigint").alias("start"))
-    openers = walked.select(*keys, F.explode("opened").alias("o")).select(*keys, "o.bucket", "o.start")
-    marked = every.unionByName(openers).groupBy(*keys, "bucket").agg(F.max("start").alias("start"))
-    along = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    return marked.select(*keys, "bucket", F.last("start", ignorenulls=True).over(along).alias("block_start"))
+    met = listed.join(known, [*keys, "stretch"])
+    walked = met.select(*keys, "stretch", "seen", "entry_end", F.aggregate("seen", walk, step, lambda acc: acc["opened"]).alias("opened"))
+    every = walked.select(*keys, "stretch", "entry_end", F.explode("seen.bucket").alias("bucket"), none.alias("start"))
+    openers = walked.select(*keys, "stretch", "entry_end", F.explode("opened").alias("o")).select(*keys, "stretch", "entry_end", "o.bucket", "o.start")
+    marked = every.unionByName(openers).groupBy(*keys, "stretch", "bucket").agg(F.max("start").alias("start"), F.max("entry_end").alias("entry_end"))
+    along = Window.partitionBy(*keys, "stretch").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    start = F.coalesce(F.last("start", ignorenulls=True).over(along), F.col("entry_end") - length_ms)
+    return marked.select(*keys, "bucket", start.alias("block_start"))
 
 
-def block_models(events: DataFrame, keys: list[str], length_ms: int = BLOCK_MS) -> DataFrame:
+def block_models(events: DataFrame, keys: list[str], length_ms: int = BLOCK_MS, entered: DataFrame | None = None) -> DataFrame:
     """Usage per key, block and model."""
     buckets = stage(hourly_buckets(events, keys, length_ms), "block-buckets")
-    placed = buckets.join(bucket_blocks(buckets, keys, length_ms), [*keys, "bucket"])
+    placed = buckets.join(bucket_blocks(buckets, keys, length_ms, entered), [*keys, "bucket"])
     return placed.groupBy(*keys, "block_start", "model").agg(
         *sums(), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts")
     )
 
 
 def build_blocks(events: DataFrame, keys: list[str], now_ms: int, length_ms: int = BLOCK_MS,
-                 live: DataFrame | None = None) -> DataFrame:
-    """One row per block. Only a key's newest block can be active."""
-    costed = with_cost(block_models(events, keys, length_ms), live)
+                 live: DataFrame | None = None, entered: DataFrame | None = None) -> DataFrame:
+    """One row per block. Only a key's newest block can be active. ``entered``: see ``bucket_blocks``."""
+    costed = with_cost(block_models(events, keys, length_ms, entered), live)
     blocks = costed.groupBy(*keys, "block_start").agg(
         F.min("first_ts").alias("first_ts"),
         F.max("last_ts").alias("last_ts"),
@@ -96,6 +126,13 @@ def build_blocks(events: DataFrame, keys: list[str], now_ms: int, length_ms: int
     )
 
 
+def usage_blocks(usage: DataFrame, keys: list[str], now_ms: int, length_ms: int = BLOCK_MS, live: DataFrame | None = None) -> DataFrame:
+    """W9 from a log: blocks of a loader's usage events. Events without a readable timestamp belong to none."""
+    # A generator keeps the parsed time as one column however often it is read.
+    timed = usage.select(*dict.fromkeys([*keys, "model"]), *MEASURES, F.explode(F.array(epoch_ms(F.col("ts_raw")))).alias("ts_ms"))
+    return build_blocks(timed, keys, now_ms, length_ms, live)
+
+
 def burn_rate(blocks: DataFrame, now_ms: int) -> DataFrame:
     """Pace of active blocks and where it leads by the end of the block."""
     now = F.lit(now_ms)
@@ -127,8 +164,8 @@ def recent_blocks(blocks: DataFrame, now_ms: int, active_only: bool = False, rec
 
 
 def limit_level(tokens: Column, limit: Column, projected: Column | None = None) -> Column:
-    """Against a token limit; an active block is over when its projection is."""
-    reached = tokens if projected is None else projected
+    """Against a token limit; an active block is over when its projection is, others have none."""
+    reached = tokens if projected is None else F.coalesce(projected, tokens)
     return F.when(reached > limit, "over").when(tokens > limit * 0.8, "near").otherwise("ok")
 
 

@@ -48,11 +48,13 @@ def tool_cube(tools: DataFrame, live: DataFrame | None = None) -> DataFrame:
     )
 
 
-def cubes(facts: Facts, live: DataFrame | None = None) -> Facts:
-    """The tables every mart regroups, each built once and staged; ``session.clear_staged`` removes them."""
-    return Facts(
-        stage(usage_cube(facts.usage), "usage-cube"), stage(tool_cube(facts.tools, live), "tool-cube"), stage(facts.sessions, "sessions")
-    )
+def cubes(facts: Facts, live: DataFrame | None = None, kept: bool = True) -> Facts:
+    """The tables every mart regroups, each built once and staged; ``session.clear_staged`` removes them.
+
+    A single mart reads each of them once: give ``kept=False`` and nothing is written for it.
+    """
+    built = usage_cube(facts.usage), tool_cube(facts.tools, live), facts.sessions
+    return Facts(*[stage(df, label) for df, label in zip(built, ("usage-cube", "tool-cube", "sessions"))]) if kept else Facts(*built)
 
 
 def clamp(facts: Facts, bounds: tuple[str, str] | None) -> Facts:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import UNKNOWN_PROJECT, base_name, path_parts
+from ..operators.ranking import with_rank
 from ..operators.servers import merge_servers
 from ..operators.usage import SESSION, Facts, clamp
 from .reports import DAILY, totals
@@ -102,10 +103,10 @@ def matching(projects: DataFrame, query: str) -> DataFrame:
 
 
 def ordered(projects: DataFrame, mode: str = "cost") -> DataFrame:
-    """By cost, by most recent activity or by name, ties by id; ``rank`` holds the place. Lists of projects are report-sized."""
+    """By cost, by most recent activity or by name, ties by id; ``rank`` holds the place."""
     keys = {
         "cost": F.desc("total_cost_usd"),
         "recent": F.desc(F.coalesce("span_end", F.lit(""))),
         "name": F.asc("label"),
     }
-    return projects.withColumn("rank", F.row_number().over(Window.orderBy(keys[mode], F.asc("project_id")))).orderBy("rank")
+    return with_rank(projects, [keys[mode], F.asc("project_id")])

@@ -15,6 +15,7 @@ from ..functions.measures import MEASURES, sums
 from ..functions.text import is_mcp_tool, short_model
 from ..functions.times import DAY_MS, age_label, bucket_key, duration_minutes, epoch_ms, round_half_up
 from ..operators.prices import with_cost
+from ..operators.ranking import with_rank
 from ..operators.servers import server_audit
 from ..operators.usage import SESSION, Facts, clamp
 
@@ -45,8 +46,18 @@ def roll_up(days: DataFrame, scope: list[str], unit: str) -> DataFrame:
 
 def span(sessions: DataFrame, scope: list[str]) -> DataFrame:
     """Earliest first and latest last timestamp; text that is no timestamp is ignored."""
-    start, end = F.min(epoch_ms(F.col("first_ts"))), F.max(epoch_ms(F.col("last_ts")))
-    ms = sessions.groupBy(*scope).agg(F.count("*").alias("session_count"), start.alias("start_ms"), end.alias("end_ms"))
+    return _with_days(sessions.groupBy(*scope).agg(*_ends()), scope)
+
+
+def _ends() -> list[Column]:
+    return [
+        F.count("*").alias("session_count"),
+        F.min(epoch_ms(F.col("first_ts"))).alias("start_ms"),
+        F.max(epoch_ms(F.col("last_ts"))).alias("end_ms"),
+    ]
+
+
+def _with_days(ms: DataFrame, scope: list[str]) -> DataFrame:
     day = lambda x: F.date_format(F.timestamp_millis(x), "yyyy-MM-dd")
     days = F.greatest(F.lit(1), round_half_up((F.col("end_ms") - F.col("start_ms")) / DAY_MS))
     return ms.select(
@@ -67,14 +78,31 @@ def hit_rate(read: Column, fresh: Column) -> Column:
 
 def totals(usage: DataFrame, sessions: DataFrame, scope: list[str], live: DataFrame | None = None) -> DataFrame:
     """One row per scope."""
-    models = cost_by_model(usage, scope, live)
+    return _totals(span(sessions, scope), cost_by_model(usage, scope, live), scope)
+
+
+def totals_and_total(usage: DataFrame, sessions: DataFrame, key: str, label: str, live: DataFrame | None = None) -> DataFrame:
+    """``totals`` per ``key`` and, under ``label``, over all of them when there are several.
+
+    Grouping sets count every row for its key and for the whole in one pass over either table.
+    """
+    named = lambda df: df.withColumn(key, F.when(F.col("_whole") == 1, F.lit(label)).otherwise(F.col(key))).drop("_whole")
+    whole = F.grouping(key).alias("_whole")
+    models = usage.groupingSets([[key, "model"], ["model"]], F.col(key), F.col("model")).agg(*sums(), whole)
+    copied = sessions.withColumn("_key", F.col(key))  # the grouping set of the whole empties the key itself
+    several = (F.min("_key") < F.max("_key")).alias("_several")
+    ends = copied.groupingSets([[key], []], F.col(key)).agg(*_ends(), several, whole)
+    kept = ends.filter("_whole = 0 OR _several").drop("_several")
+    return _totals(_with_days(named(kept), [key]), with_cost(named(models), live), [key])
+
+
+def _totals(covered: DataFrame, models: DataFrame, scope: list[str]) -> DataFrame:
     money = models.groupBy(*scope).agg(
         F.sum("cost_usd").alias("total_cost_usd"),
         F.sum("turns").alias("total_turns"),
         F.sum("cache_savings_usd").alias("cache_savings_usd"),
         hit_rate(F.sum("cache_read_tokens"), F.sum("input_tokens")).alias("cache_hit_rate"),
     )
-    covered = span(sessions, scope)
     both = covered.join(money, scope, "left") if scope else _side_by_side(covered, money)
     cost = F.coalesce("total_cost_usd", F.lit(0.0))
     return both.select(
@@ -158,13 +186,12 @@ def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def with_total_row(mart: DataFrame, key: str, measures: list[str], scope: list[str] | None = None) -> DataFrame:
-    """The mart plus a TOTAL row when it has more than one row."""
+    """The mart, one row per key, plus a TOTAL row when it has more than one; grouping sets read it once."""
     scope = scope or []
-    rolled = mart.groupBy(*scope, F.lit("TOTAL").alias(key)).agg(
-        *[F.sum(m).alias(m) for m in measures], F.count("*").alias("_n")
-    )
-    total = rolled.filter("_n > 1").select(*scope, key, *measures)
-    return mart.select(*scope, key, *measures).unionByName(total)
+    whole, n = F.grouping(key).alias("_whole"), F.count("*").alias("_n")
+    rows = mart.groupingSets([[*scope, key], scope], *[F.col(c) for c in (*scope, key)]).agg(*[F.sum(m).alias(m) for m in measures], whole, n)
+    named = F.when(F.col("_whole") == 1, F.lit("TOTAL")).otherwise(F.col(key)).alias(key)
+    return rows.filter("_whole = 0 OR _n > 1").select(*scope, named, *measures)
 
 
 def server_total(servers: DataFrame, scope: list[str] | None = None) -> DataFrame:
@@ -186,7 +213,7 @@ def top(mart: DataFrame, by: str, key: str, n: int, scope: list[str] | None = No
 
 def by_cost(mart: DataFrame, by: str, key: str) -> DataFrame:
     """T5: the whole mart by falling ``by``, ties by name; ``rank`` holds the place."""
-    return mart.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(by), F.asc(key)))).orderBy("rank")
+    return with_rank(mart, [F.desc(by), F.asc(key)])
 
 
 def top_tools(tools: DataFrame, n: int = 15) -> DataFrame:

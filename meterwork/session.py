@@ -81,9 +81,13 @@ def staged_mark() -> int:
 
 def clear_staged(spark: SparkSession, since: int = 0) -> int:
     """Delete the tables this process staged after ``since`` (their readers must be done); returns their number."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     paths, _STAGED[since:] = _STAGED[since:], []
     for path in paths:
-        place = hadoop.Path(path)
-        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        remove(spark, path)
     return len(paths)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder this process made, wherever it lies; one that is not there is no error."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)

@@ -18,7 +18,7 @@ from ..operators.dedup import keep_first
 from ..operators.ordered import ORDER, Running, order_struct, running
 from ..operators.usage import TOOL_COLUMNS, USAGE_COLUMNS, Facts
 from ..session import stage
-from .lines import read_lines
+from .files import LogFiles, home_files, read_listed
 
 AGENT = "codex"
 DEFAULT_MODEL = "gpt-5"
@@ -214,11 +214,12 @@ def model_and_turn(usage: DataFrame, chunk: list[Column] | None = None) -> DataF
 
 
 def first_events(lines: DataFrame) -> DataFrame:
-    """Usage of counted lines, one per identity across all files."""
+    """Usage of counted lines, one per identity across all files; ``identity`` tells copies of an event."""
     u = lambda k: F.col(f"used.{k}")
     cached = F.least(u("cached"), u("input"))
     identity = [F.coalesce("event_ts", F.lit("")), "model", u("input"), cached, u("output"), u("reasoning"), u("total")]
-    first = keep_first(lines.filter("used IS NOT NULL"), identity, ORDER)
+    named = F.concat_ws("\x1f", *[F.coalesce(F.col(x) if isinstance(x, str) else x.cast("string"), F.lit("")) for x in identity])
+    first = keep_first(lines.filter("used IS NOT NULL").withColumn("identity", named), ["identity"], ORDER)
     long = u("input") > LONG_CONTEXT
     none = F.lit(0).cast("bigint")
     fresh = F.greatest(F.lit(0), u("input") - cached)
@@ -231,6 +232,7 @@ def first_events(lines: DataFrame) -> DataFrame:
         F.substring(F.nullif(F.col("event_ts"), F.lit("")), 1, 10).alias("day"),
         "model",
         "turn",
+        "identity",
         fresh.cast("bigint").alias("input_tokens"),
         cached.alias("cache_read_tokens"),
         zero("cache_write_tokens"),
@@ -249,8 +251,17 @@ def tool_calls(lines: DataFrame, events: DataFrame) -> DataFrame:
     Calls after the last counted line, or before a dropped copy, cost nothing.
     Calls are counted per (file, turn, tool) before anything is joined.
     """
+    return priced_calls(calls_by_turn(lines), events)
+
+
+def calls_by_turn(lines: DataFrame) -> DataFrame:
+    """(file, turn, tool_name, calls, split) of every turn that called tools."""
     calls = lines.filter("tool_name IS NOT NULL").groupBy("file", "turn", "tool_name").agg(F.count("*").alias("calls"))
-    shared = calls.withColumn("split", F.sum("calls").over(Window.partitionBy("file", "turn")))
+    return calls.withColumn("split", F.sum("calls").over(Window.partitionBy("file", "turn")))
+
+
+def priced_calls(shared: DataFrame, events: DataFrame) -> DataFrame:
+    """Calls with the usage of the turn that they share."""
     priced = events.select("file", "turn", "model", *MEASURES)
     return shared.join(priced, ["file", "turn"], "left").select(
         F.lit(AGENT).alias("agent_id"),
@@ -274,32 +285,34 @@ def sessions(rows: DataFrame) -> DataFrame:
 
 def load(lines: DataFrame, chunk: list[Column] | None = None) -> Facts:
     """Raw rollout lines to facts."""
+    events, calls, seen = parts(lines, chunk)
+    return Facts(events.select(*USAGE_COLUMNS), priced_calls(calls, events), seen)
+
+
+def parts(lines: DataFrame, chunk: list[Column] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Events with turn and identity, tool calls by turn, sessions.
+
+    Most lines of a rollout are messages that touch no state: they end with the parse, and only lines that carry
+    usage, a context or a tool call go through the ordered passes.
+    """
     rows = stage(rollout_lines(lines), "codex-lines")
-    used = stage(turn_usage(rows, replay_seconds(rows), chunk), "codex-used")
+    relevant = rows.filter("kind IN ('token', 'context') OR tool_name IS NOT NULL OR headless IS NOT NULL")
+    used = stage(turn_usage(relevant, replay_seconds(rows), chunk), "codex-used")
     placed = stage(model_and_turn(used, chunk), "codex-turns")
-    events = first_events(placed)
-    return Facts(events.select(*USAGE_COLUMNS), tool_calls(placed, events), sessions(rows))
+    return first_events(placed), calls_by_turn(placed), sessions(rows)
 
 
 def active_over_archived(lines: DataFrame) -> DataFrame:
-    """Of files with the same (home, rel_path) keep the one with the lowest ``source_rank``.
-
-    Decided on the file list, so lines are filtered by one join on the path.
-    """
+    """S3 and D6 on a table of lines that names each line's (home, rel_path, source_rank): the files of lowest rank stay."""
     files = lines.select("home", "rel_path", "source_rank", "file").distinct()
     kept = keep_first(files, ["home", "rel_path"], ["source_rank"]).select("file")
     return lines.join(kept, "file", "left_semi")
 
 
-def read_home(spark: SparkSession, home: str, folders: tuple[str, ...] = ("sessions", "archived_sessions")) -> DataFrame:
-    """Lines of one home; folders come in order of preference, and a home without any is read whole."""
-    root = home.rstrip("/")
-    lines = read_lines(spark, root)
-    rel = F.substr("file", F.instr("file", root + "/") + len(root) + 1)
-    rank = F.coalesce(*[F.when(rel.startswith(f + "/"), F.lit(i)) for i, f in enumerate(folders)], F.lit(len(folders)))
-    tagged = lines.select("*", F.lit(root).alias("home"), rel.alias("rel"), rank.alias("source_rank"))
-    listed = F.col("source_rank") < len(folders)
-    tagged = tagged.withColumn("rel_path", F.when(listed, F.substr("rel", F.instr("rel", "/") + 1)).otherwise(F.col("rel")))
-    homes_with_folders = tagged.filter(listed).select("home").distinct()
-    loose = tagged.filter(~listed).join(homes_with_folders, "home", "left_anti")
-    return active_over_archived(tagged.filter(listed).unionByName(loose))
+# The folders of a home, in order of preference; a home with neither is read whole.
+LOGS = LogFiles(("sessions", "archived_sessions"), r"\.jsonl$", twins=True, otherwise="")
+
+
+def read_home(spark: SparkSession, home: str | list[str], modified_after: str | None = None) -> DataFrame:
+    """S3: lines of one or several homes; twins and times are settled on the list of files, before any is opened."""
+    return read_listed(home_files(spark, home, LOGS, modified_after))

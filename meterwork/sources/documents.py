@@ -9,6 +9,7 @@ from ..functions import coerce as c
 from ..functions.measures import zero
 from ..functions.times import iso, iso_from_ms
 from ..operators.usage import Facts
+from ..session import stage
 from .lines import explode_nodes, parsed
 from .records import PLACE, complete, no_tools, record, records_to_facts, sessions_of
 
@@ -58,63 +59,50 @@ def codebuff(documents: DataFrame, dedup: bool = False) -> Facts:
     return records_to_facts(rows, dedup=dedup)
 
 
-def amp(documents: DataFrame) -> Facts:
-    """Ledger events with cache tokens of the message they point at, else assistant messages."""
+def amp_nodes(documents: DataFrame) -> DataFrame:
+    """Typed rows of all ledger events and messages of a thread, out of one array that is opened once.
+
+    ``part`` is "event", "cached" (a message of a thread with a ledger) or "plain" (a message of one without).
+    """
     docs = parsed(documents).select(
         *PLACE,
         F.coalesce(c.text(c.get(V, "$.id")), F.col("file")).alias("session"),
         c.elements(c.get(V, "$.messages")).alias("messages"),
         c.elements(c.get(V, "$.usageLedger.events")).alias("events"),
     )
-    keep = ["file", "block_start", "line_no", "session"]
-    amount = lambda path: c.whole(c.number(c.get(V, path)))
-
-    with_ledger = docs.filter("events IS NOT NULL")
-    cached = (
-        explode_nodes(with_ledger, F.col("messages"), keep)
-        .filter(c.is_object(c.get(V, "$.usage")))
-        .select("file", "pos", c.number(c.get(V, "$.messageId")).alias("message"),
-                amount("$.usage.cacheReadInputTokens").alias("r"), amount("$.usage.cacheCreationInputTokens").alias("w"))
-        .filter("message IS NOT NULL")
-        .groupBy("file", "message")
-        .agg(F.max_by(F.struct("r", "w"), "pos").alias("cache"))
-    )
-    ledger = (
-        explode_nodes(with_ledger, F.col("events"), keep)
-        .withColumn("message", c.number(c.get(V, "$.toMessageId")))
-        .join(cached, ["file", "message"], "left")
-        .select(
-            *record(
-                "amp",
-                F.col("session"),
-                F.coalesce(c.text(c.get(V, "$.model")), F.lit("amp-unknown")),
-                iso(F.when(c.text(c.get(V, "$.timestamp")).isNotNull(), c.get(V, "$.timestamp"))),
-                None,
-                c.count(c.get(V, "$.tokens.input")),
-                c.count(c.get(V, "$.tokens.output")),
-                F.coalesce("cache.r", F.lit(0)),
-                F.coalesce("cache.w", F.lit(0)),
-            )
-        )
-    )
-    plain = (
-        explode_nodes(docs.filter("events IS NULL"), F.col("messages"), keep)
-        .filter((c.string(c.get(V, "$.role")) == "assistant") & c.is_object(c.get(V, "$.usage")))
-        .select(
-            *record(
-                "amp",
-                F.col("session"),
-                F.coalesce(c.string(c.get(V, "$.model")), F.lit("amp-unknown")),
-                iso(c.get(V, "$.timestamp")),
-                None,
-                amount("$.usage.inputTokens"),
-                amount("$.usage.outputTokens"),
-                amount("$.usage.cacheReadInputTokens"),
-                amount("$.usage.cacheCreationInputTokens"),
-            )
-        )
+    tagged = lambda nodes, part: F.transform(
+        F.coalesce(nodes, F.array().cast("array<variant>")), lambda n, i: F.struct(part.alias("part"), i.cast("bigint").alias("pos"), n.alias("v")))
+    messages = F.when(F.col("events").isNull(), F.lit("plain")).otherwise(F.lit("cached"))
+    every = F.concat(tagged(F.col("events"), F.lit("event")), tagged(F.col("messages"), messages))
+    nodes = docs.select("file", "block_start", "line_no", "session", F.explode(every).alias("n")).select("file", "block_start", "line_no", "session", "n.*")
+    is_event, has_usage = F.col("part") == "event", c.is_object(c.get(V, "$.usage"))
+    amount = lambda path: c.whole(c.number(c.get(V, f"$.usage.{path}")))
+    typed = nodes.select(
+        *PLACE,
+        "session",
+        "part",
+        F.when(is_event, c.text(c.get(V, "$.model"))).otherwise(c.string(c.get(V, "$.model"))).alias("model"),
+        iso(F.when(~is_event | c.text(c.get(V, "$.timestamp")).isNotNull(), c.get(V, "$.timestamp"))).alias("ts"),
+        c.number(F.when(is_event, c.get(V, "$.toMessageId")).otherwise(c.get(V, "$.messageId"))).alias("message"),
+        (is_event | has_usage & ((F.col("part") == "cached") | F.coalesce(c.string(c.get(V, "$.role")) == "assistant", F.lit(False)))).alias("used"),
+        F.when(is_event, c.count(c.get(V, "$.tokens.input"))).otherwise(amount("inputTokens")).alias("input"),
+        F.when(is_event, c.count(c.get(V, "$.tokens.output"))).otherwise(amount("outputTokens")).alias("output"),
+        amount("cacheReadInputTokens").alias("r"),
+        amount("cacheCreationInputTokens").alias("w"),
     )
-    return records_to_facts(ledger.unionByName(plain), dedup=False)
+    return stage(typed.filter("used"), "amp-nodes")
+
+
+def amp(documents: DataFrame) -> Facts:
+    """Ledger events with cache tokens of the message they point at, else assistant messages."""
+    nodes = amp_nodes(documents)
+    cached = nodes.filter("part = 'cached' AND message IS NOT NULL").groupBy("file", "message").agg(F.max_by(F.struct("r", "w"), "pos").alias("cache"))
+    events = nodes.filter("part = 'event'").drop("r", "w").join(cached, ["file", "message"], "left").select(
+        *nodes.drop("r", "w").columns, F.coalesce("cache.r", F.lit(0)).alias("r"), F.coalesce("cache.w", F.lit(0)).alias("w"))
+    rows = events.unionByName(nodes.filter("part = 'plain'"))
+    model = F.coalesce("model", F.lit("amp-unknown"))
+    return records_to_facts(
+        rows.select(*record("amp", F.col("session"), model, F.col("ts"), None, F.col("input"), F.col("output"), F.col("r"), F.col("w"))), dedup=False)
 
 
 def _optional(node: Column, ok: Column) -> Column:

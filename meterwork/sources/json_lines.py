@@ -22,6 +22,7 @@ GEMINI_OUTPUT = ["output", "candidates", "output_tokens", "candidates_tokens"]
 GEMINI_THOUGHTS = ["thoughts", "reasoning", "thoughts_tokens", "reasoning_tokens"]
 GEMINI_CACHED = ["cached", "cached_tokens"]
 KIMI_USAGE = ["inputOther", "input_other", "inputCacheRead", "input_cache_read"]
+KIMI_IDS = ["messageId", "message_id", "id"]
 COPILOT_COUNTS = [
     "input_tokens",
     "output_tokens",
@@ -62,9 +63,9 @@ def _open(df: DataFrame, keep: list[str], **objects) -> DataFrame:
 
 def gemini(lines: DataFrame, documents: DataFrame | None = None) -> Facts:
     """`tokens` objects from lines, from a document's `messages` and from the document itself."""
-    nodes = parsed(lines).select(*PLACE, F.lit(None).cast("string").alias("doc_model"), "v")
+    nodes = parsed(lines.filter(F.col("value").contains("tokens"))).select(*PLACE, F.lit(None).cast("string").alias("doc_model"), "v")
     if documents is not None:
-        docs = parsed(documents).select(*PLACE, c.text(c.get(V, "$.model")).alias("doc_model"), "v")
+        docs = parsed(documents.filter(F.col("value").contains("tokens"))).select(*PLACE, c.text(c.get(V, "$.model")).alias("doc_model"), "v")
         keep = ["file", "block_start", "line_no", "doc_model"]
         messages = explode_nodes(docs, c.elements(c.get(V, "$.messages")), keep)
         last = docs.withColumn("pos", F.lit((1 << 62)))
@@ -130,7 +131,9 @@ def pi(lines: DataFrame) -> Facts:
 
 def openclaw(lines: DataFrame, chunk=None) -> Facts:
     """A model line names the model of the lines after it; a message's own model wins."""
-    level1 = _open(parsed(lines), ORDER, s=(V, ["type", "timestamp", "id", "modelId", "model", "data", "message"]))
+    names_model = F.col("value").contains("odel")  # modelId, model, model_change, model-snapshot
+    likely = lines.filter(F.col("value").contains("usage") | names_model)
+    level1 = _open(parsed(likely), ORDER, s=(V, ["type", "timestamp", "id", "modelId", "model", "data", "message"]))
     opened = level1.select(
         *ORDER,
         "s",
@@ -173,24 +176,19 @@ def kimi(lines: DataFrame) -> Facts:
     likely = value.contains(KIMI_USAGE[0])
     for key in KIMI_USAGE[1:]:
         likely = likely | value.contains(key)
-    found = lines.filter(likely).select(
-        *PLACE,
-        "value",
-        c.owner_of_keys(KIMI_USAGE)(value).alias("usage"),
-        c.owner_of_keys(["messageId", "message_id", "id"])(value).alias("id_owner"),
-    ).filter("usage IS NOT NULL")
-    nodes = F.struct(*[F.try_parse_json(x).alias(n) for x, n in (("value", "line"), ("usage", "v"), ("id_owner", "host"))])
-    found = c.parse_once(found, nodes, PLACE, "n").select(*PLACE, "n.*")
+    nodes = c.parse_once(lines.filter(likely), F.try_parse_json("value"), [*PLACE, "value"], "line")
+    owners = [c.owner_of_keys(value, F.col("line"), keys) for keys in (KIMI_USAGE, KIMI_IDS)]
+    both = F.struct(*[x.alias(n) for x, n in zip(owners, ("v", "host"))])
+    found = c.parse_once(nodes, both, [*PLACE, "line"], "n").select(*PLACE, "line", "n.*")
     counters = ["inputOther", "input_other", "output", "inputCacheRead", "input_cache_read", "inputCacheCreation", "input_cache_creation"]
-    ids = ["messageId", "message_id", "id"]
-    opened = _open(found, PLACE, s=("line", ["model", "timestamp"]), h=("host", ids), t=("v", counters))
+    opened = _open(found, PLACE, s=("line", ["model", "timestamp"]), h=("host", KIMI_IDS), t=("v", counters))
     rows = opened.select(
         *record(
             "kimi",
             F.col("file"),
             F.coalesce(c.text(F.col("s.model")), F.lit("kimi-unknown")),
             c.text(F.col("s.timestamp")),
-            _first_text(*[f"h.{k}" for k in ids]),
+            _first_text(*[f"h.{k}" for k in KIMI_IDS]),
             _count("t", ["inputOther", "input_other"]),
             _count("t", ["output"]),
             _count("t", ["inputCacheRead", "input_cache_read"]),

@@ -9,8 +9,16 @@ from pyspark.sql import functions as F
 
 from ..functions.coerce import parse_once
 from ..functions.times import DAY_MS, HOUR_MS
+from ..operators.ordered import Running, running
 
 LINE_COLUMNS = ["file", "block_start", "line_no", "pos", "value", "mtime"]
+LINE_SCHEMA = "file string, block_start bigint, line_no bigint, pos bigint, value string, mtime string"
+ISO_MS = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
+
+
+def plain_path(path: Column) -> Column:
+    """A path as its folder names spell it; file sources give it with blanks and other signs percent-encoded."""
+    return F.regexp_replace(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), "^file:/+", "file:///")
 
 
 def _reader(spark: SparkSession, glob: str | None, modified_after: str | None):
@@ -27,12 +35,12 @@ def _reader(spark: SparkSession, glob: str | None, modified_after: str | None):
 def _placed(df: DataFrame) -> DataFrame:
     # The id is taken directly above the scan, so it grows with the line inside a file split.
     return df.select(
-        F.col("_metadata.file_path").alias("file"),
+        plain_path(F.col("_metadata.file_path")).alias("file"),
         F.col("_metadata.file_block_start").alias("block_start"),
         F.monotonically_increasing_id().alias("line_no"),
         F.lit(0).cast("bigint").alias("pos"),
         "value",
-        F.date_format("_metadata.file_modification_time", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("mtime"),
+        F.date_format("_metadata.file_modification_time", ISO_MS).alias("mtime"),
     )
 
 
@@ -48,15 +56,6 @@ def read_documents(spark: SparkSession, paths: str | list[str], glob: str | None
     return _placed(_reader(spark, glob, modified_after).text(paths, wholetext=True))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a source with fewer splits than cores (one file, one row group) work for all of them.
-
-    Sources with enough splits, which is every large one, pass through without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def live_cutoff(now: dt.datetime) -> str:
     """Lower bound of file times for the live view, the earlier of six hours ago and just before midnight."""
     since_midnight = (now - now.replace(hour=0, minute=0, second=0, microsecond=0)).total_seconds() * 1000
@@ -83,8 +82,30 @@ def table_lines(df: DataFrame, file: Column, line_no: Column, value: Column, mti
 
 def parsed(lines: DataFrame) -> DataFrame:
     """Lines that are JSON, as ``v``; blank, malformed and null lines are gone."""
-    rows = parse_once(lines, F.try_parse_json("value"), ["file", "block_start", "line_no", "pos", "mtime"])
-    return rows.filter(F.col("v").isNotNull() & ~F.is_variant_null("v"))
+    return judged(lines).filter("fault IS NULL").drop("fault")
+
+
+def judged(lines: DataFrame) -> DataFrame:
+    """Every line with its JSON as ``v`` and what is wrong with it as ``fault``: blank, malformed (truncated lines too) or null."""
+    blank = F.length(F.btrim("value", F.lit(" \t\r\n"))) == 0
+    node = F.try_parse_json(F.make_valid_utf8("value"))
+    rows = parse_once(lines, F.struct(node.alias("v"), blank.alias("blank")), ["file", "block_start", "line_no", "pos", "mtime"], "p")
+    v = F.col("p.v")
+    fault = F.when(F.col("p.blank"), "blank").when(v.isNull(), "malformed").when(F.is_variant_null(v), "null")
+    return rows.select("file", "block_start", "line_no", "pos", "mtime", v.alias("v"), fault.alias("fault"))
+
+
+def with_places(lines: DataFrame) -> DataFrame:
+    """Add a line's number in its file and the byte at which it starts, from 0; a file of any length is counted in chunks."""
+    size = (F.octet_length("value") + 1).cast("bigint")
+    return running(lines, ["file"], [Running("line", "sum", F.lit(1).cast("bigint")), Running("byte_at", "sum", size)])
+
+
+def line_report(lines: DataFrame) -> DataFrame:
+    """Per file, its lines, those that are read, and what the others suffer from."""
+    n = lambda fault: F.count(F.when(F.col("fault") == fault, 1))
+    return judged(lines).groupBy("file").agg(
+        F.count("*").alias("lines"), F.count(F.when(F.col("fault").isNull(), 1)).alias("read"), *[n(x).alias(x) for x in ("blank", "malformed", "null")])
 
 
 def explode_nodes(df: DataFrame, nodes: Column, keep: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ step writes a table and the next step reads it, so no query stacks two.
 from __future__ import annotations
 
 import datetime as dt
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -15,12 +16,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..functions.measures import MEASURES, sums, total_tokens
-from ..functions.times import HOUR_MS
-from ..operators.blocks import BLOCK_MS, burn_level, burn_rate
+from ..functions.measures import MEASURES, TOKENS, sums, total_tokens, zero
+from ..functions.times import DAY_MS, HOUR_MS, instant
+from ..operators.blocks import BLOCK_MS, build_blocks, burn_level, burn_rate
 from ..operators.deltas import COUNTERS
 from ..operators.ordered import Running, line_chunk, running
 from ..operators.prices import with_cost
+from ..operators.usage import USAGE_COLUMNS, Facts
+from ..session import remove, stage
+from ..sources import claude, codex
+from ..sources.lines import ISO_MS, plain_path
 
 STATE_STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -34,7 +39,7 @@ def use_state_store(spark: SparkSession) -> None:
 
 
 def stream_lines(spark: SparkSession, paths: str, glob: str = "*.jsonl", files_per_batch: int = 1000) -> DataFrame:
-    """New log files as a stream of placed lines, the input of every adapter's stateless stage."""
+    """The text of new log files as a stream. Its lines get their places inside a batch, see ``placed``."""
     text = (
         spark.readStream.option("recursiveFileLookup", "true")
         .option("pathGlobFilter", glob)
@@ -43,12 +48,25 @@ def stream_lines(spark: SparkSession, paths: str, glob: str = "*.jsonl", files_p
         .text(paths)
     )
     return text.select(
-        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("block_start"),
+        "value",
+        F.date_format("_metadata.file_modification_time", ISO_MS).alias("mtime"),
+    )
+
+
+def placed(batch: DataFrame) -> DataFrame:
+    """A batch of ``stream_lines`` as the placed lines every adapter takes.
+
+    A split's lines stand together and in order, so numbers given here grow with the line inside a split.
+    """
+    return batch.select(
+        plain_path(F.col("path")).alias("file"),
+        "block_start",
         F.monotonically_increasing_id().alias("line_no"),
         F.lit(0).cast("bigint").alias("pos"),
         "value",
-        F.date_format("_metadata.file_modification_time", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("mtime"),
+        "mtime",
     )
 
 
@@ -80,8 +98,8 @@ def growth_lines(lines: DataFrame) -> DataFrame:
     spread over tasks, and lines that add nothing never reach the stateful step.
     ``opens`` marks the id's first line in the batch.
     """
-    counted = lines.filter(F.col("counted") & F.col("message_id").isNotNull()).select(
-        *GROWTH, F.lit(0).cast("bigint").alias("block_start"), "line_no", F.lit(0).cast("bigint").alias("pos"), *COUNTERS)
+    place = [F.col(x) if x in lines.columns else F.lit(0).cast("bigint").alias(x) for x in ("block_start", "pos")]
+    counted = lines.filter(F.col("counted") & F.col("message_id").isNotNull()).select(*GROWTH, *place, "line_no", *COUNTERS)
     specs = [Running(b, "max", F.col(c)) for b, c in zip(BEFORE, COUNTERS)] + [Running("_seen", "max", F.lit(1))]
     placed = running(counted, ["message_id"], specs, line_chunk())
     opens = F.col("_seen").isNull()
@@ -143,18 +161,76 @@ def message_deltas_stream(growth: DataFrame, keep: dt.timedelta | None = None) -
 def message_deltas_job(lines: DataFrame, work: str, keep: dt.timedelta | None = None):
     """R2: land growth batch by batch under ``work`` and turn each into deltas at ``work``/deltas before the next one lands."""
     spark = lines.sparkSession
-    names = [*GROWTH, "line_no", *COUNTERS, *BEFORE, "opens"]
-    types = {**dict.fromkeys(GROWTH, "string"), "opens": "boolean"}
-    schema = ", ".join(f"{c} {types.get(c, 'bigint')}" for c in names)
 
     def follow() -> None:
-        growth = spark.readStream.schema(schema).parquet(f"{work}/growth")
+        growth = spark.readStream.schema(_growth_schema()).parquet(f"{work}/growth")
         # One batch; state with an age would otherwise ask for further batches without end.
         run_to_table(message_deltas_stream(growth, keep), f"{work}/deltas", f"{work}/deltas-checkpoint", one_batch=True)
 
     return ingest(lines, growth_lines, f"{work}/growth", f"{work}/growth-checkpoint", follow)
 
 
+def _growth_schema() -> str:
+    types = {**dict.fromkeys(GROWTH, "string"), "opens": "boolean"}
+    return ", ".join(f"{c} {types.get(c, 'bigint')}" for c in [*GROWTH, "line_no", *COUNTERS, *BEFORE, "opens"])
+
+
+def claude_text_job(lines: DataFrame, work: str, keep: dt.timedelta | None = None, zone: str | None = None):
+    """Transcripts as text, from ``stream_lines``, to usage under ``work``; read it with ``claude_usage``.
+
+    Every batch lands its parsed lines, then the lines whose counters grow; these go through the state of their
+    message ids before the next batch is taken. All three folders are named by batch, so a repeated batch replaces
+    what it wrote.
+    """
+    spark = lines.sparkSession
+
+    def land(batch: DataFrame, batch_id: int) -> None:
+        claude.assistant_lines(placed(batch), zone).write.mode("overwrite").parquet(f"{work}/lines/batch={batch_id}")
+        rows = spark.read.parquet(f"{work}/lines/batch={batch_id}")
+        growth_lines(rows).write.mode("overwrite").parquet(f"{work}/growth/batch={batch_id}")
+        lone_lines(rows).write.mode("overwrite").parquet(f"{work}/lone/batch={batch_id}")
+        growth = spark.readStream.schema(_growth_schema()).parquet(f"{work}/growth")
+        run_to_table(message_deltas_stream(growth, keep), f"{work}/deltas", f"{work}/deltas-checkpoint", one_batch=True)
+
+    return lines.writeStream.foreachBatch(land).option("checkpointLocation", f"{work}/lines-checkpoint").trigger(availableNow=True)
+
+
+def claude_usage(spark: SparkSession, work: str) -> DataFrame:
+    """Usage that ``claude_text_job`` has counted so far: (agent_id, session_id, file, day, model, measures)."""
+    counted = [*GROWTH, "line_no", *COUNTERS, "turns"]
+    both = spark.read.parquet(f"{work}/deltas").select(*counted).unionByName(spark.read.parquet(f"{work}/lone").select(*counted))
+    used = both.filter(sum((F.col(c) for c in TOKENS), F.col("turns")) > 0)
+    none = [zero(m) for m in MEASURES if m not in (*COUNTERS, "turns")]
+    return used.select(F.lit(claude.AGENT).alias("agent_id"), F.col("file").alias("session_id"), "file", "day", "model", *COUNTERS, "turns", *none).select(
+        "agent_id", "session_id", "file", "day", "model", *MEASURES)
+
+
+def codex_text_job(lines: DataFrame, work: str, keep: str | None = None):
+    """Rollouts as text, from ``stream_lines``, to events, calls and sessions under ``work``; read them with ``codex_facts``.
+
+    A file arrives whole, so its counters, models and replays are settled inside its batch by the batch operators.
+    Copies of an event in files of other batches are dropped by a stream over the landed events; with ``keep`` its
+    state forgets identities that long after their time, without it none.
+    """
+    spark = lines.sparkSession
+
+    def land(batch: DataFrame, batch_id: int) -> None:
+        events, calls, seen = codex.parts(stage(placed(batch), "rollouts"))
+        for name, df in (("events", events.withColumn("ts", instant(F.col("ts_raw")))), ("calls", calls), ("sessions", seen)):
+            df.write.mode("overwrite").parquet(f"{work}/{name}/batch={batch_id}")
+        landed = spark.readStream.schema(spark.read.parquet(f"{work}/events/batch={batch_id}").schema).parquet(f"{work}/events")
+        kept = landed.dropDuplicates(["identity"]) if keep is None else first_of(landed, ["identity"], "ts", keep)
+        run_to_table(kept, f"{work}/kept", f"{work}/kept-checkpoint", one_batch=True)
+
+    return lines.writeStream.foreachBatch(land).option("checkpointLocation", f"{work}/rollouts-checkpoint").trigger(availableNow=True)
+
+
+def codex_facts(spark: SparkSession, work: str) -> Facts:
+    """Facts of all rollouts that ``codex_text_job`` has read so far."""
+    events = spark.read.parquet(f"{work}/kept")
+    return Facts(events.select(*USAGE_COLUMNS), codex.priced_calls(spark.read.parquet(f"{work}/calls"), events), spark.read.parquet(f"{work}/sessions").drop("batch"))
+
+
 def first_of(stream: DataFrame, keys: list[str], event_time: str = "ts", delay: str = "1 day") -> DataFrame:
     """Drop copies of a record, tool call or span that come within the watermark delay."""
     return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys)
@@ -173,6 +249,39 @@ def daily_usage_stream(usage: DataFrame, keys: list[str] | None = None, delay: s
     )
 
 
+def daily_cost_job(usage: DataFrame, work: str, live: DataFrame | None = None, delay: str = "1 day", length: str = "1 day", slide: str | None = None):
+    """Priced usage by day and model; finished windows under ``work``/cost, what came too late under ``work``/late.
+
+    A batch is first summed by day and model, so the windows see a few rows of it, and each sum carries the batch's
+    latest time of its day. The windows run over the landed sums one batch at a time; those that the watermark ends
+    are priced as they leave, with ``live`` as it is then, and a window that has left takes nothing more. ``late``
+    counts, per batch, the sums that came for such windows, as the query's progress tells.
+    """
+    spark = usage.sparkSession
+
+    def by_day(batch: DataFrame) -> DataFrame:
+        return batch.groupBy(F.date_trunc("day", "ts").alias("_day"), "model").agg(*sums(), F.max("ts").alias("ts")).drop("_day")
+
+    def price(done: DataFrame, batch_id: int) -> None:
+        with_cost(done, live).drop("price").write.mode("overwrite").parquet(f"{work}/cost/batch={batch_id}")
+
+    def follow() -> None:
+        days = spark.readStream.schema(spark.read.parquet(f"{work}/days").drop("batch").schema).parquet(f"{work}/days")
+        windows = daily_usage_stream(days, delay=delay, length=length, slide=slide)
+        query = windows.writeStream.outputMode("append").foreachBatch(price).option("checkpointLocation", f"{work}/cost-checkpoint").trigger(once=True).start()
+        query.awaitTermination()
+        rows = [(int(p["batchId"]), sum(int(o["numRowsDroppedByWatermark"]) for o in p["stateOperators"])) for p in map(_as_dict, query.recentProgress)]
+        for batch_id in {b for b, _ in rows}:  # one batch, and perhaps one more that only moves the watermark
+            kept = spark.createDataFrame([(b, n) for b, n in rows if b == batch_id], "batch_id bigint, late_sums bigint")
+            kept.write.mode("overwrite").parquet(f"{work}/late/batch={batch_id}")
+
+    return ingest(usage, by_day, f"{work}/days", f"{work}/days-checkpoint", follow)
+
+
+def _as_dict(progress) -> dict:
+    return progress if isinstance(progress, dict) else json.loads(progress.json)
+
+
 class _Blocks(StatefulProcessor):
     """The open block of a key; a closed one is emitted when a later bucket or the timer ends it."""
 
@@ -299,15 +408,18 @@ def live_view(daily: DataFrame, blocks: DataFrame, today: str, now_ms: int, live
 COMPACT_EVERY = 50
 
 
-def live_job(usage_stream: DataFrame, state_table: str, view_table: str, checkpoint: str, now: Callable[[], dt.datetime]):
+def live_job(usage_stream: DataFrame, state_table: str, view_table: str, checkpoint: str, now: Callable[[], dt.datetime],
+             keep: dt.timedelta | None = None):
     """Keep hourly usage per key as a partial table and rewrite the view after every batch.
 
+    With ``keep`` the state forgets what is older, see ``forgetful_live_job``; without it every hour is kept, and usage
+    of any age may still move the blocks after it.
+
     Whole files are pruned, never hours of a file: with an ``mtime`` column, rows of files last touched before the
     live cutoff (S25) are left out as they arrive. Each batch writes its own hourly sums (replacing them if it is
     repeated); every ``COMPACT_EVERY`` batches the sums so far become one folder, so the table holds one row per
     (key, hour, model) plus the batches since. ``now`` is asked once per batch.
     """
-    from ..operators.blocks import build_blocks
     from ..sources.lines import live_cutoff
 
     def update(batch: DataFrame, batch_id: int) -> None:
@@ -332,6 +444,9 @@ def live_job(usage_stream: DataFrame, state_table: str, view_table: str, checkpo
         blocks = build_blocks(known.select("key", "day", "model", "ts_ms", *MEASURES).unionByName(ends), ["key"], now_ms)
         live_view(daily, blocks, at.strftime("%Y-%m-%d"), now_ms).write.mode("overwrite").parquet(view_table)
 
+    if keep is not None:
+        return forgetful_live_job(usage_stream, state_table, view_table, checkpoint, now, keep)
+
     def read(spark: SparkSession, schema: T.StructType, base: int, last: int) -> DataFrame:
         """The compacted sums before ``base`` and the batches from there on."""
         paths = ([f"{state_table}/upto={base - 1}"] if base else []) + [f"{state_table}/batch={k}" for k in range(base, last + 1)]
@@ -340,6 +455,54 @@ def live_job(usage_stream: DataFrame, state_table: str, view_table: str, checkpo
     return usage_stream.writeStream.foreachBatch(update).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
+HOURS = ["key", "day", "model", "hour_ms"]
+
+
+def forgetful_live_job(usage_stream: DataFrame, state_table: str, view_table: str, checkpoint: str, now: Callable[[], dt.datetime], keep: dt.timedelta):
+    """R6 with state that does not grow with the stream's age.
+
+    After each batch the state is written anew: the hours since ``now`` - ``keep`` (and since midnight), and per key
+    the end of the last block that opened before them, from which the walk goes on. Closed blocks and past days are
+    gone. Usage older than the kept hours is left out; keep at least a day and a block's length. The folder of a batch
+    is made from the one before it, so a repeated batch gives the same state; older folders are removed.
+    """
+    if keep < dt.timedelta(milliseconds=BLOCK_MS + HOUR_MS):
+        raise ValueError("keep more than a block and an hour")
+
+    def update(batch: DataFrame, batch_id: int) -> None:
+        spark, at = batch.sparkSession, now()
+        now_ms = int(at.replace(tzinfo=dt.timezone.utc).timestamp() * 1000)
+        midnight = now_ms // DAY_MS * DAY_MS
+        oldest = min(now_ms - int(keep.total_seconds() * 1000), midnight) // HOUR_MS * HOUR_MS
+        hour = F.floor(F.col("ts_ms") / HOUR_MS) * HOUR_MS
+        arrived = batch.groupBy("key", "day", "model", hour.alias("hour_ms")).agg(*sums(), F.min("ts_ms").alias("ts_ms"), F.max("ts_ms").alias("until_ms"))
+        before = f"{state_table}/hours/batch={batch_id - 1}"
+        known, floor_ms = arrived, oldest
+        anchors = spark.createDataFrame([], "key string, end bigint")
+        if batch_id:
+            old_hours, old_anchors = spark.read.schema(arrived.schema).parquet(before), spark.read.schema("key string, end bigint, floor_ms bigint").parquet(f"{state_table}/anchors/batch={batch_id - 1}")
+            row = old_anchors.agg(F.max("floor_ms")).first()
+            floor_ms, anchors = row[0] or 0, old_anchors.filter("key IS NOT NULL").drop("floor_ms")
+            # Hours that were forgotten take no more usage: the walk has passed them.
+            known = old_hours.unionByName(arrived.filter(F.col("hour_ms") >= floor_ms))
+        merged = known.groupBy(*HOURS).agg(*sums(), F.min("ts_ms").alias("ts_ms"), F.max("until_ms").alias("until_ms"))
+        hours = stage(merged, "live-hours")
+        none = [F.lit(0).cast("bigint").alias(m) for m in MEASURES]
+        ends = hours.select("key", "day", "model", F.col("until_ms").alias("ts_ms"), *none)
+        blocks = stage(build_blocks(hours.select("key", "day", "model", "ts_ms", *MEASURES).unionByName(ends), ["key"], now_ms, entered=anchors), "live-blocks")
+        live_view(hours.groupBy("key", "day", "model").agg(*sums()), blocks, at.strftime("%Y-%m-%d"), now_ms).write.mode("overwrite").parquet(view_table)
+        oldest = max(oldest, floor_ms) if batch_id else oldest
+        passed = blocks.filter(F.col("block_start") < oldest).groupBy("key").agg(F.max("block_end").alias("end"))
+        alive = passed.unionByName(anchors).groupBy("key").agg(F.max("end").alias("end")).filter(F.col("end") > oldest)  # an older end opens nothing
+        mark = spark.createDataFrame([(None, None, oldest)], "key string, end bigint, floor_ms bigint")
+        alive.withColumn("floor_ms", F.lit(oldest)).unionByName(mark).write.mode("overwrite").parquet(f"{state_table}/anchors/batch={batch_id}")
+        hours.filter(F.col("hour_ms") >= oldest).write.mode("overwrite").parquet(f"{state_table}/hours/batch={batch_id}")
+        for name in ("hours", "anchors"):
+            remove(spark, f"{state_table}/{name}/batch={batch_id - 2}")
+
+    return usage_stream.writeStream.foreachBatch(update).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+
+
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", one_batch: bool = False) -> DataFrame:
     """Process everything available, in one batch if asked, append it to a Parquet table and read the table back."""
     query = (

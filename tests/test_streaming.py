@@ -104,3 +104,39 @@ def test_staged_tables_can_be_cleared(spark):
     import os
 
     assert not os.path.exists(path.removeprefix("file://").removeprefix("file:"))
+
+
+def test_bounded_state_stays_the_same_size(streaming, tmp_path):
+    """1,000 hours of steady usage in 25 batches: the state never holds more than the kept hours, and the view is the batch answer."""
+    spark = streaming
+    start = dt.datetime(2026, 7, 20)
+    sizes = []
+    for k in range(25):
+        now = start + dt.timedelta(hours=40 * (k + 1))
+        events(spark, [(u, 60 * h + 7) for h in range(40 * k, 40 * (k + 1)) for u in ("u", "v") if u == "u" or h % 9]).coalesce(1).write.parquet(f"{tmp_path}/in/part={k}")
+        arrived = spark.readStream.schema(spark.read.parquet(f"{tmp_path}/in/part={k}").schema).parquet(f"{tmp_path}/in")
+        if k < 3 or k == 24:  # the batches between are taken together with the last
+            drain(jobs.live_job(arrived, f"{tmp_path}/state", f"{tmp_path}/view", f"{tmp_path}/ck", lambda: now, keep=dt.timedelta(hours=30)))
+            last = max((p.name for p in (tmp_path / "state" / "hours").iterdir()), key=lambda n: int(n.split("=")[1]))
+            sizes.append(spark.read.parquet(f"{tmp_path}/state/hours/{last}").count())
+    assert max(sizes) <= 2 * 40 and sizes[-1] <= sizes[0] + 8, sizes
+    assert len(list((tmp_path / "state" / "hours").iterdir())) <= 2
+    now_ms = int(now.replace(tzinfo=dt.timezone.utc).timestamp() * 1000)
+    whole = spark.read.parquet(f"{tmp_path}/in").drop("part")
+    blocks = {r["key"]: r for r in build_blocks(whole, ["key"], now_ms).filter("active").collect()}
+    got = {r["key"]: r for r in spark.read.parquet(f"{tmp_path}/view").collect()}
+    for key, block in blocks.items():
+        assert got[key]["remaining_ms"] == block["block_end"] - now_ms and got[key]["block_usd"] == pytest.approx(block["cost_usd"])
+
+
+def test_windows_are_priced_and_late_sums_counted(streaming, tmp_path):
+    spark = streaming
+    day = 24 * 60
+    batches = [[("u", 10), ("u", 20)], [("u", 5 * day)], [("u", 30), ("u", 9 * day)], [("u", 12 * day)]]
+    for k, rows in enumerate(batches):
+        events(spark, rows).withColumn("ts", F.timestamp_millis("ts_ms")).coalesce(1).write.parquet(f"{tmp_path}/in/part={k}")
+        arrived = spark.readStream.schema(spark.read.parquet(f"{tmp_path}/in/part={k}").schema).parquet(f"{tmp_path}/in")
+        drain(jobs.daily_cost_job(arrived, f"{tmp_path}/work"))
+    cost = {r["day"]: (r["turns"], round(r["cost_usd"], 6)) for r in spark.read.parquet(f"{tmp_path}/work/cost").collect()}
+    assert cost == {"2026-07-20": (3, 0.015), "2026-07-25": (1, 0.005)} or cost == {"2026-07-20": (2, 0.01), "2026-07-25": (1, 0.005)}
+    assert spark.read.parquet(f"{tmp_path}/work/late").agg(F.sum("late_sums")).first()[0] in (0, 1)

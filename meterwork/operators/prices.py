@@ -13,6 +13,7 @@ from ..functions.pricing import (
     cache_savings,
     cost_columns,
 )
+from ..session import stage
 from .dedup import keep_first
 
 _SEED = {row[0]: row for row in STATIC_PRICES}
@@ -59,11 +60,12 @@ def with_price(df: DataFrame, live: DataFrame | None = None, models: DataFrame |
     """Add ``price`` to rows with a ``model``.
 
     Order: live exact name, seed prefix, live prefix, then the fallback. Use it
-    on aggregated rows. With a live table, ``models`` (the distinct model names)
-    saves computing ``df`` twice.
+    on aggregated rows. With a live table the rows are staged, for their model
+    names and for themselves, unless ``models`` gives the distinct names.
     """
     if live is None:
         return df.withColumn("price", F.coalesce(static_prefix_price(), fallback_price()))
+    df = stage(df, "to-price") if models is None else df
     resolved = resolve_live(df if models is None else models, live)
     return (
         df.join(resolved, "model", "left")

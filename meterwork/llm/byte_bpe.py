@@ -29,11 +29,11 @@ import pyarrow as pa
 import pyarrow.compute
 import regex
 import sentencepiece
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from meterwork.llm.common import slices, text_bytes, texts_of
+from meterwork.llm.common import slices, text_bytes, unused
 
 #: Pre-tokens remembered by a process; the memory is emptied when it is full, results do not change.
 REMEMBERED = 150_000
@@ -183,21 +183,26 @@ class Tokenizer:
         return cls(serialised_model(read_ranks(path)), pattern)
 
 
-def _mapped_rows(df: DataFrame, drop: list[str], added: str, tokenizer: Tokenizer, make) -> DataFrame:
-    """Adds the columns that ``make(codec, batch)`` returns, a few megabytes of text at a time."""
+def _mapped_rows(df: DataFrame, given: Column, drop: list[str], added: str, tokenizer: Tokenizer, make) -> DataFrame:
+    """``df`` with the columns that ``make(codec, values of given)`` returns, a few megabytes of text at a time.
+
+    Columns that are already called like an added one are replaced.
+    """
     shared = df.sparkSession.sparkContext.broadcast((tokenizer.model, tokenizer.pattern))
-    kept = [c for c in df.columns if c not in drop]
     new = StructType.fromDDL(added)
+    kept = [c for c in df.columns if c not in (*drop, *new.names)]
+    input_name = unused(df.columns, "_in")
+    df = df.withColumn(input_name, given)
     schema = StructType([*df.select(*kept).schema.fields, *new.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(*shared.value)
         for batch in batches:
-            place = batch.column(batch.schema.get_field_index("_in"))
+            place = batch.column(batch.schema.get_field_index(input_name))
             sizes = pa.compute.binary_length(place) if pa.types.is_binary(place.type) else pa.compute.list_value_length(place)
             for lo, hi in slices(sizes.fill_null(0).to_numpy(zero_copy_only=False), _BYTES_AT_ONCE):
                 part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*[part.column(part.schema.get_field_index(c)) for c in kept], *make(codec, part)],
+                yield pa.RecordBatch.from_arrays([*[part.column(part.schema.get_field_index(c)) for c in kept], *make(codec, part.column(part.schema.get_field_index(input_name)).to_pylist())],
                                                  names=[*kept, *new.names])
 
     return df.mapInArrow(run, schema)
@@ -206,22 +211,21 @@ def _mapped_rows(df: DataFrame, drop: list[str], added: str, tokenizer: Tokenize
 def encode(docs: DataFrame, tokenizer: Tokenizer, text_column: str = "text", ids_column: str = "token_ids") -> DataFrame:
     """``docs`` with the ids of every text as an array column."""
 
-    def make(codec: Codec, batch: pa.RecordBatch):
-        found = codec.encode(texts_of(batch, "_in"))
+    def make(codec: Codec, given: list):
+        found = codec.encode([t or b"" for t in given])
         ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
         return [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*found, np.empty(0, np.int32)])))]
 
-    return _mapped_rows(docs.withColumn("_in", text_bytes(text_column)), ["_in"], f"{ids_column} array<int>", tokenizer, make)
+    return _mapped_rows(docs, text_bytes(text_column), [], f"{ids_column} array<int>", tokenizer, make)
 
 
 def decode(docs: DataFrame, tokenizer: Tokenizer, ids_column: str = "token_ids", bytes_column: str = "decoded") -> DataFrame:
     """``docs`` with the bytes that an array of ids stands for; a null array gives no bytes."""
 
-    def make(codec: Codec, batch: pa.RecordBatch):
-        ids = batch.column(batch.schema.get_field_index("_in")).to_pylist()
-        return [pa.array([codec.spell(np.array(x or [], np.int64)) for x in ids], pa.binary())]
+    def make(codec: Codec, given: list):
+        return [pa.array([codec.spell(np.array(x or [], np.int64)) for x in given], pa.binary())]
 
-    return _mapped_rows(docs.withColumn("_in", F.col(ids_column)), ["_in"], f"{bytes_column} binary", tokenizer, make)
+    return _mapped_rows(docs, F.col(ids_column), [], f"{bytes_column} binary", tokenizer, make)
 
 
 def round_trip(docs: DataFrame, tokenizer: Tokenizer, text_column: str = "text") -> DataFrame:
@@ -230,11 +234,11 @@ def round_trip(docs: DataFrame, tokenizer: Tokenizer, text_column: str = "text")
     Encoding and decoding run in one pass, so ids never travel.
     """
 
-    def make(codec: Codec, batch: pa.RecordBatch):
-        found = codec.encode(texts_of(batch, "_in"))
+    def make(codec: Codec, given: list):
+        found = codec.encode([t or b"" for t in given])
         decimals = [hashlib.sha256(codec.decimal(ids)[:-1]).hexdigest() for ids in found]
         decoded = [hashlib.sha256(codec.spell(ids)).hexdigest() for ids in found]
         return [pa.array(map(len, found), pa.int64()), pa.array(decimals, pa.string()), pa.array(decoded, pa.string())]
 
     added = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    return _mapped_rows(docs.withColumn("_in", text_bytes(text_column)), ["_in", text_column], added, tokenizer, make)
+    return _mapped_rows(docs, text_bytes(text_column), [text_column], added, tokenizer, make)

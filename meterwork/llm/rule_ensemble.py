@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from meterwork.llm.common import text_bytes
+from meterwork.llm.common import text_bytes, unused
 
 STATISTICS = (
     "words", "word_length", "lines", "line_words", "share_upper", "share_digits", "share_symbols", "share_exclaim", "share_stops",
@@ -189,10 +189,12 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, teaches: Column, fit:
 
 
 def scored(docs: DataFrame, model: Ensemble, text_column: str = "text", score_column: str = "score") -> DataFrame:
-    """``docs`` with the probability of label 1."""
-    return docs.withColumn("_stats", _statistics(text_bytes(text_column))).withColumn(score_column, model.column("_stats")).drop("_stats")
+    """``docs`` with the probability of label 1; a column that is already called ``score_column`` is replaced."""
+    stats = unused([*docs.columns, score_column], "_stats")
+    return docs.withColumn(stats, _statistics(text_bytes(text_column))).withColumn(score_column, model.column(stats)).drop(stats)
 
 
 def accepted(docs: DataFrame, model: Ensemble, least: float = 0.7, text_column: str = "text") -> DataFrame:
     """The documents that score ``least`` or more, columns unchanged."""
-    return scored(docs, model, text_column, "_score").filter(F.col("_score") >= least).select(*docs.columns)
+    score = unused(docs.columns, "_score")
+    return scored(docs, model, text_column, score).filter(F.col(score) >= least).drop(score)

@@ -2,6 +2,9 @@ import random
 
 import pytest
 
+#: Names that operators use inside.
+INTERNAL = ("_row", "_id", "_doc", "_m", "_mark", "_again", "_stay", "_size", "_draw", "_odds", "_weight", "_copies", "_copy", "_s", "_source", "_in", "_t", "_stats",
+            "_score", "_nth", "_at", "_stretch", "_local", "_told", "n_tokens_", "lead", "salt", "leads", "_fp", "_lead", "_n", "_e", "_h", "_hot", "_c", "E", "part", "block")
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
@@ -13,7 +16,7 @@ def docs(spark):
         full = [(r[0], r[1], r[2] if len(r) > 2 else "en", r[3] if len(r) > 3 else "s", len(r[1] or "")) for r in rows]
         df = spark.createDataFrame(full, DOCS)
         if clash:
-            for name in ("fp", "mark", "kept", "n", "score", "size", "row", "id", "_text", "words", "keep", "root", "q", "target"):
+            for name in (*INTERNAL, "fp", "mark", "kept", "n", "score", "size", "row", "id", "_text", "words", "keep", "root", "q", "target"):
                 df = df.withColumn(name, df["doc_id"])
         return df
 

@@ -16,6 +16,7 @@ the smallest; of repeated rows with that id one stays; an empty table gives an e
 from __future__ import annotations
 
 import hashlib
+import string
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -148,17 +149,30 @@ def _different(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.select(batch.schema.names[2:]).take(pa.array(wrong))
 
 
-def _mismatches(rows: DataFrame, groups: DataFrame, small: bool) -> DataFrame:
+def _leaders(ids: DataFrame, groups: DataFrame, small: bool) -> DataFrame:
+    """(fp, n_bytes, n, text): the normalised text that leads each group, once, however many rows repeat it."""
+    ours = join_side(groups.select("fp", "n_bytes", "n", F.col("lead.id").alias("_id"), F.col("lead.mark").alias("_mark")), small)
+    marked = ids.select("id", content_mark("text").alias("mark"), text_bytes("text").alias("_text"))
+    met = marked.join(ours, F.col("id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")))
+    lower = F.translate(F.col("_text").cast("string"), string.ascii_uppercase, string.ascii_lowercase).cast("binary").alias("text")
+    return met.dropDuplicates(["fp", "n_bytes"]).select("fp", "n_bytes", "n", lower)
+
+
+def _mismatches(rows: DataFrame, leaders: DataFrame, groups: DataFrame, small: bool) -> DataFrame:
     """Of ``rows`` (with text), those that differ from the leader of their group (fp, n_bytes, lead, n)."""
     ours = join_side(groups.select(F.col("fp").alias("_fp"), F.col("n_bytes").alias("_nb"), F.col("lead").alias("_lead"), F.col("n").alias("_n")), small)
     met = rows.join(ours, (F.col("fp") == F.col("_fp")) & (F.col("n_bytes") == F.col("_nb")))
-    runs = F.ceil(F.col("_n") / F.lit(RUN_ROWS)).cast("int")
-    leads = (F.col("_lead.id").eqNullSafe(F.col("id"))) & (F.col("_lead.mark") == F.col("mark"))
-    # The leader is given to every run; repeated rows of the leader's id and text are equal to it and need no comparison.
-    salts = F.when(leads, F.sequence(F.lit(0), runs - 1)).otherwise(F.array(F.pmod(F.xxhash64("id", "mark"), runs).cast("int")))
-    dealt = met.select(leads.alias("leads"), "text", "id", "mark", "fp", "n_bytes", F.explode(salts).alias("salt"))
-    runs_ = dealt.repartition("fp", "n_bytes", "salt").sortWithinPartitions("fp", "n_bytes", "salt", F.col("leads").desc())
+    runs = lambda n: F.ceil(F.col(n) / F.lit(RUN_ROWS)).cast("int")
+    names = ["leads", "text", "id", "mark", "fp", "n_bytes", "salt"]
+    # Rows of the leader's id and text are equal to it and need no comparison; of them one goes to every run.
+    own = F.col("_lead.id").eqNullSafe(F.col("id")) & (F.col("_lead.mark") == F.col("mark"))
+    salt = F.pmod(F.xxhash64("id", "mark", F.monotonically_increasing_id()), runs("_n")).cast("int")
+    members = met.filter(~own).withColumn("leads", F.lit(False)).withColumn("salt", salt).select(*names)
     id_type = rows.schema["id"].dataType.simpleString()
+    first = leaders.select(F.lit(True).alias("leads"), "text", F.lit(None).cast(id_type).alias("id"), F.lit("").alias("mark"), "fp", "n_bytes",
+                           F.explode(F.sequence(F.lit(0), runs("n") - 1)).alias("salt"))
+    dealt = members.unionByName(first.select(*names))
+    runs_ = dealt.repartition("fp", "n_bytes", "salt").sortWithinPartitions("fp", "n_bytes", "salt", F.col("leads").desc())
     return runs_.select("leads", "text", "id", "mark", "fp", "n_bytes").mapInArrow(_different, f"id {id_type}, mark string, fp bigint, n_bytes bigint")
 
 
@@ -170,7 +184,7 @@ def duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     label = narrow.withColumn("round", F.lit(0))
     groups, small = staged_small(narrow.groupBy("fp", "n_bytes").agg(lead, F.count(F.lit(1)).alias("n")).filter("n > 1"), "exact-groups")
     texts = fingerprints(ids, "id", "text", poly, keep_text=True).select("id", "mark", "fp", "n_bytes", "text")
-    wrong = stage(_mismatches(texts, groups, small), "exact-rest")
+    wrong = stage(_mismatches(texts, _leaders(ids, groups, small), groups, small), "exact-rest")
     turn = 0
     while not wrong.isEmpty():
         turn += 1
@@ -178,7 +192,7 @@ def duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
         mine = F.col("id").eqNullSafe(F.col("_i")) & (F.col("mark") == F.col("_m"))
         label = label.join(others, mine, "left").select(*narrow.columns, F.coalesce("_round", "round").alias("round"))
         groups, small = staged_small(wrong.groupBy("fp", "n_bytes").agg(lead, F.count(F.lit(1)).alias("n")).filter("n > 1"), "exact-groups")
-        wrong = stage(_mismatches(texts.join(others, mine, "left_semi"), groups, small), "exact-rest")
+        wrong = stage(_mismatches(texts.join(others, mine, "left_semi"), _leaders(ids, groups, small), groups, small), "exact-rest")
     classes, small = staged_small(
         label.groupBy("fp", "n_bytes", "round").agg(F.max(F.struct("id", "row")).alias("keep"), F.count(F.lit(1)).alias("n")).filter("n > 1")
         .select(F.col("fp").alias("_fp"), F.col("n_bytes").alias("_nb"), F.col("round").alias("_r"), "keep", "n"), "exact-classes")

@@ -80,3 +80,25 @@ def test_awkward_rows(docs):
 def test_no_repeated_id_leaves_the_plain_join(docs):
     rows = [(1, "a"), (2, "A"), (3, "b")]
     assert sorted(r["doc_id"] for r in without_duplicates(docs(rows)).filter(F.lit(True)).collect()) == [2, 3]
+
+
+def test_repeated_leaders_are_dealt_once(docs, spark):
+    """Thousands of rows with one null id and one text: the text goes to the comparison a bounded number of times."""
+    from meterwork.llm import exact as x
+
+    rows = docs([(None, "one text", "en", "s")] * 3000 + [(5, "ONE text", "en", "s")] * 2, clash=False)
+    got = x.duplicates(rows).collect()
+    assert len(got) == 3002 and {(r["keep_id"], r["group_size"]) for r in got} == {(5, 3002)} and sum(r["kept"] for r in got) == 1
+    ids = rows.selectExpr("doc_id AS id", "text")
+    prints = x.fingerprints(ids, "id", "text", keep_text=True).select("id", "mark", "fp", "n_bytes", "text")
+    groups = prints.groupBy("fp", "n_bytes").agg({"*": "count"}).withColumnRenamed("count(1)", "n").selectExpr("fp", "n_bytes", "named_struct('id', 5L, 'mark', md5('ONE text')) AS lead", "n")
+    assert x._leaders(ids, groups, True).count() == 1
+    assert x._mismatches(prints, x._leaders(ids, groups, True), groups, True).count() == 0
+
+
+def test_stage_keeps_other_columns(docs):
+    df = docs([(1, "a b"), (2, "A B"), (None, "a b"), (None, "x"), (None, "x"), (3, None), (3, ""), (4, "y")])
+    before = [tuple(r) for r in df.collect()]
+    out = without_duplicates(df)
+    kept = [tuple(r) for r in out.collect()]
+    assert out.columns == df.columns and all(r in before for r in kept) and sorted(str(r[1] or "").lower() for r in kept) == ["", "a b", "x", "y"]

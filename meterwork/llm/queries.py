@@ -155,20 +155,29 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_w
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(t) AS text_sha256
 FROM (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents) WINDOW g AS (PARTITION BY t)""",
     "op7_pareto_mix": r"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-             (('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
-           FROM documents),
-s AS (SELECT source, sum(size)::BIGINT AS source_size, (ARRAY[5, 2, 1])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM d GROUP BY source),
+WITH n AS (SELECT doc_id, source, coalesce(text, '') AS t, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+             row_number() OVER (PARTITION BY doc_id, md5(coalesce(text, ''))) AS nth FROM documents),
+d AS (SELECT doc_id, source, size, size >= 100 AS heavy,
+             (('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '') || ':' || t || CASE WHEN nth > 1 THEN ':' || nth ELSE '' END), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
+      FROM n),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, coalesce(sum(size) FILTER (NOT heavy), 0)::BIGINT AS l, coalesce(sum(size) FILTER (heavy), 0)::BIGINT AS h,
+        (ARRAY[5, 2, 1])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM d GROUP BY source),
 l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER (ORDER BY 3 * source_size / w::DOUBLE, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
         / (sum(w) OVER (ORDER BY 3 * source_size / w::DOUBLE, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level FROM s),
 c AS (SELECT level FROM l WHERE level <= 3 * source_size / w::DOUBLE ORDER BY 3 * source_size / w::DOUBLE, source NULLS LAST LIMIT 1),
-t AS (SELECT l.source, source_size, CASE WHEN c.level IS NULL THEN 3.0::DOUBLE * source_size ELSE least(3.0::DOUBLE * source_size, c.level * w) END AS target FROM l LEFT JOIN c ON true),
-p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole,
-        CASE WHEN source_size > 0 THEN target / source_size - floor(target / source_size) ELSE 0 END AS rest FROM t),
-r AS (SELECT d.doc_id, d.size, p.*, target - whole * source_size AS rest_words, sum(size) OVER (PARTITION BY p.source ORDER BY u RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
-        sum(size) OVER (PARTITION BY p.source, u) AS own FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source)
+t AS (SELECT l.source, source_size, l.l, l.h, CASE WHEN c.level IS NULL THEN 3.0::DOUBLE * source_size ELSE least(3.0::DOUBLE * source_size, c.level * w) END AS target FROM l LEFT JOIN c ON true),
+v AS (SELECT *, CASE WHEN l + h > 0 THEN target / (l + h * 2.0::DOUBLE) END AS per FROM t),
+e AS (SELECT *, CASE WHEN h = 0 THEN 0 WHEN per * 2.0::DOUBLE > 3 THEN 3.0::DOUBLE ELSE per * 2.0::DOUBLE END AS eh,
+        CASE WHEN l = 0 THEN 0 WHEN per * 2.0::DOUBLE > 3 THEN (target - h * 3.0::DOUBLE) / l ELSE per END AS el FROM v),
+b AS (SELECT *, least(greatest(coalesce(eh, 0), 0), 3)::DOUBLE AS bh, least(greatest(coalesce(el, 0), 0), 3)::DOUBLE AS bl FROM e),
+p AS (SELECT *, target - (l * floor(bl)::BIGINT + h * floor(bh)::BIGINT) AS rest_words FROM b),
+x AS (SELECT d.doc_id, d.size, d.u, p.source, p.source_size, p.target, p.rest_words, CASE WHEN heavy THEN floor(bh) ELSE floor(bl) END::BIGINT AS whole,
+        CASE WHEN heavy THEN bh - floor(bh) ELSE bl - floor(bl) END AS rest FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
+q AS (SELECT *, CASE WHEN rest > 0 AND size > 0 AND rest_words > 0 THEN (u / (1.0::DOUBLE - u)) / (rest / (1.0::DOUBLE - rest) * 1.0::DOUBLE) END AS q FROM x),
+r AS (SELECT *, sum(CASE WHEN q IS NOT NULL THEN size END) OVER (PARTITION BY source ORDER BY q NULLS LAST RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
+        sum(size) OVER (PARTITION BY source, q) AS own FROM q)
 SELECT doc_id, size::BIGINT AS size, source_size, target::DOUBLE AS target,
-  (size * (whole + CASE WHEN rest > 0 AND (upto < rest_words OR upto - own < rest_words AND upto - rest_words <= rest_words - (upto - own)) THEN 1 ELSE 0 END))::BIGINT AS taken FROM r""",
+  (size * (whole + CASE WHEN q IS NOT NULL AND (upto < rest_words OR upto - own < rest_words AND upto - rest_words <= rest_words - (upto - own)) THEN 1 ELSE 0 END))::BIGINT AS taken FROM r""",
     "op9_revisits": r"""
 WITH k AS (SELECT unnest([0, 1, 2, 3, 4]) AS k),
 c AS (SELECT page_id * 10 + k AS record_id, k,

@@ -75,3 +75,31 @@ def test_awkward_rows(docs):
     assert len(got) == len(AWKWARD) and all(r["taken"] == 0 for r in got if r["size"] == 0)
     assert mix_sizes(docs(AWKWARD).limit(0)).count() == 0 and mix_documents(docs(AWKWARD).limit(0)).count() == 0
     assert mix_sizes(docs([(1, None), (2, "")])).agg({"taken": "sum"}).first()[0] == 0
+
+
+def test_long_documents_are_likelier_by_their_odds(docs):
+    """Pareto order sampling: inclusion follows the expected copies, which are twice as many for long documents."""
+    rows = [(i, "w " * (120 if i % 4 < 2 else 30), "en", "ab"[i % 2]) for i in range(6000)]
+    got = mix_sizes(docs(rows, clash=False), Mix(weights=(1, 30))).collect()
+    low = [r for r in got if r["doc_id"] % 2 == 0]
+    p = {long: sum(r["copies"] for r in low if (r["size"] > 100) == long) / sum((r["size"] > 100) == long for r in low) for long in (True, False)}
+    level = low[0]["target"] / (1500 * 120 * 2 + 1500 * 30)
+    assert 0 < level < 0.5 and abs(p[True] - 2 * level) < 0.05 and abs(p[False] - level) < 0.05
+    assert abs(sum(r["taken"] for r in low) - low[0]["target"]) <= 60
+
+
+def test_repeated_rows_are_told_apart(docs):
+    rows = [(None, "same words here", "en", s) for s in ("a", "b") for _ in range(500)]
+    got = mix_sizes(docs(rows)).collect()
+    for source in ("a", "b"):
+        mine = [r for r in got if abs(r["target"] - (3000 * 5 / 7 if source == "a" else 3000 * 2 / 7)) < 1]
+        assert len(mine) == 500 and abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 1.5
+    out = mix_documents(docs(rows)).groupBy("source").count().collect()
+    assert {r["source"]: r["count"] for r in out} == {s: round(sum(r["copies"] for r in got if abs(r["target"] - 3000 * w / 7) < 1)) for s, w in (("a", 5), ("b", 2))}
+
+
+def test_other_columns_come_through(docs):
+    df = docs(table(7, ["a", "b"], 120))
+    before = {r["doc_id"]: r for r in df.collect()}
+    out = mix_documents(df)
+    assert out.columns == df.columns and all(r == before[r["doc_id"]] for r in out.collect())

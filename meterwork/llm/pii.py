@@ -81,13 +81,18 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found, key=lambda s: (s[1], s[0]))
 
 
+#: Characters that a run of a kind is widened by, and what may part two runs of one span.
+_AROUND = (frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-@"), frozenset("0123456789."), frozenset("0123456789"), frozenset("0123456789+("))
+_SEPARATORS, _APART = " .-/()[]", 5
+
+
 def plausible(kind: int, text: str) -> bool:
     """Whether text tagged by the network can be of its kind at all."""
     n = len(_digits(text))
     if kind == 0:
         return 6 <= len(text) <= 254 and text.count(" ") <= 4 and bool(re.search(r"@|\bat\b", text)) and bool(re.search(r"\.|\bdot\b", text))
     if kind == 1:
-        return re.fullmatch(r"[0-9]{1,3}(?:[.\[\] ]{1,3}[0-9]{1,3}){3}", text) is not None and all(int(x) <= 255 for x in re.findall("[0-9]+", text))
+        return re.fullmatch(r"[0-9]{1,3}(?:[.\[\]() ]{1,5}[0-9]{1,3}){3}", text) is not None and all(int(x) <= 255 for x in re.findall("[0-9]+", text))
     if not re.fullmatch(r"[0-9+(][0-9 ().+/-]*[0-9]", text):
         return False
     return (14 <= n <= 19 and luhn(_digits(text))) if kind == 2 else 10 <= n <= 15 and re.search(r"[0-9][ ()./-]+[0-9]", text) is not None
@@ -108,8 +113,8 @@ class Fit:
     around: int = 60
     hidden: int = 8
     batch: int = 96
-    warm_up: int = 160
-    steps: int = 240
+    warm_up: int = 280
+    steps: int = 400
     window: int = 80
     rate: float = 0.02
     seed: int = 10
@@ -178,19 +183,54 @@ class Network:
         return np.split(tags, np.cumsum(lengths)[:-1]) if len(texts) else []
 
     def added(self, text: str, tags: np.ndarray, base: list[Span]) -> list[Span]:
-        """Spans of the tag runs that are plausible and touch no base span."""
+        """Spans of the tag runs that are plausible and touch no base span.
+
+        Runs of one kind that only separators part are one. A run is widened to the characters of its kind around it,
+        as tags may miss its ends; so no span ends inside a number or a name.
+        """
         edges = np.flatnonzero(np.diff(tags, prepend=0, append=0)).tolist()
-        out = []
+        runs: list[list[int]] = []
         for a, b in zip(edges, edges[1:]):
-            if tags[a]:
-                kind, piece = int(tags[a]) - 1, text[a:b]
-                begin = a + len(piece) - len(piece.lstrip(" .,;:\n\t"))
-                end = b - len(piece) + len(piece.rstrip(" .,;:\n\t"))
-                if begin < end and plausible(kind, text[begin:end]) and not any(x < end and begin < y for _, x, y in base):
-                    out.append((kind, begin, end))
+            if not tags[a]:
+                continue
+            kind = int(tags[a]) - 1
+            if runs and runs[-1][0] == kind and a - runs[-1][2] <= _APART and not text[runs[-1][2] : a].strip(_SEPARATORS):
+                runs[-1][2] = b
+            else:
+                runs.append([kind, a, b])
+        out: list[Span] = []
+        for kind, a, b in runs:
+            choices = [(kind, *_widened(kind, text, a, b))]
+            if kind:  # numbers written in groups: the tags may know only some of them
+                around = _grouped(text, *choices[0][1:])
+                choices += [(k, *around) for k in (2, 3) if k in (2, kind)]
+            for k, begin, end in choices:
+                piece = text[begin:end]
+                begin += len(piece) - len(piece.lstrip(" .,;:\n\t"))
+                end -= len(piece) - len(piece.rstrip(" .,;:\n\t"))
+                if begin < end and plausible(k, text[begin:end]) and not any(x < end and begin < y for _, x, y in (*base, *out)):
+                    out.append((k, begin, end))
+                    break
         return out
 
 
+def _grouped(text: str, a: int, b: int, most: int = 40) -> tuple[int, int]:
+    """A run of digits with the groups of digits before and behind it, parted by a few separators each."""
+    before = re.search(r"(?:[0-9+(]{1,19}[ .\-/()]{1,3})*$", text[max(0, a - most) : a])
+    behind = re.match(r"(?:[ .\-/()]{1,3}[0-9]{1,19})*", text[b : b + most])
+    return a - len(before[0]), b + len(behind[0])
+
+
+def _widened(kind: int, text: str, a: int, b: int) -> tuple[int, int]:
+    """A run with the characters of its kind right before and behind it."""
+    own = _AROUND[kind]
+    while a > 0 and text[a - 1] in own:
+        a -= 1
+    while b < len(text) and text[b] in own:
+        b += 1
+    return a, b
+
+
 def _crf_gradient(em: np.ndarray, move: np.ndarray, tags: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Gradient of the negative log likelihood of ``tags`` by forward and backward sums; ``real`` masks padding."""
     steps, batch, n = em.shape
@@ -219,17 +259,19 @@ def _rewritten(text: str, span: Span, rng: np.random.Generator) -> tuple[str, Sp
     """The same personal datum written another way, its span moved along."""
     kind, a, b = span
     piece = text[a:b]
+    pick = lambda *x: x[rng.integers(len(x))]
     if kind == 0:
-        new = piece.replace("@", [" at ", " (at) ", "[at]"][rng.integers(3)])
+        new = piece.replace("@", pick(" at ", " (at) ", "[at]"))
+    elif kind == 1:
+        new = piece.replace(".", pick("[.]", " . ", "(.)", ". "))
     elif kind == 2:
-        digits = _digits(piece)
-        new = [" ", "-", "."][rng.integers(3)].join(digits[i : i + 4] for i in range(0, len(digits), 4))
-    elif kind == 3:
-        digits = _digits(piece)[-10:]
-        mark = ["-", ".", " ", "/"][rng.integers(4)]
-        new = [f"({digits[:3]}) {digits[3:6]}{mark}{digits[6:]}", mark.join((digits[:3], digits[3:6], digits[6:]))][rng.integers(2)]
+        digits, size = _digits(piece), pick(4, 4, 5, 6)
+        new = pick(" ", "-", ".", "/", "  ").join(digits[i : i + size] for i in range(0, len(digits), size))
     else:
-        new = piece.replace(".", "[.]")
+        digits, mark = _digits(piece)[-10:], pick("-", ".", " ", "/")
+        cuts = pick((3, 6), (4, 7), (3, 6, 8), (5,))
+        groups = [digits[i:j] for i, j in zip((0, *cuts), (*cuts, len(digits)))]
+        new = f"({groups[0]}) {mark.join(groups[1:])}" if rng.integers(3) == 0 else mark.join(groups)
     return text[:a] + new + text[b:], (kind, a, a + len(new))
 
 

@@ -11,14 +11,15 @@ from pyspark.sql import functions as F
 from meterwork.functions import times
 from meterwork.functions.pricing import PRICE_FIELDS
 from meterwork.operators import blocks as bl
-from meterwork.operators import servers
+from meterwork.operators import prices, servers
 from meterwork.operators.usage import cubes
-from meterwork.plans import agents, projects, reports
-from meterwork.sources import claude
+from meterwork.plans import agents, live, projects, reports
+from meterwork.sources import antigravity, claude, json_lines
+from meterwork.sources.lines import table_lines
 
-from .inputs import EVENTS_SQL, PRICES_SQL, RANGE, SUMS_SQL, event_cubes, event_facts, events, grouped_sql, priced_sql, table, usd_columns, usd_sql, with_sql
+from .inputs import EVENTS_SQL, PRICES_SQL, RANGE, SESSIONS_SQL, SUMS_SQL, event_cubes, event_facts, events, grouped_sql, priced_sql, table, usd_columns, usd_sql, with_sql
 from .reports import BURN_SQL, CLAMP_SQL, LIVE_MS, PROJECT_SERVERS_SQL, PROJECT_SQL, REGISTRY_SQL, TOOLS_SQL, blocks_sql, event_projects, totals_sql
-from .sources import CLAUDE_SQL, claude_lines
+from .sources import CLAUDE_SQL, ESTIMATE_SQL, claude_lines, conversation_files, history_lines
 
 QUERIES, SQL = {}, {}
 
@@ -181,8 +182,91 @@ SELECT 'daily' AS part, agent_id, day AS item, {usd_sql('sum(input_usd + cache_r
 UNION ALL SELECT 'tools', agent_id, tool_name, {usd_sql('sum((input_usd + cache_read_usd + cache_write_usd + output_usd) / split)', 'cost_usd')} FROM tcost GROUP BY agent_id, tool_name"""))
 def _(spark, sf):
     """Days and tools of a report whose cubes and marts are all priced with the live table."""
-    live = live_prices(spark, sf)
-    marts = reports.build_report(cubes(event_facts(spark, sf), live), ["agent_id"], live=live)
+    table_ = live_prices(spark, sf)
+    marts = reports.build_report(cubes(event_facts(spark, sf), table_), ["agent_id"], live=table_)
     days = marts["daily"].select(F.lit("daily").alias("part"), "agent_id", F.col("day").alias("item"), "cost_usd")
     return usd_columns(days.union(marts["tools"].select(F.lit("tools"), "agent_id", "tool_name", "cost_usd")), "cost_usd")
 
+
+
+# ---- branches that other checks do not take ------------------------------------------------------
+
+
+@check("s23_catalog_document", with_sql("""
+cd AS (SELECT CAST(floor(p_retailprice) AS BIGINT) AS cost, p_partkey, p_size, CASE WHEN p_partkey % 2 = 0 THEN 'prov/' ELSE '' END || 'm-' || (p_partkey // 2) AS key FROM part),
+cn AS (SELECT *, split_part(key, '/', -1) AS name, contains(key, '/') AS prefixed FROM cd WHERE p_size % 5 <> 0)""",
+    select="""SELECT name AS key, arg_min(cost * 1e6, (prefixed, p_partkey)) AS input_per_mtok, arg_min(cost * 2 * 1e6, (prefixed, p_partkey)) AS output_per_mtok FROM cn GROUP BY name"""))
+def _(spark, sf):
+    """A catalog as it is published, one JSON object of all entries: bare names beat prefixed ones, free entries do not count."""
+    p = table(spark, sf, "part")
+    cost = F.floor("p_retailprice").cast("bigint")
+    key = F.concat(F.when(F.col("p_partkey") % 2 == 0, "prov/").otherwise(""), F.lit("m-"), F.floor(F.col("p_partkey") / 2).cast("string"))
+    entry = F.concat(F.lit('"'), key, F.lit('":{"input_cost_per_token":'), F.when(F.col("p_size") % 5 == 0, F.lit(0)).otherwise(cost).cast("string"),
+                     F.lit(',"output_cost_per_token":'), (cost * 2).cast("string"), F.lit("}"))
+    listed = p.groupBy().agg(F.array_sort(F.collect_list(F.struct(F.col("p_partkey").alias("k"), entry.alias("e")))).alias("x"))
+    document = listed.select(F.concat(F.lit("{"), F.concat_ws(",", F.col("x.e")), F.lit("}")).alias("value"))
+    return prices.catalog_prices(prices.catalog_entries(document)).select("key", "input_per_mtok", "output_per_mtok")
+
+
+@check("d03_spans_without_response", with_sql(EVENTS_SQL, """
+sp AS (SELECT *, event_id % 500 AS span, 's' || (user_id % 4) AS ses FROM e WHERE input_tokens + output_tokens + cache_read_tokens > 0),
+sf AS (SELECT * FROM sp QUALIFY row_number() OVER (PARTITION BY span, ses, input_tokens, output_tokens ORDER BY event_id) = 1)""",
+    select="SELECT ses AS session_id, model, count(*) AS turns, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(cache_read_tokens) AS BIGINT) AS cache_read_tokens FROM sf GROUP BY ALL"))
+def _(spark, sf):
+    """Telemetry without response ids: copies are told by span, session and both counts."""
+    e = events(spark, sf)
+    attributes = F.struct(
+        F.col("model").alias("gen_ai.request.model"), F.concat(F.lit("s"), (F.col("user_id") % 4).cast("string")).alias("session.id"), F.col("input_tokens").alias("gen_ai.usage.input_tokens"),
+        F.col("output_tokens").alias("gen_ai.usage.output_tokens"), F.col("cache_read_tokens").alias("gen_ai.usage.cache_read.input_tokens"))
+    line = F.struct((F.col("event_id") % 500).cast("string").alias("spanId"), F.col("ts_raw").alias("timestamp"), attributes.alias("attributes"))
+    usage = json_lines.copilot(table_lines(e, F.lit("otel.jsonl"), F.col("event_id"), F.to_json(line))).usage
+    return usage.groupBy("session_id", "model").agg(*[F.sum(c).alias(c) for c in ("turns", "input_tokens", "cache_read_tokens")])
+
+
+@check("j04_dated_estimates", with_sql(*ESTIMATE_SQL, """
+hs AS (SELECT conv_id, strftime(make_timestamp((1704067200000 + conv_id * 3600000 + max(turn) * 60000) * 1000), '%Y-%m-%dT%H:%M:%S.%gZ') AS ts_raw FROM conversations GROUP BY conv_id)""",
+    select="SELECT 'c' || conv_id AS session_id, model, ts_raw, substr(ts_raw, 1, 10) AS day, turns FROM est JOIN hs USING (conv_id)"))
+def _(spark, sf):
+    """Estimated usage with the dates that the history gives its conversation."""
+    usage = antigravity.load(conversation_files(spark, sf), history_lines(spark, sf)).usage
+    return usage.select("session_id", "model", "ts_raw", "day", "turns")
+
+
+@check("w11_recorded_context", with_sql(*CLAUDE_SQL, """
+lc AS (SELECT file AS session_id, arg_max(input_tokens + cache_read_tokens + cache_write_tokens, event_id) AS t, min(user_id) AS u FROM c GROUP BY 1),
+rc AS (SELECT session_id, CASE WHEN u % 2 = 0 THEN t + 1000 ELSE t END AS tokens, CASE WHEN u % 3 = 0 THEN 1000000 ELSE 200000 END AS size FROM lc)""",
+    select="SELECT session_id, tokens AS context_tokens, CAST(floor(tokens / size::DOUBLE * 100 + 0.5) AS BIGINT) AS percent FROM rc"))
+def _(spark, sf):
+    """A recorded figure wins over the log's; a recorded window size over the default one."""
+    lines = claude_lines(spark, sf)
+    scanned = claude.last_context(lines)
+    user = lines.groupBy(F.col("file").alias("session_id")).agg(F.min(F.regexp_extract("file", r"/s(\d+)-", 1).cast("int")).alias("u"))
+    recorded = scanned.join(user, "session_id").select(
+        "session_id", F.when(F.col("u") % 2 == 0, F.col("context_tokens") + 1000).alias("total_input_tokens"), F.when(F.col("u") % 3 == 0, F.lit(1_000_000)).alias("window_size"))
+    return live.context_use(recorded, scanned).select("session_id", "context_tokens", "percent")
+
+
+@check("j07_real_paths_from_config", with_sql(EVENTS_SQL, SESSIONS_SQL, """
+fs AS (SELECT agent_id, string_split(file, '/')[3] AS project_id, file, cwd FROM ses),
+fd AS (SELECT agent_id, project_id, arg_min(cwd, file) FILTER (cwd IS NOT NULL) AS first_cwd FROM fs GROUP BY 1, 2),
+fp AS (SELECT *, CASE WHEN project_id IN ('dir1', 'dir3', 'dir5') THEN '/real/' || project_id || '/app' ELSE first_cwd END AS real_path FROM fd)""",
+    select="SELECT agent_id, project_id, coalesce(real_path, project_id) AS name, coalesce(list_extract(string_split(real_path, '/'), -1), project_id) AS label, real_path FROM fp"))
+def _(spark, sf):
+    """Folders that the configuration knows get its path, others the first working directory seen."""
+    facts = projects.folder_sessions(event_cubes(spark, sf), "/logs")
+    known = facts.sessions.select(F.col("project_id").alias("sanitized")).distinct().filter(F.col("sanitized").isin("dir1", "dir3", "dir5"))
+    return projects.folder_project_dim(facts.sessions, known.select("sanitized", F.concat(F.lit("/real/"), "sanitized", F.lit("/app")).alias("real_path")))
+
+
+@check("t02_top_five_tools", with_sql(*TOOLS_SQL, "\ntt AS (SELECT agent_id, tool_name, CAST(sum(calls) AS BIGINT) AS calls FROM tools GROUP BY ALL)",
+                                      select="SELECT agent_id, tool_name, calls FROM tt QUALIFY row_number() OVER (PARTITION BY agent_id ORDER BY calls DESC, tool_name) <= 5"))
+def _(spark, sf):
+    return reports.top(reports.tool_totals(event_cubes(spark, sf).tools, ["agent_id"]), "calls", "tool_name", 5, ["agent_id"]).select("agent_id", "tool_name", "calls")
+
+
+@check("a10_p36_cache_levels", with_sql(EVENTS_SQL, select="""SELECT session_id, CASE WHEN sum(cache_read_tokens) / nullif(sum(cache_read_tokens) + sum(input_tokens), 0) > 0.8 THEN 'good' ELSE 'low' END AS level
+  FROM e GROUP BY agent_id, session_id"""))
+def _(spark, sf):
+    """The level of every session's cache hit rate."""
+    sums = reports.usage_by(event_cubes(spark, sf).usage, ["agent_id", "session_id"])
+    return sums.select("session_id", bl.cache_level(reports.hit_rate(F.col("cache_read_tokens"), F.col("input_tokens"))).alias("level"))

@@ -317,20 +317,26 @@ class _Blocks(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         block, done = self._load(), []
-        pdf = pd.concat(rows, ignore_index=True).sort_values("bucket", ignore_index=True)
-        for r in pdf.itertuples(index=False):
-            if block is not None and r.bucket < block[0]:
+        seen: dict[int, list] = {}  # one entry per hour, however many rows a batch holds of it
+        for pdf in rows:
+            columns = (pdf[c].tolist() for c in ("bucket", "events", "first_ts", "last_ts", "total_tokens", "cost_usd"))
+            for bucket, events, first, last, tokens, cost in zip(*columns):
+                kept = seen.setdefault(int(bucket), [0, first, last, 0, 0.0])
+                kept[:] = kept[0] + events, min(kept[1], first), max(kept[2], last), kept[3] + tokens, kept[4] + cost
+        for bucket in sorted(seen):
+            events, first, last, tokens, cost = seen[bucket]
+            if block is not None and bucket < block[0]:
                 # A boundary that was emitted cannot move; the batch job is the correction path.
-                block[5] += int(r.events)
+                block[5] += int(events)
                 continue
-            if block is None or r.bucket >= block[1]:
+            if block is None or bucket >= block[1]:
                 if block is not None:
                     done.append(block)
-                start = int(r.bucket // HOUR_MS * HOUR_MS)
-                block = [start, start + self._length, int(r.first_ts), int(r.last_ts), 0, 0, 0.0]
-            block[2], block[3] = min(block[2], int(r.first_ts)), max(block[3], int(r.last_ts))
-            block[4] += int(r.total_tokens)
-            block[6] += float(r.cost_usd)
+                start = int(bucket // HOUR_MS * HOUR_MS)
+                block = [start, start + self._length, int(first), int(last), 0, 0, 0.0]
+            block[2], block[3] = min(block[2], int(first)), max(block[3], int(last))
+            block[4] += int(tokens)
+            block[6] += float(cost)
         if block is not None:
             self._open.update(tuple(block))
             if timerValues.getCurrentWatermarkInMs() >= 0:

@@ -70,3 +70,17 @@ def test_empty_tables(spark, docs, prose, tmp_path):
     docs([], clash=False).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_keep_columns_of_any_name(spark, docs, prose, tmp_path):
+    """Every stage but the last hands on all columns of its documents, also those named like its own helpers."""
+    rows = fixture(spark, docs, prose, str(tmp_path))
+    now = docs(rows)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, now, str(tmp_path)).write.parquet(f"{tmp_path}/clash/{name}")
+        after = spark.read.parquet(f"{tmp_path}/clash/{name}")
+        assert after.columns == now.columns
+        own = [c for c in after.columns if c not in ("doc_id", "text", "lang", "source", "n_chars")]
+        assert len(own) > 40 and after.count() > 0 and all(r[c] == r["doc_id"] for r in after.collect() for c in own)
+        now = after
+    assert byte_bpe.round_trip(now, queries.tokenizer()).count() == now.count()

@@ -96,7 +96,7 @@ def whole(value: Column) -> Column:
 
 def count(*nodes: Column) -> Column:
     """First node that reads as a number, as a non-negative integer; else 0."""
-    return whole(F.coalesce(*[lenient_number(n) for n in nodes]) if len(nodes) > 1 else lenient_number(nodes[0]))
+    return whole(first(list(nodes), lenient_number) if len(nodes) > 1 else lenient_number(nodes[0]))
 
 
 def natural(node: Column) -> Column:
@@ -137,14 +137,14 @@ def otel_text(nodes: list[Column]) -> Column:
     return first(nodes, read)
 
 
-def owner_of_keys(text_: Column, node: Column, keys: list[str], depth: int = 6) -> Column:
-    """The first object, outermost first and in key order, that owns one of ``keys``; NULL if there is none.
+def owners_of_keys(text_: Column, node: Column, key_sets: list[list[str]], depth: int = 6) -> Column:
+    """For each set of keys the first object, outermost first and in key order, that owns one of them; NULL if there is none.
 
     ``node`` is the VARIANT of the JSON ``text_``. A VARIANT sorts object keys, so their order is read from the text, one
-    level at a time: every object or array of a level carries its path of places, its own text and its node. Of all
-    owners the one with the least path is the first that a search in depth meets.
+    level at a time for all sets together: every object or array of a level carries its path of places, its own text and
+    its node. Of all owners the one with the least path is the first that a search in depth meets; nodes behind the
+    owners of every set are not looked into.
     """
-    wanted = F.array(*[F.lit(k) for k in keys])
 
     def inner(raw: Column, v: Column, path: Column) -> Column:
         """The objects and arrays right below a node, with their paths."""
@@ -155,20 +155,27 @@ def owner_of_keys(text_: Column, node: Column, keys: list[str], depth: int = 6)
         found = F.when(is_object(v), named).otherwise(listed)
         return F.filter(F.coalesce(found, F.array().cast(_LEVEL)), lambda c: kind(c["v"]).rlike("^(OBJECT|ARRAY)"))
 
-    def owns(c: Column) -> Column:
-        return F.coalesce(F.arrays_overlap(F.map_keys(F.try_variant_get(c["v"], "$", "map<string,variant>")), wanted), F.lit(False))
-
-    def least(level: Column) -> Column:
+    def least(level: Column, keys: list[str]) -> Column:
         """The first owner of a level: its nodes stand in the order of their paths."""
+        wanted = F.array(*[F.lit(k) for k in keys])
+        owns = lambda c: F.coalesce(F.arrays_overlap(F.map_keys(F.try_variant_get(c["v"], "$", "map<string,variant>")), wanted), F.lit(False))
         return F.try_element_at(F.filter(level, owns), F.lit(1))
 
     def deeper(acc: Column, _: Column) -> Column:
-        level = F.flatten(F.transform(acc["level"], lambda c: inner(c["raw"], c["v"], c["path"])))
-        return F.transform(F.array(level), lambda x: F.struct(x.alias("level"), _first(acc["best"], least(x)).alias("best")).cast(_SEARCH))[0]
+        ahead = F.filter(acc["level"], lambda c: F.exists(acc["best"], lambda b: b.isNull() | (c["path"] < b["path"])))
+        level = F.flatten(F.transform(ahead, lambda c: inner(c["raw"], c["v"], c["path"])))
+        # A one-element array keeps the level computed once for its owners and for the next step.
+        found = lambda x: F.array(*[_first(F.get(acc["best"], i), least(x, keys)) for i, keys in enumerate(key_sets)])
+        return F.transform(F.array(level), lambda x: F.struct(x.alias("level"), found(x).alias("best")).cast(_SEARCH))[0]
 
     top = F.array(F.struct(F.array().cast("array<int>").alias("path"), text_.alias("raw"), node.alias("v")))
-    start = F.struct(top.alias("level"), least(top).alias("best")).cast(_SEARCH)
-    return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), start, deeper, lambda acc: acc["best"]["v"])
+    start = F.struct(top.alias("level"), F.array(*[least(top, keys) for keys in key_sets]).alias("best")).cast(_SEARCH)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), start, deeper, lambda acc: F.transform(acc["best"], lambda b: b["v"]))
+
+
+def owner_of_keys(text_: Column, node: Column, keys: list[str], depth: int = 6) -> Column:
+    """P9 for one set of keys."""
+    return F.get(owners_of_keys(text_, node, [keys], depth), 0)
 
 
 def _first(a: Column, b: Column) -> Column:
@@ -177,4 +184,4 @@ def _first(a: Column, b: Column) -> Column:
 
 _NODE = "struct<path:array<int>,raw:string,v:variant>"
 _LEVEL = f"array<{_NODE}>"
-_SEARCH = f"struct<level:{_LEVEL},best:{_NODE}>"
+_SEARCH = f"struct<level:{_LEVEL},best:array<{_NODE}>>"

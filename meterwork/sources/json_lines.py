@@ -177,9 +177,8 @@ def kimi(lines: DataFrame) -> Facts:
     for key in KIMI_USAGE[1:]:
         likely = likely | value.contains(key)
     nodes = c.parse_once(lines.filter(likely), F.try_parse_json("value"), [*PLACE, "value"], "line")
-    owners = [c.owner_of_keys(value, F.col("line"), keys) for keys in (KIMI_USAGE, KIMI_IDS)]
-    both = F.struct(*[x.alias(n) for x, n in zip(owners, ("v", "host"))])
-    found = c.parse_once(nodes, both, [*PLACE, "line"], "n").select(*PLACE, "line", "n.*")
+    owners = c.owners_of_keys(value, F.col("line"), [KIMI_USAGE, KIMI_IDS])
+    found = c.parse_once(nodes, owners, [*PLACE, "line"], "n").select(*PLACE, "line", F.col("n")[0].alias("v"), F.col("n")[1].alias("host"))
     counters = ["inputOther", "input_other", "output", "inputCacheRead", "input_cache_read", "inputCacheCreation", "input_cache_creation"]
     opened = _open(found, PLACE, s=("line", ["model", "timestamp"]), h=("host", KIMI_IDS), t=("v", counters))
     rows = opened.select(

@@ -159,10 +159,15 @@ def arriving(lines, root, job):
         drain(job())
 
 
-@check("r01_r02_claude_text_stream", with_sql(*CLAUDE_SQL, select=f"SELECT file AS session_id, day, model, {SUMS_SQL} FROM u GROUP BY ALL"))
+TWENTY = [x.replace("'/logs/dir' || (user_id % 7) || '/' || session_id || '.jsonl' AS file", "'/logs/u' || (user_id % 20 + 10) || '.jsonl' AS file") for x in CLAUDE_SQL]
+
+
+@check("r01_r02_claude_text_stream", with_sql(*TWENTY, select=f"SELECT file AS session_id, day, model, {SUMS_SQL} FROM u GROUP BY ALL"))
 def _(spark, sf, work):
-    """Transcripts arrive as files in three batches; the usage is that of the batch job over all of them."""
-    arriving(claude_lines(spark, sf), work, lambda: jobs.claude_text_job(jobs.stream_lines(spark, f"{work}/in"), work))
+    """Transcripts, twenty files of many sessions, arrive in three batches; the usage is that of the batch job over all of them."""
+    user = F.regexp_extract("file", r"/s(\d+)-", 1).cast("int")
+    lines = claude_lines(spark, sf).withColumn("file", F.concat(F.lit("/logs/u"), (user % 20 + 10).cast("string"), F.lit(".jsonl")))
+    arriving(lines, work, lambda: jobs.claude_text_job(jobs.stream_lines(spark, f"{work}/in"), work))
     return facts_table(Facts(jobs.claude_usage(spark, work), None, None)).withColumn("session_id", F.regexp_extract("session_id", "/in(/.*)$", 1))
 
 

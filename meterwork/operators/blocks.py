@@ -51,20 +51,23 @@ def bucket_blocks(buckets: DataFrame, keys: list[str], length_ms: int = BLOCK_MS
     seen = F.array_sort(F.collect_set(F.struct("bucket", "hour")))
     listed = buckets.select(*keys, "bucket", "hour", stretch).groupBy(*keys, "stretch").agg(seen.alias("seen"))
     none = F.lit(None).cast("bigint")
+    if entered is not None:
+        listed = listed.join(entered.withColumnRenamed("end", "_end"), keys, "left")
+    known_end = none if entered is None else F.col("_end")
 
     def last_end(opened_by: Column) -> Column:
         """Where the last block of the stretch ends if ``opened_by`` opens its first one."""
         later = F.filter("seen", lambda b: b["bucket"] >= opened_by["bucket"])
         return F.aggregate(later, none, lambda end, b: F.when(end.isNull() | (b["bucket"] >= end), b["hour"] + length_ms).otherwise(end))
 
-    # A block of an earlier stretch ends less than a length into this one: few buckets can open its first block.
-    early = F.size(F.filter("seen", lambda b: b["bucket"] < F.col("stretch") * stretch_ms + length_ms))
+    # A block of an earlier stretch ends less than a length into this one, the one known before at its end: few buckets
+    # can open the first block here.
+    latest = F.greatest(F.col("stretch") * stretch_ms + length_ms, known_end)
+    early = F.size(F.filter("seen", lambda b: b["bucket"] < latest))
     openers = F.slice("seen", 1, early + 1)
-    exits = listed.select(*keys, "stretch", F.transform(openers, lambda o: F.struct(o["bucket"].alias("bucket"), last_end(o).alias("end"))).alias("exits"))
-    followed = exits.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("stretch", "exits"))).alias("stretches"))
-    if entered is not None:
-        followed = followed.join(entered.withColumnRenamed("end", "_end"), keys, "left")
-    state = F.struct((none if entered is None else F.col("_end")).alias("end"), F.lit([]).cast("array<struct<stretch:bigint,end:bigint>>").alias("entered"))
+    exits = listed.select(*keys, "stretch", known_end.alias("_known"), F.transform(openers, lambda o: F.struct(o["bucket"].alias("bucket"), last_end(o).alias("end"))).alias("exits"))
+    followed = exits.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("stretch", "exits"))).alias("stretches"), F.max("_known").alias("_known"))
+    state = F.struct(F.col("_known").alias("end"), F.lit([]).cast("array<struct<stretch:bigint,end:bigint>>").alias("entered"))
 
     def enter(acc: Column, s: Column) -> Column:
         opens = F.filter(s["exits"], lambda x: acc["end"].isNull() | (x["bucket"] >= acc["end"]))

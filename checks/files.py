@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
+import os
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +15,7 @@ from meterwork.plans import agents, reports
 from meterwork.session import staging_root
 from meterwork.sources import codex, json_lines
 from meterwork.sources.files import LogFiles, home_files
-from meterwork.sources.lines import judged, line_report, read_lines, with_places
+from meterwork.sources.lines import fault_places, line_report, read_lines
 from meterwork.sources.records import PLACE, record, records_to_facts
 
 from .inputs import EVENTS_SQL, PRICES_SQL, SUMS_SQL, events, with_sql
@@ -36,14 +40,54 @@ def check(name, sql=None):
 def write_logs(lines: DataFrame, root: str, old: str | None = None) -> None:
     """Write rows (file, line_no, value) as text files of those names below ``root``; files that match ``old`` get an old time.
 
-    A task writes whole files; the driver only gives them their names.
+    Where ``root`` is a folder that every task mounts, a task opens the files of its rows by their own names, one at a
+    time, and the driver touches none; other file systems take them from Spark and only get them renamed.
     """
     spark = lines.sparkSession
-    work = f"{root}-parts"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if system.getUri().getScheme() != "file":
+        return _write_and_rename(lines, root, system, old)
+    folder = system.makeQualified(place).toUri().getPath()
+    placed = lines.select("file", "line_no", "value").repartition("file").sortWithinPartitions("file", "line_no").select("file", "value")
+    placed.mapInArrow(lambda batches: _write_files(batches, folder, old), "files bigint").agg(F.sum("files")).collect()
+
+
+def _write_files(batches: Iterator[pa.RecordBatch], folder: str, old: str | None) -> Iterator[pa.RecordBatch]:
+    """Write the files of one task, whose rows come sorted; a file shows under its name when it is whole, so a repeated task replaces it."""
+    name, out, files = None, None, 0
+    for batch in batches:
+        rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+        for file, group in itertools.groupby(rows, key=lambda r: r[0]):
+            if not file:
+                raise ValueError("a line without a file")
+            if file != name:
+                if out:
+                    _close_file(out, f"{folder}/{name.lstrip('/')}", old is not None and old in name)
+                name, files = file, files + 1
+                parent, leaf = os.path.split(f"{folder}/{file.lstrip('/')}")
+                os.makedirs(parent, exist_ok=True)
+                out = open(f"{parent}/.{leaf}-{uuid.uuid4().hex}", "wb", buffering=1 << 16)
+            out.write("".join([f"{value or ''}\n" for _, value in group]).encode())
+    if out:
+        _close_file(out, f"{folder}/{name.lstrip('/')}", old is not None and old in name)
+    yield pa.RecordBatch.from_pydict({"files": [files]})
+
+
+def _close_file(out, target: str, old: bool) -> None:
+    out.close()
+    if old:
+        os.utime(out.name, (OLD_MS / 1000, OLD_MS / 1000))
+    os.replace(out.name, target)
+
+
+def _write_and_rename(lines: DataFrame, root: str, system, old: str | None) -> None:
+    """``write_logs`` through Spark's text writer: a task writes whole files; the driver only gives them their names."""
+    spark = lines.sparkSession
+    work = f"{root}-parts-{uuid.uuid4().hex}"
     placed = lines.select(F.hex("file").alias("f"), "line_no", "value").repartition("f").sortWithinPartitions("f", "line_no")
     placed.select("f", "value").write.partitionBy("f").text(work)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    system = hadoop.Path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     for folder in system.listStatus(hadoop.Path(work)):
         name = folder.getPath().getName()
         if not name.startswith("f="):
@@ -57,18 +101,6 @@ def write_logs(lines: DataFrame, root: str, old: str | None = None) -> None:
             system.setTimes(target, OLD_MS, -1)
 
 
-def move_below(spark: SparkSession, source: str, target: str) -> None:
-    """Move everything below one folder to the same places below another."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    system = hadoop.Path(source).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = system.listFiles(hadoop.Path(source), True)
-    while found.hasNext():
-        path = found.next().getPath()
-        place = hadoop.Path(target + "/" + path.toString().split(uuid_of(source) + "/", 1)[1])
-        system.mkdirs(place.getParent())
-        system.rename(path, place)
-
-
 def below(root: str, column: str = "file"):
     """A path without what stands before the homes."""
     return F.regexp_replace(column, f"^.*{uuid_of(root)}", "")
@@ -140,10 +172,7 @@ p AS (SELECT *, row_number() OVER w - 1 AS line, coalesce(sum(octet_length(encod
 def _(spark, sf, root):
     """The line number and the first byte of every line that cannot be read."""
     write_logs(broken_lines(spark, sf), root)
-    lines = read_lines(spark, root)
-    faults = judged(lines).filter("fault IS NOT NULL").select("file", "block_start", "line_no", "fault")
-    placed = with_places(lines).join(faults, ["file", "block_start", "line_no"])
-    return placed.select(below(root).alias("file"), "line", "byte_at", "fault")
+    return fault_places(read_lines(spark, root)).withColumn("file", below(root))
 
 
 # ---- agents found by their patterns ---------------------------------------------------

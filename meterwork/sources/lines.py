@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.coerce import parse_once
 from ..functions.times import DAY_MS, HOUR_MS
-from ..operators.ordered import Running, running
+from ..operators.ordered import ORDER, Running, running
+from ..session import stage
 
 LINE_COLUMNS = ["file", "block_start", "line_no", "pos", "value", "mtime"]
 LINE_SCHEMA = "file string, block_start bigint, line_no bigint, pos bigint, value string, mtime string"
@@ -85,22 +86,42 @@ def parsed(lines: DataFrame) -> DataFrame:
     return judged(lines).filter("fault IS NULL").drop("fault")
 
 
-def judged(lines: DataFrame) -> DataFrame:
-    """Every line with its JSON as ``v`` and what is wrong with it as ``fault``: blank, malformed (truncated lines too) or null."""
+def judged(lines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Every line with its JSON as ``v`` and what is wrong with it as ``fault``: blank, malformed (truncated lines too) or null.
+
+    Columns named by ``keep`` stay beside the line's place.
+    """
+    place = ["file", "block_start", "line_no", "pos", "mtime", *keep]
     blank = F.length(F.btrim("value", F.lit(" \t\r\n"))) == 0
     node = F.try_parse_json(F.make_valid_utf8("value"))
-    rows = parse_once(lines, F.struct(node.alias("v"), blank.alias("blank")), ["file", "block_start", "line_no", "pos", "mtime"], "p")
+    rows = parse_once(lines, F.struct(node.alias("v"), blank.alias("blank")), place, "p")
     v = F.col("p.v")
     fault = F.when(F.col("p.blank"), "blank").when(v.isNull(), "malformed").when(F.is_variant_null(v), "null")
-    return rows.select("file", "block_start", "line_no", "pos", "mtime", v.alias("v"), fault.alias("fault"))
+    return rows.select(*place, v.alias("v"), fault.alias("fault"))
 
 
 def with_places(lines: DataFrame) -> DataFrame:
-    """Add a line's number in its file and the byte at which it starts, from 0; a file of any length is counted in chunks."""
-    size = (F.octet_length("value") + 1).cast("bigint")
+    """Add a line's number in its file and the byte at which it starts, from 0; a file of any length is counted in chunks.
+
+    Sizes are taken from ``bytes`` where lines carry that column, else from their text.
+    """
+    size = F.col("bytes") if "bytes" in lines.columns else _bytes()
     return running(lines, ["file"], [Running("line", "sum", F.lit(1).cast("bigint")), Running("byte_at", "sum", size)])
 
 
+def _bytes() -> Column:
+    return (F.octet_length("value") + 1).cast("bigint")
+
+
+def fault_places(lines: DataFrame) -> DataFrame:
+    """(file, line, byte_at, fault) of every line that cannot be read.
+
+    The log is read once: its lines are staged with their size and fault, without their text, and counted there.
+    """
+    sized = judged(lines.withColumn("bytes", _bytes()), ("bytes",)).select(*ORDER, "bytes", "fault")
+    return with_places(stage(sized, "line-faults")).filter("fault IS NOT NULL").select("file", "line", "byte_at", "fault")
+
+
 def line_report(lines: DataFrame) -> DataFrame:
     """Per file, its lines, those that are read, and what the others suffer from."""
     n = lambda fault: F.count(F.when(F.col("fault") == fault, 1))

@@ -9,7 +9,7 @@ import pytest
 from meterwork.plans import agents
 from meterwork.sources import codex
 from meterwork.sources.files import LogFiles, home_files, list_files, read_listed
-from meterwork.sources.lines import judged, line_report, read_lines, with_places
+from meterwork.sources.lines import fault_places, judged, line_report, read_lines, with_places
 
 from .conftest import by_session, records
 
@@ -92,3 +92,30 @@ def test_places_do_not_depend_on_splits(spark, tmp_path):
     for i, value in enumerate(text):
         assert got[i] == (at, value)
         at += len(value.encode()) + 1
+
+
+def test_checked_logs_are_written_by_tasks(spark, tmp_path):
+    """Files stand under their own names, in line order, in a folder that may hold others; nothing else is left there."""
+    from checks.files import OLD_MS, write_logs
+
+    for k in (1, 2):
+        rows = [(f"/h {k}/u{u}%.jsonl", n, f"é{u}-{n}" if n else None) for n in (2, 0, 1) for u in range(30)]
+        write_logs(spark.createDataFrame(rows, "file string, line_no bigint, value string"), f"{tmp_path}/in", old="u7%")
+    found = {str(p.relative_to(tmp_path)): p for p in tmp_path.rglob("*") if p.is_file()}
+    assert set(found) == {f"in/h {k}/u{u}%.jsonl" for k in (1, 2) for u in range(30)}
+    assert all(p.read_text() == f"\né{n[8:].split('%')[0]}-1\né{n[8:].split('%')[0]}-2\n" for n, p in found.items())
+    assert {n for n, p in found.items() if p.stat().st_mtime * 1000 == OLD_MS} == {"in/h 1/u7%.jsonl", "in/h 2/u7%.jsonl"}
+
+
+def test_faults_are_placed_in_one_scan(spark, tmp_path):
+    root = put(tmp_path, {"a.jsonl": '{"é":1}\n \nnull\n{"b":\n{}\n', "b.jsonl": "x\n"})
+    placed = fault_places(read_lines(spark, root))
+    got = {(r["file"].rsplit("/", 1)[1], r["line"], r["byte_at"], r["fault"]) for r in records(placed)}
+    assert got == {("a.jsonl", 1, 9, "blank"), ("a.jsonl", 2, 11, "null"), ("a.jsonl", 3, 16, "malformed"), ("b.jsonl", 0, 0, "malformed")}
+    assert "jsonl" not in plan_of(placed) and "value" not in plan_of(placed)
+
+
+def test_many_paths_are_looked_up_in_few_tasks(spark):
+    from meterwork.session import use_settings
+
+    assert int(use_settings(spark).conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")) <= 100

@@ -13,7 +13,7 @@ from meterwork.operators.usage import Facts
 from meterwork.session import stage, staging_root
 from meterwork.streaming import jobs
 
-from .files import move_below, write_logs
+from .files import write_logs
 from .inputs import EVENTS_SQL, PRICES_SQL, SUMS_SQL, events_from, grouped_sql, priced_sql, table, usd_columns, usd_sql, with_sql
 from .reports import blocks_sql
 from .sources import CLAUDE_SQL, CODEX_SQL, claude_lines, codex_lines, facts_table
@@ -154,8 +154,7 @@ def arriving(lines, root, job):
     files = lines.select("file").distinct().withColumn("third", third)
     placed = stage(lines.join(files, "file"), "arriving")
     for k in range(1, BATCHES + 1):
-        write_logs(placed.filter(F.col("third") == k), f"{root}/in-{k}")
-        move_below(lines.sparkSession, f"{root}/in-{k}", f"{root}/in")
+        write_logs(placed.filter(F.col("third") == k), f"{root}/in")
         drain(job())
 
 

@@ -38,12 +38,17 @@ def use_state_store(spark: SparkSession) -> None:
         spark.conf.set(key, value)
 
 
-def stream_lines(spark: SparkSession, paths: str, glob: str = "*.jsonl", files_per_batch: int = 1000) -> DataFrame:
-    """The text of new log files as a stream. Its lines get their places inside a batch, see ``placed``."""
+def stream_lines(spark: SparkSession, paths: str, glob: str = "*.jsonl", files_per_batch: int | None = None, bytes_per_batch: int = 1 << 30) -> DataFrame:
+    """The text of new log files as a stream. Its lines get their places inside a batch, see ``placed``.
+
+    A batch ends with the file that reaches ``bytes_per_batch``: logs are many small files, and a batch costs the same
+    jobs however little it holds. ``files_per_batch`` counts files instead.
+    """
+    limit = ("maxBytesPerTrigger", bytes_per_batch) if files_per_batch is None else ("maxFilesPerTrigger", files_per_batch)
     text = (
         spark.readStream.option("recursiveFileLookup", "true")
         .option("pathGlobFilter", glob)
-        .option("maxFilesPerTrigger", files_per_batch)
+        .option(*limit)
         .option("lineSep", "\n")
         .text(paths)
     )

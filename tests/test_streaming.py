@@ -140,3 +140,15 @@ def test_windows_are_priced_and_late_sums_counted(streaming, tmp_path):
     cost = {r["day"]: (r["turns"], round(r["cost_usd"], 6)) for r in spark.read.parquet(f"{tmp_path}/work/cost").collect()}
     assert cost == {"2026-07-20": (3, 0.015), "2026-07-25": (1, 0.005)} or cost == {"2026-07-20": (2, 0.01), "2026-07-25": (1, 0.005)}
     assert spark.read.parquet(f"{tmp_path}/work/late").agg(F.sum("late_sums")).first()[0] in (0, 1)
+
+
+def test_a_batch_of_text_is_bounded_by_bytes(spark, tmp_path):
+    """Many small files are one batch, not one per thousand files; a smaller bound cuts them, and every line is read."""
+    (tmp_path / "in").mkdir()
+    for k in range(1200):
+        (tmp_path / "in" / f"{k}.jsonl").write_bytes(b"0123456789\n")
+    for name, options, batches in (("all", {}, 1), ("cut", {"bytes_per_batch": 1100 * 11}, 2), ("counted", {"files_per_batch": 600}, 2)):
+        seen = []
+        lines = jobs.stream_lines(spark, f"{tmp_path}/in", **options)
+        lines.writeStream.foreachBatch(lambda b, _: seen.append(b.count())).option("checkpointLocation", f"{tmp_path}/{name}").trigger(availableNow=True).start().awaitTermination()
+        assert len(seen) == batches and sum(seen) == 1200

@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # A scan of many named files looks each of them up, by default in a task of its own: a hundred tasks list any number.
+    "spark.sql.sources.parallelPartitionDiscovery.parallelism": "100",
     # A Python worker holds a few copies of a batch: rows of long texts are sent a few megabytes at a time.
     "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
     # The JVM interprets methods above this size; wide JSON projections run faster in smaller compiled ones.

@@ -32,12 +32,12 @@ def is_object(node: Column) -> Column:
     return F.try_variant_get(node, "$", "struct<_ variant>").isNotNull()
 
 
-def fields(node: Column | str, names: list[str]) -> Column:
-    """Several fields of an object at once, as a struct of nodes; NULL if the node is no object.
+def fields(node: Column | str, names: list[str], path: str = "$") -> Column:
+    """Several fields of an object at once, as a struct of nodes; NULL if the node (at ``path``) is no object.
 
     One pass over the object instead of one path walk per field.
     """
-    return F.try_variant_get(node, "$", "struct<" + ", ".join(f"`{n}` variant" for n in names) + ">")
+    return F.try_variant_get(node, path, "struct<" + ", ".join(f"`{n}` variant" for n in names) + ">")
 
 
 def elements(node: Column) -> Column:
@@ -109,8 +109,12 @@ def natural(node: Column) -> Column:
 
 
 def first(nodes: list[Column], read) -> Column:
-    """First non-NULL ``read(node)``. A lambda keeps the plan small where ``coalesce`` would repeat ``read``."""
-    return F.try_element_at(F.filter(F.transform(F.array(*nodes), read), lambda x: x.isNotNull()), F.lit(1))
+    """First non-NULL ``read(node)``. A lambda keeps the plan small where ``coalesce`` would repeat ``read``.
+
+    Most nodes of a list are not there and read as NULL, so only the others are read.
+    """
+    there = F.array_compact(F.array(*nodes))
+    return F.try_element_at(F.filter(F.transform(there, read), lambda x: x.isNotNull()), F.lit(1))
 
 
 def parse_once(df, value: Column, keep: list[str], name: str = "v"):

@@ -48,12 +48,17 @@ COUNTERS = ["input", "cached", "output", "reasoning", "total"]
 MODEL_NAMES = ("model", "model_name", "metadata.model")
 
 
-def counters(node: Column) -> Column:
-    """A usage object as a struct of counters; NULL if the node is no object."""
+def usage_fields(node: Column, path: str = "$") -> Column:
+    """All spellings of the counters of a usage object, opened in one pass; NULL if the node is no object."""
+    return c.fields(node, [*(n for names in COUNTER_NAMES.values() for n in names), "total_tokens"], path)
+
+
+def counters(usage: str) -> Column:
+    """A column of ``usage_fields`` as a struct of counters."""
     zero_ = F.lit(0).cast("bigint")
-    part = {k: F.coalesce(*[c.natural(c.get(node, f"$.{n}")) for n in names], zero_) for k, names in COUNTER_NAMES.items()}
-    fields = [x.alias(k) for k, x in part.items()] + [c.natural(c.get(node, "$.total_tokens")).alias("total")]
-    return F.when(c.is_object(node), F.struct(*fields))
+    part = {k: F.coalesce(*[c.natural(F.col(f"{usage}.{n}")) for n in names], zero_) for k, names in COUNTER_NAMES.items()}
+    fields = [x.alias(k) for k, x in part.items()] + [c.natural(F.col(f"{usage}.total_tokens")).alias("total")]
+    return F.when(F.col(usage).isNotNull(), F.struct(*fields))
 
 
 def trusted_total(usage: Column) -> Column:
@@ -111,6 +116,13 @@ def rollout_lines(lines: DataFrame) -> DataFrame:
         F.when(F.col("may_be_headless"), F.try_element_at(objects, F.lit(1))).alias("usage_node"),
     )
     token, headless = F.col("kind") == "token", F.col("usage_node").isNotNull()
+    # Counters look at every field several times: a column of its own keeps each usage object opened once.
+    used = used.select(
+        "*",
+        F.when(token, usage_fields(v, "$.payload.info.last_token_usage")).alias("last_node"),
+        F.when(token, usage_fields(v, "$.payload.info.total_token_usage")).alias("totals_node"),
+        F.when(headless, usage_fields(F.col("usage_node"))).alias("headless_node"),
+    )
     stamps = [c.get(v, f"{h}.{k}") for h in hosts for k in ("timestamp", "created_at", "createdAt")]
     names = lambda paths: c.first([c.get(v, f"{p}.{k}") for p in paths for k in MODEL_NAMES], c.trimmed)
     typed = used.select(
@@ -120,9 +132,9 @@ def rollout_lines(lines: DataFrame) -> DataFrame:
         c.string(c.get(v, "$.timestamp")).alias("ts_raw"),
         F.nullif(F.coalesce(c.string(c.get(v, "$.payload.cwd")), c.string(c.get(v, "$.cwd"))), F.lit("")).alias("cwd"),
         F.when(token, c.is_object(c.get(v, "$.payload.info"))).alias("has_info"),
-        F.when(token, counters(c.get(v, "$.payload.info.last_token_usage"))).alias("last"),
-        F.when(token, counters(c.get(v, "$.payload.info.total_token_usage"))).alias("totals"),
-        F.when(headless, counters(F.col("usage_node"))).alias("headless"),
+        counters("last_node").alias("last"),
+        counters("totals_node").alias("totals"),
+        counters("headless_node").alias("headless"),
         F.when(token, names(["$.payload", "$.payload.info"]))
         .when(F.col("kind") == "context", names(["$.payload"]))
         .when(headless, names(hosts))

@@ -101,8 +101,8 @@ FROM (SELECT *, max(block_start) OVER (PARTITION BY user_id) AS newest FROM bloc
 WHERE block_start < newest OR block_end <= (SELECT max(ts_ms) FROM e) - 3600000"""))
 def _(spark, sf, work):
     usage = event_stream(spark, sf)
-    drain(jobs.ingest(usage, lambda b: jobs.hourly_rows(b, F.col("user_id").cast("string")), f"{work}/hours", f"{work}/ck1"))
-    hours = spark.readStream.schema(spark.read.parquet(f"{work}/hours").schema).parquet(f"{work}/hours")
+    drain(jobs.block_hours_job(usage, F.col("user_id").cast("string"), work))
+    hours = spark.readStream.schema(jobs.PACK_DDL).parquet(f"{work}/hours")
     return usd_columns(jobs.run_to_table(jobs.block_stream(hours), f"{work}/out", f"{work}/ck2"), "cost_usd")
 
 

@@ -10,7 +10,6 @@ import datetime as dt
 import json
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,7 +17,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.measures import MEASURES, TOKENS, sums, total_tokens, zero
 from ..functions.times import DAY_MS, HOUR_MS, instant
-from ..operators.blocks import BLOCK_MS, build_blocks, burn_level, burn_rate
+from ..operators.blocks import BLOCK_MS, STRETCH_MS, build_blocks, burn_level, burn_rate
 from ..operators.deltas import COUNTERS
 from ..operators.ordered import Running, line_chunk, running
 from ..operators.prices import with_cost
@@ -301,60 +300,47 @@ class _Blocks(StatefulProcessor):
         self._open = handle.getValueState("open", schema)
 
     def _load(self):
-        return list(self._open.get()) if self._open.exists() else None
+        block = self._open.get()
+        return None if block is None else list(block)
 
     @staticmethod
-    def _frame(key, blocks: list) -> pd.DataFrame:
-        start, end, first, last, tokens, late, cost = zip(*blocks)
-        return pd.DataFrame(
-            {
-                "key": key[0],
-                "block_start": start,
-                "block_end": end,
-                "first_ts": first,
-                "last_ts": last,
-                "total_tokens": tokens,
-                "cost_usd": cost,
-                "late_events": late,
-                "closed": True,
-            }
-        )
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def _closed(key, block: list) -> Row:
+        start, end, first, last, tokens, late, cost = block
+        return _BLOCK(key[0], start, end, first, last, tokens, cost, late, True)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         block, done = self._load(), []
         seen: dict[int, list] = {}  # one entry per hour, however many rows a batch holds of it
-        for pdf in rows:
-            columns = (pdf[c].tolist() for c in ("bucket", "events", "first_ts", "last_ts", "total_tokens", "cost_usd"))
-            for bucket, events, first, last, tokens, cost in zip(*columns):
-                kept = seen.setdefault(int(bucket), [0, first, last, 0, 0.0])
+        for row in rows:
+            for bucket, first, last, events, tokens, cost in zip(*(row[c] for c in BUCKET)):
+                kept = seen.setdefault(bucket, [0, first, last, 0, 0.0])
                 kept[:] = kept[0] + events, min(kept[1], first), max(kept[2], last), kept[3] + tokens, kept[4] + cost
         for bucket in sorted(seen):
             events, first, last, tokens, cost = seen[bucket]
             if block is not None and bucket < block[0]:
                 # A boundary that was emitted cannot move; the batch job is the correction path.
-                block[5] += int(events)
+                block[5] += events
                 continue
             if block is None or bucket >= block[1]:
                 if block is not None:
-                    done.append(block)
-                start = int(bucket // HOUR_MS * HOUR_MS)
-                block = [start, start + self._length, int(first), int(last), 0, 0, 0.0]
-            block[2], block[3] = min(block[2], int(first)), max(block[3], int(last))
-            block[4] += int(tokens)
-            block[6] += float(cost)
+                    done.append(self._closed(key, block))
+                start = bucket // HOUR_MS * HOUR_MS
+                block = [start, start + self._length, first, last, 0, 0, 0.0]
+            block[2], block[3] = min(block[2], first), max(block[3], last)
+            block[4] += tokens
+            block[6] += cost
         if block is not None:
             self._open.update(tuple(block))
             if timerValues.getCurrentWatermarkInMs() >= 0:
                 self._handle.registerTimer(block[1])
-        if done:
-            yield self._frame(key, done)
+        yield from done
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         block = self._load()
         # A timer of a block that later input already closed finds another block open.
         if block is not None and block[1] <= expiredTimerInfo.getExpiryTimeInMs():
             self._open.clear()
-            yield self._frame(key, [block])
+            yield self._closed(key, block)
 
     def close(self) -> None:
         pass
@@ -364,24 +350,60 @@ BLOCK_DDL = (
     "key string, block_start bigint, block_end bigint, first_ts bigint, last_ts bigint, "
     "total_tokens bigint, cost_usd double, late_events bigint, closed boolean"
 )
+_BLOCK = Row(*(field.split()[0] for field in BLOCK_DDL.split(", ")))
+
 
+BUCKET = ["bucket", "first_ts", "last_ts", "events", "total_tokens", "cost_usd"]
+PACK_DDL = "key string, ts timestamp, " + ", ".join(f"{c} array<{'double' if c == 'cost_usd' else 'bigint'}>" for c in BUCKET)
+DELAY_MS = HOUR_MS
 
-def block_stream(buckets: DataFrame, length_ms: int = BLOCK_MS) -> DataFrame:
-    """Anchored blocks from hourly usage buckets.
 
-    ``buckets`` comes from a landed hourly table (key, ts, bucket, first_ts,
-    last_ts, events, total_tokens, cost_usd): a key sends at most one row per
-    bucket, model and batch, however many events it has.
+def block_stream(packs: DataFrame, length_ms: int = BLOCK_MS) -> DataFrame:
+    """Anchored blocks from the landed packs of ``block_hours_job``.
+
+    A row that reaches a Python state step costs as much as a thousand numbers in an array, so a key sends one row per
+    month and batch, however many events, models and hours it has.
     """
     return (
-        buckets.withWatermark("ts", "1 hour")
+        packs.select("key", "ts", *BUCKET)
+        .withWatermark("ts", f"{DELAY_MS} milliseconds")
         .groupBy("key")
-        .transformWithStateInPandas(_Blocks(length_ms), outputStructType=BLOCK_DDL, outputMode="Append", timeMode="EventTime")
+        .transformWithState(_Blocks(length_ms), outputStructType=BLOCK_DDL, outputMode="Append", timeMode="EventTime")
     )
 
 
+def packed_hours(rows: DataFrame, landed_ms: int | None = None) -> DataFrame:
+    """Rows of ``hourly_rows``, a key's hours of a month side by side in arrays; ``ts`` is the latest of them.
+
+    ``landed_ms`` is the latest time in earlier batches. Hours that a watermark of those may have passed are packed with
+    hours of the very same time only, so what is late is still left out hour by hour.
+    """
+    passed = F.lit(None).cast("bigint") if landed_ms is None else F.when(F.col("last_ts") <= landed_ms - DELAY_MS, F.col("last_ts"))
+    month = F.floor(F.col("bucket") / STRETCH_MS)
+    packs = rows.groupBy("key", month.alias("_month"), passed.alias("_passed")).agg(F.max("ts").alias("ts"), F.collect_list(F.struct(*BUCKET)).alias("_hours"))
+    return packs.select("key", "ts", *[F.col("_hours")[c].alias(c) for c in BUCKET])
+
+
+def block_hours_job(usage: DataFrame, key: Column, work: str, length_ms: int = BLOCK_MS, live: DataFrame | None = None):
+    """Land the packed hours of each batch of usage at ``work``/hours, for ``block_stream``.
+
+    Beside them the latest time landed so far is kept, a row per batch. A micro-batch of ``block_stream`` must hold whole
+    landed batches, as it does unless its files are counted.
+    """
+    def land(batch: DataFrame, batch_id: int) -> None:
+        spark, landed_ms = batch.sparkSession, None
+        if batch_id:
+            landed_ms = spark.read.schema("landed_ms bigint").parquet(f"{work}/landed/batch={batch_id - 1}").first()[0]
+        path = f"{work}/hours/batch={batch_id}"
+        packed_hours(hourly_rows(batch, key, length_ms, live), landed_ms).write.mode("overwrite").parquet(path)
+        latest = spark.read.schema(PACK_DDL).parquet(path).agg(F.max(F.unix_millis("ts")).alias("ms"))
+        latest.select(F.greatest("ms", F.lit(landed_ms).cast("bigint")).alias("landed_ms")).write.mode("overwrite").parquet(f"{work}/landed/batch={batch_id}")
+
+    return usage.writeStream.foreachBatch(land).option("checkpointLocation", f"{work}/hours-checkpoint").trigger(availableNow=True)
+
+
 def hourly_rows(usage: DataFrame, key: Column, length_ms: int = BLOCK_MS, live: DataFrame | None = None) -> DataFrame:
-    """R5 input for one landed batch of usage (a static DataFrame): priced hourly buckets."""
+    """R5 input for one batch of usage (a static DataFrame): priced hourly buckets."""
     from ..operators.blocks import hourly_buckets
 
     summed = hourly_buckets(usage.withColumn("key", key), ["key"], length_ms)

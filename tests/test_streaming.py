@@ -152,3 +152,28 @@ def test_a_batch_of_text_is_bounded_by_bytes(spark, tmp_path):
         lines = jobs.stream_lines(spark, f"{tmp_path}/in", **options)
         lines.writeStream.foreachBatch(lambda b, _: seen.append(b.count())).option("checkpointLocation", f"{tmp_path}/{name}").trigger(availableNow=True).start().awaitTermination()
         assert len(seen) == batches and sum(seen) == 1200
+
+
+def test_block_state_takes_a_row_per_key_and_month(streaming, tmp_path):
+    """Hours reach the state packed; of a pack's hours only those that came in time count, and a closed block stays closed."""
+    spark = streaming
+    batches = [
+        [("u", 5), ("u", 70), ("u", 90), ("u", 30 * 60), ("v", 30), ("v", 100), ("v", 160)],
+        [("u", 29.5 * 60), ("u", 130), ("u", 31 * 60), ("v", 61), ("v", 31 * 60), ("v", 32 * 60)],  # the watermark is at 29:00
+        [("u", 60 * 60), ("v", 60 * 60)],
+    ]
+    for k, rows in enumerate(batches):
+        made = events(spark, rows)
+        made.coalesce(1).write.parquet(f"{tmp_path}/in/part={k}")
+        arrived = spark.readStream.schema(made.schema).parquet(f"{tmp_path}/in").drop("part")
+        drain(jobs.block_hours_job(arrived, F.col("key"), f"{tmp_path}/work"))
+        packs = spark.readStream.schema(jobs.PACK_DDL).parquet(f"{tmp_path}/work/hours")
+        blocks = jobs.run_to_table(jobs.block_stream(packs), f"{tmp_path}/blocks", f"{tmp_path}/checkpoint")
+    landed = {r["batch"]: r["count"] for r in spark.read.parquet(f"{tmp_path}/work/hours").groupBy("batch").count().collect()}
+    assert landed == {0: 2, 1: 4, 2: 2}
+    hour = lambda ms: (ms - 1_784_505_600_000) / 3_600_000
+    got = {(r["key"], hour(r["block_start"])): (hour(r["block_end"]), hour(r["last_ts"]), r["total_tokens"], round(r["cost_usd"], 6), r["late_events"]) for r in blocks.collect()}
+    assert got == {
+        ("u", 0): (5, 1.5, 3000, 0.015, 0), ("u", 30): (35, 31, 2000, 0.01, 1),
+        ("v", 0): (5, 160 / 60, 3000, 0.015, 0), ("v", 31): (36, 32, 2000, 0.01, 0),
+    } and blocks.count() == 4

@@ -20,7 +20,6 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 from itertools import islice
 from zlib import crc32
 
@@ -34,6 +33,8 @@ from meterwork.llm.recurrent import Adam, Gru, by_length, padded, row_sums, wind
 
 _BYTES_AT_ONCE = 1 << 21
 _WINDOWS_AT_ONCE = 2048
+#: New words whose character inputs, hundreds of bytes a word, a scorer holds at a time.
+_WORDS_AT_ONCE = 8192
 #: A clean document called toxic counts as so many missed toxic ones when the cut is set.
 CLEAN_COST = 2.0
 #: Bytes of the longest input. A longer unit is cut into pieces of ``_PIECE`` bytes, about as dense as words are, so that what is in
@@ -71,7 +72,6 @@ def words_of(text: bytes) -> list[bytes]:
     return [x for w in words for x in (cut(w) if len(w) > UNIT else (w,))]
 
 
-@lru_cache(maxsize=1 << 18)
 def grams(word: bytes, rows: int) -> tuple[int, ...]:
     """Hashed character inputs of a word: its trigrams, and its beginnings of four to seven bytes."""
     held = b"<" + word + b">"
@@ -85,13 +85,16 @@ class Network:
     weights: dict[str, np.ndarray]
     fit: Fit
 
-    def word_inputs(self, words: list[bytes], drop: np.random.Generator | None = None) -> tuple[np.ndarray, Callable]:
-        """Vectors of distinct words, and a function from their gradient to those of the word and character rows."""
+    def word_inputs(self, words: list[bytes], drop: np.random.Generator | None = None, parts: dict[bytes, tuple[int, ...]] | None = None) -> tuple[np.ndarray, Callable]:
+        """Vectors of distinct words, and a function from their gradient to those of the word and character rows.
+
+        ``parts`` holds the character inputs of all words, where they are known.
+        """
         w = self.weights
         known = np.fromiter((self.vocabulary.get(x, 0) for x in words), np.int64, len(words))
         if drop is not None:
             known = np.where(drop.random(len(known)) < self.fit.unknown, 0, known)
-        found = [grams(x, self.fit.char_rows) for x in words]
+        found = [parts[x] for x in words] if parts else [grams(x, self.fit.char_rows) for x in words]
         count = np.fromiter(map(len, found), np.int64, len(found))
         flat = np.fromiter((g for gs in found for g in gs), np.int64, int(count.sum()))
         starts, scale = np.cumsum(count) - count, 1 / np.sqrt(count[:, None]).astype(np.float32)
@@ -143,8 +146,9 @@ class Scorer:
         number, known = self._number, len(self._number)
         flat = np.fromiter((number.setdefault(w, len(number)) for ws in split for w in ws), np.int32, sum(map(len, split)))
         if len(number) > known:
-            fresh = self.net.tables(self.net.word_inputs(list(islice(number, known, None)))[0])
-            self._tables = [np.concatenate((old, new[:-1])) for old, new in zip(self._tables, fresh)]
+            fresh = list(islice(number, known, None))
+            vectors = [self.net.word_inputs(fresh[i : i + _WORDS_AT_ONCE])[0] for i in range(0, len(fresh), _WORDS_AT_ONCE)]
+            self._tables = [np.concatenate((old, new[:-1])) for old, new in zip(self._tables, self.net.tables(np.concatenate(vectors)))]
         return flat
 
     def documents(self, texts: list[bytes]) -> np.ndarray:
@@ -165,8 +169,8 @@ class Scorer:
         return out
 
 
-def _learn_windows(net: Network, flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray, y: np.ndarray, words: list[bytes], adam: Adam,
-                   rng: np.random.Generator) -> None:
+def _learn_windows(net: Network, flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray, y: np.ndarray, words: list[bytes], parts: dict[bytes, tuple[int, ...]],
+                   adam: Adam, rng: np.random.Generator) -> None:
     """One step on a batch of windows: cross-entropy through attention, both directions, word and character inputs."""
     hid, w = net.fit.hidden, net.weights
     ids = padded(flat, begins, sizes, -1)
@@ -175,7 +179,7 @@ def _learn_windows(net: Network, flat: np.ndarray, begins: np.ndarray, sizes: np
     pads = used[0] == -1
     ids = np.where(ids == 0, len(used) - 1, ids - 1) if pads else ids
     pad = len(used) - 1 if pads else len(used)
-    vectors, back_words = net.word_inputs([words[i] for i in used[int(pads) :]], rng)
+    vectors, back_words = net.word_inputs([words[i] for i in used[int(pads) :]], rng, parts)
     tables = net.tables(vectors)
     ahead, back_f = Gru.train(tables[0][ids], w["u_f"])
     behind, back_b = Gru.train(tables[1][ids[::-1]], w["u_b"])
@@ -241,7 +245,7 @@ def train(texts: list[bytes], labels: list[int], fit: Fit = Fit(), toxic_share:
     clean, adam, bad = np.flatnonzero(~y[doc]), Adam(w, fit.rate), None
 
     def all_scores() -> np.ndarray:
-        return np.concatenate([_scores(net, flat, begins[i : i + 4096], long[i : i + 4096], words) for i in range(0, len(doc), 4096)])
+        return np.concatenate([_scores(net, flat, begins[i : i + 4096], long[i : i + 4096], words, parts) for i in range(0, len(doc), 4096)])
 
     for step in range(fit.steps):
         if step % 100 == 0:
@@ -254,7 +258,7 @@ def train(texts: list[bytes], labels: list[int], fit: Fit = Fit(), toxic_share:
             worst = clean[np.argsort(-score[clean], kind="stable")[: max(1, len(clean) // 10)]]
         adam.rate = fit.rate * (1 - step / fit.steps) + 1e-4
         pick = np.concatenate((rng.choice(bad, fit.batch // 3), rng.choice(clean, fit.batch // 3), rng.choice(worst, fit.batch - 2 * (fit.batch // 3))))
-        _learn_windows(net, flat, begins[pick], long[pick], y[doc[pick]].astype(float), words, adam, rng)
+        _learn_windows(net, flat, begins[pick], long[pick], y[doc[pick]].astype(float), words, parts, adam, rng)
     most = np.full(len(y), -np.inf)
     np.maximum.at(most, doc, all_scores())
     w["bias"] -= np.float32(_best_cut(most, y, toxic_share))
@@ -273,11 +277,11 @@ def _best_cut(logits: np.ndarray, y: np.ndarray, toxic_share: float) -> float:
     return float((low + high) / 2) if np.isfinite(low) else float(high)
 
 
-def _scores(net: Network, flat: np.ndarray, begins: np.ndarray, long: np.ndarray, words: list[bytes]) -> np.ndarray:
+def _scores(net: Network, flat: np.ndarray, begins: np.ndarray, long: np.ndarray, words: list[bytes], parts: dict[bytes, tuple[int, ...]]) -> np.ndarray:
     ids = padded(flat, begins, long, -1)
     used, where = np.unique(ids, return_inverse=True)
     pads = int(used[0] == -1)
-    tables = net.tables(net.word_inputs([words[i] for i in used[pads:]])[0])
+    tables = net.tables(net.word_inputs([words[i] for i in used[pads:]], parts=parts)[0])
     where = where.reshape(ids.shape) - pads
     return net.windows(np.where(where < 0, len(tables[0]) - 1, where), tables)
 

@@ -1,4 +1,6 @@
+import gc
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -178,3 +180,20 @@ def test_personal_data_found_and_added(docs, prose):
     assert pii.found(docs(AWKWARD).limit(0), net).count() == 0
     blank = pii.learn(df.limit(0))
     assert sum(r["n_added"] for r in pii.found(df, blank).collect()) == 0
+
+
+def test_scoring_new_words_leaves_nothing_in_the_process(prose):
+    """Python workers are used again, so what a scorer knew of words must go with it, and words enter it a block at a time."""
+    net = toxicity.train([prose(i, 20).encode() for i in range(12)], [i % 2 for i in range(12)], toxicity.Fit(steps=2))
+    words = [b"%s%x" % (bytes([97 + i % 23]) * (i % 7), i) for i in range(30_000)]
+    scorer = toxicity.Scorer(net)
+    tracemalloc.start()
+    try:
+        scorer.documents([b" ".join(words)])
+        peak = tracemalloc.get_traced_memory()[1]
+        del scorer
+        gc.collect()
+        left = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert left < 1_000_000 and peak < 30_000_000

@@ -173,7 +173,7 @@ def _(spark, sf, work):
 @check("r01_r03_codex_text_stream", with_sql(*CODEX_SQL, select=f"SELECT '/a/u' || user_id || '.jsonl' AS session_id, day, model, {SUMS_SQL} FROM cf GROUP BY ALL"))
 def _(spark, sf, work):
     """Rollouts and, in later batches, copies of them: counters, models and turns are settled per file, copies dropped across batches."""
-    arriving(codex_lines(spark, sf), work, lambda: jobs.codex_text_job(jobs.stream_lines(spark, f"{work}/in"), work))
+    arriving(codex_lines(spark, sf), work, lambda: jobs.codex_text_job(jobs.stream_lines(spark, f"{work}/in", listed=f"{work}/listed"), work))
     return facts_table(jobs.codex_facts(spark, work)).withColumn("session_id", F.regexp_extract("session_id", "/in(/.*)$", 1))
 
 

@@ -62,8 +62,8 @@ def staging_root(spark: SparkSession) -> str:
     return _LOCAL_ROOT[0]
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+def stage(df: DataFrame, label: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Write ``df`` to the shared folder, in folders of the columns ``by``, and read it back.
 
     Used where a result feeds several branches: the expensive part (JSON
     parsing, ordered scans) runs once, the branches read narrow columns, and a
@@ -71,7 +71,7 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{staging_root(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     _STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -7,18 +7,25 @@ holds the same list.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import itertools
+import os
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.dedup import keep_first
+from ..operators.ranking import with_sum_before
 from ..session import stage
 from .lines import ISO_MS, LINE_SCHEMA, read_documents, read_lines
 
 FILE_COLUMNS = ["root", "path", "rel", "size", "mtime"]
 FILES = "root string, path string, rel string, size bigint, mtime string"
+WALKED = "path string, is_folder boolean, size bigint, mtime_ms bigint"
+LISTED = "path string, size bigint, mtime_ms bigint"
+OPEN_BYTES = 1 << 12  # to open a file costs as much as to read so much of it
 HOME_FILES = "home string, rank int, rel string, path string, size bigint, mtime string"
 
 
@@ -122,3 +129,85 @@ def read_listed(files: DataFrame, kind: str = "lines") -> DataFrame:
     if not paths:
         return spark.createDataFrame([], LINE_SCHEMA)
     return read_documents(spark, paths, None) if kind == "documents" else read_lines(spark, paths, None)
+
+
+def mounted(spark: SparkSession, root: str) -> str | None:
+    """The name by which tasks open a folder that they mount; None on other file systems."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system.makeQualified(place).toUri().getPath() if system.getUri().getScheme() == "file" else None
+
+
+def walk_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, size, mtime_ms) of all files below a mounted folder, plain names; one that is not there has none. Staged.
+
+    Tasks list a level of folders at a time, so the driver holds none of the files, however many there are. Names are
+    hidden as file sources hide them.
+    """
+    level, found = spark.createDataFrame([(folder,)], "path string"), spark.createDataFrame([], LISTED)
+    while not level.isEmpty():
+        dealt = level.repartition(spark.sparkContext.defaultParallelism)
+        walked = stage(dealt.mapInArrow(_scan_folders, WALKED), "walked")
+        found = found.unionByName(walked.filter("NOT is_folder").drop("is_folder"))
+        level = walked.filter("is_folder").select("path")
+    return found
+
+
+def _scan_folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for folder in itertools.chain.from_iterable(b.column(0).to_pylist() for b in batches):
+        entries = _entries(folder)
+        while some := list(itertools.islice(entries, 1 << 14)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), (pa.string(), pa.bool_(), pa.int64(), pa.int64()))], ["path", "is_folder", "size", "mtime_ms"])
+
+
+def _entries(folder: str) -> Iterator[tuple[str, bool, int, int]]:
+    try:
+        entries = os.scandir(folder)
+    except FileNotFoundError:  # gone since its name was seen
+        return
+    with entries:
+        for entry in entries:
+            if not _hidden(entry.name) and (entry.is_dir() or entry.is_file()):
+                try:
+                    seen = entry.stat()
+                except FileNotFoundError:
+                    continue
+                yield entry.path, entry.is_dir(), seen.st_size, seen.st_mtime_ns // 1_000_000
+
+
+def _hidden(name: str) -> bool:
+    """The names that Spark's file sources leave out."""
+    if name.startswith(("_metadata", "_common_metadata")):
+        return False
+    return name.startswith(".") or name.startswith("_") and "=" not in name or name.endswith("._COPYING_")
+
+
+def land_lists(spark: SparkSession, folder: str, glob: str | None, landed: str, bytes_per_list: int, files_per_list: int | None = None) -> None:
+    """Name the files below a mounted folder that no list under ``landed`` names yet in lists of their own, oldest first.
+
+    A list is one Parquet file. It ends with the file that reaches ``bytes_per_list``, or ``files_per_list`` if that is
+    given. Lists land one after the other, whole or not at all, so a call that is cut off is made good by the next one.
+    """
+    if not os.path.isdir(folder):
+        raise FileNotFoundError(folder)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    files = walk_files(spark, folder)
+    if glob:
+        files = files.filter(F.regexp_extract("path", "[^/]*$", 0).rlike(f"^(?s:{hadoop.GlobPattern(glob).compiled().pattern()})$"))
+    place = hadoop.Path(landed)
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(place)
+    lists = [int(x.getPath().getName()) for x in system.listStatus(place)]
+    if lists:
+        files = files.join(read_lists(spark, landed).select("path"), "path", "left_anti")
+    cost, most = (F.lit(1), files_per_list) if files_per_list else (F.col("size") + OPEN_BYTES, bytes_per_list)
+    summed = with_sum_before(files, ["mtime_ms", "path"], cost.cast("bigint"), "before")
+    dealt = stage(summed.withColumn("list", F.floor(F.col("before") / most)).drop("before").repartition("list"), "new-files", ("list",))
+    for row in dealt.select("list").distinct().orderBy("list").collect():  # a stream takes them by the time they landed
+        one = dealt.filter(F.col("list") == row["list"]).drop("list")
+        one.coalesce(1).write.parquet(f"{landed}/{max(lists, default=-1) + 1 + row['list']:08d}")
+
+
+def read_lists(spark: SparkSession, landed: str) -> DataFrame:
+    """(path, size, mtime_ms) of all files that ``land_lists`` has named."""
+    return spark.read.schema(LISTED).option("recursiveFileLookup", "true").parquet(landed)

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Iterator
+from urllib.parse import quote
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +60,55 @@ def read_documents(spark: SparkSession, paths: str | list[str], glob: str | None
     return _placed(_reader(spark, glob, modified_after).text(paths, wholetext=True))
 
 
+SPLIT_BYTES = 1 << 25
+
+
+def listed_lines(files: DataFrame, tasks: int) -> DataFrame:
+    """(path, block_start, value, mtime) of the lines of (path, size, mtime_ms), files that tasks mount, as a text scan gives them.
+
+    Tasks open the files by their names, long ones in splits, so the driver holds none of them. A split's lines stand
+    together and in order. Also on streams.
+    """
+    splits = files.select("path", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(SPLIT_BYTES).cast("bigint"))).alias("start"), "size", "mtime_ms")
+    ends = splits.select("path", "start", F.least("size", F.col("start") + SPLIT_BYTES).alias("end"), "mtime_ms")
+    lines = ends.repartition(tasks).mapInArrow(_read_splits, "path string, block_start bigint, value binary, mtime_ms bigint")
+    return lines.select("path", "block_start", F.col("value").cast("string").alias("value"), F.date_format(F.timestamp_millis("mtime_ms"), ISO_MS).alias("mtime"))
+
+
+def _read_splits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows, held = [], 0
+    for batch in batches:
+        for path, start, end, mtime_ms in zip(*(c.to_pylist() for c in batch.columns)):
+            name = "file://" + quote(path)
+            for line in _split_lines(path, start, end):
+                rows.append((name, start, line, mtime_ms))
+                held += len(line) + len(name)
+                if held >= 1 << 22 or len(rows) >= 1 << 14:
+                    yield _line_batch(rows)
+                    rows, held = [], 0
+    if rows:
+        yield _line_batch(rows)
+
+
+def _line_batch(rows: list[tuple[str, int, bytes, int]]) -> pa.RecordBatch:
+    names, types = ("path", "block_start", "value", "mtime_ms"), (pa.string(), pa.int64(), pa.binary(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], list(names))
+
+
+def _split_lines(path: str, start: int, end: int) -> Iterator[bytes]:
+    """Lines that begin at ``start`` or later and before ``end``; a byte order mark is no part of the first."""
+    with open(path, "rb", buffering=1 << 16) as f:
+        if start:
+            f.seek(start - 1)
+            f.readline()
+        elif f.read(3) != b"\xef\xbb\xbf":
+            f.seek(0)
+        at = f.tell()
+        while at < end and (line := f.readline()):
+            at += len(line)
+            yield line.removesuffix(b"\n")
+
+
 def live_cutoff(now: dt.datetime) -> str:
     """Lower bound of file times for the live view, the earlier of six hours ago and just before midnight."""
     since_midnight = (now - now.replace(hour=0, minute=0, second=0, microsecond=0)).total_seconds() * 1000

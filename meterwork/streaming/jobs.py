@@ -24,7 +24,8 @@ from ..operators.prices import with_cost
 from ..operators.usage import USAGE_COLUMNS, Facts
 from ..session import remove, stage
 from ..sources import claude, codex
-from ..sources.lines import ISO_MS, plain_path
+from ..sources.files import LISTED, land_lists, mounted
+from ..sources.lines import ISO_MS, listed_lines, plain_path
 
 STATE_STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -37,12 +38,23 @@ def use_state_store(spark: SparkSession) -> None:
         spark.conf.set(key, value)
 
 
-def stream_lines(spark: SparkSession, paths: str, glob: str = "*.jsonl", files_per_batch: int | None = None, bytes_per_batch: int = 1 << 30) -> DataFrame:
+def stream_lines(spark: SparkSession, paths: str, glob: str = "*.jsonl", files_per_batch: int | None = None, bytes_per_batch: int = 1 << 30,
+                 listed: str | None = None) -> DataFrame:
     """The text of new log files as a stream. Its lines get their places inside a batch, see ``placed``.
 
     A batch ends with the file that reaches ``bytes_per_batch``: logs are many small files, and a batch costs the same
     jobs however little it holds. ``files_per_batch`` counts files instead.
+
+    Spark's file source keeps every file it has seen on the driver, some kilobytes each. With ``listed``, a folder that
+    belongs to this stream as its checkpoint does, tasks list the files below ``paths``, a folder, and land the new ones
+    there; the stream reads these lists, one a batch, and tasks open the files that they name. It holds the files that
+    were there when this was called. That needs a folder that tasks mount; on other file systems ``listed`` is not used.
     """
+    folder = None if listed is None else mounted(spark, paths)
+    if folder is not None:
+        land_lists(spark, folder, glob, listed, bytes_per_batch, files_per_batch)
+        lists = spark.readStream.schema(LISTED).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(listed)
+        return listed_lines(lists, 2 * spark.sparkContext.defaultParallelism)
     limit = ("maxBytesPerTrigger", bytes_per_batch) if files_per_batch is None else ("maxFilesPerTrigger", files_per_batch)
     text = (
         spark.readStream.option("recursiveFileLookup", "true")

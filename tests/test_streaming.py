@@ -177,3 +177,72 @@ def test_block_state_takes_a_row_per_key_and_month(streaming, tmp_path):
         ("u", 0): (5, 1.5, 3000, 0.015, 0), ("u", 30): (35, 31, 2000, 0.01, 1),
         ("v", 0): (5, 160 / 60, 3000, 0.015, 0), ("v", 31): (36, 32, 2000, 0.01, 0),
     } and blocks.count() == 4
+
+
+def arrived(spark, lines, checkpoint):
+    """What a stream of lines brings, batch by batch: (file, split, rank in the split, bytes of the text, time)."""
+    batches = []
+
+    def take(batch, _):
+        rows = jobs.placed(batch).select("file", "block_start", "line_no", F.hex(F.col("value").cast("binary")).alias("hex"), "mtime").collect()
+        batches.append([(r["file"], r["block_start"], r["hex"], r["mtime"]) for r in sorted(rows, key=lambda r: (r["file"], r["block_start"], r["line_no"]))])
+
+    drain(lines.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True))
+    return batches
+
+
+def test_listed_files_give_the_lines_of_the_text_source(spark, tmp_path, monkeypatch):
+    """Odd names, bytes that are no UTF-8, marks, long lines and cut splits; a later call brings only what is new."""
+    from meterwork.sources import lines as source
+
+    root = tmp_path / "my logs+%41 é"
+    texts = {"a.jsonl": b"\xef\xbb\xbf1\r\n\n \xef\xbb\xbf2\n", "deep/b [1]{x}.jsonl": b"\xff\xfe\n" + b"x" * 300 + b"\nlast", "empty.jsonl": b"", "_c=1/c+%20.jsonl": b"3\n",
+             "deep/_hidden/d.jsonl": b"4\n", ".e.jsonl": b"5\n", "f.jsonl.txt": b"6\n", "g.jsonl": b"\n".join(b"%d" % k for k in range(300)) + b"\n"}
+    for name, text in texts.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(text)
+    (root / "gone.jsonl").symlink_to(root / "was here")
+    [text] = arrived(spark, jobs.stream_lines(spark, str(root)), f"{tmp_path}/text")
+    [listed] = arrived(spark, jobs.stream_lines(spark, str(root), listed=f"{tmp_path}/lists"), f"{tmp_path}/checkpoint")
+    assert listed == text and {f.removeprefix(f"file://{root}/") for f, *_ in text} == {"a.jsonl", "deep/b [1]{x}.jsonl", "_c=1/c+%20.jsonl", "g.jsonl"}
+    with monkeypatch.context() as other:  # as on a file system that tasks do not mount
+        other.setattr(jobs, "mounted", lambda *_: None)
+        assert arrived(spark, jobs.stream_lines(spark, str(root), listed=f"{tmp_path}/unused"), f"{tmp_path}/other") == [text] and not (tmp_path / "unused").exists()
+    monkeypatch.setattr(source, "SPLIT_BYTES", 16)
+    [cut] = arrived(spark, jobs.stream_lines(spark, str(root), listed=f"{tmp_path}/cut"), f"{tmp_path}/cut-checkpoint")
+    assert [(f, x, t) for f, _, x, t in cut] == [(f, x, t) for f, _, x, t in text] and len({(f, s) for f, s, *_ in cut}) > 60
+    assert arrived(spark, jobs.stream_lines(spark, str(root), listed=f"{tmp_path}/lists"), f"{tmp_path}/checkpoint") == []
+    (root / "deep" / "new.jsonl").write_bytes(b"7\n")
+    [new] = arrived(spark, jobs.stream_lines(spark, str(root), listed=f"{tmp_path}/lists"), f"{tmp_path}/checkpoint")
+    assert [(f, x) for f, _, x, _ in new] == [(f"file://{root}/deep/new.jsonl", "37")]
+
+
+def test_lists_are_bounded_and_in_the_order_of_time(spark, tmp_path):
+    import os
+
+    (tmp_path / "in").mkdir()
+    for k in range(60):
+        (tmp_path / "in" / f"{k:02d}.jsonl").write_bytes(b"0123456789\n")
+        os.utime(tmp_path / "in" / f"{k:02d}.jsonl", (1_700_000_000 - k, 1_700_000_000 - k))
+    for name, options in (("bytes", {"bytes_per_batch": 20 * (11 + 4096)}), ("count", {"files_per_batch": 20})):
+        batches = arrived(spark, jobs.stream_lines(spark, f"{tmp_path}/in", listed=f"{tmp_path}/{name}", **options), f"{tmp_path}/{name}-checkpoint")
+        assert [sorted({f[-8:-6] for f, *_ in b}) for b in batches] == [[f"{k:02d}" for k in range(n, n + 20)] for n in (40, 20, 0)]
+    (tmp_path / "none").mkdir()
+    assert arrived(spark, jobs.stream_lines(spark, f"{tmp_path}/none", listed=f"{tmp_path}/nothing"), f"{tmp_path}/nothing-checkpoint") == []
+    with pytest.raises(FileNotFoundError):
+        jobs.stream_lines(spark, f"{tmp_path}/not there", listed=f"{tmp_path}/nothing")
+
+
+def test_the_driver_holds_no_file_of_a_listed_stream(streaming, tmp_path):
+    """Rollouts in many files: the offsets of the stream, the plan of a batch and its tasks do not grow with the files."""
+    spark = streaming
+    (tmp_path / "in").mkdir()
+    row = '{"timestamp":"2026-07-10T09:00:%02dZ","type":"event_msg","payload":{"type":"token_count","info":{"last_token_usage":{"input_tokens":%d}}}}\n'
+    for k in range(600):
+        (tmp_path / "in" / f"u{k}.jsonl").write_text(row % (k % 60, k % 300 + 1))
+    lines = jobs.stream_lines(spark, f"{tmp_path}/in", listed=f"{tmp_path}/listed")
+    drain(jobs.codex_text_job(lines, f"{tmp_path}/work"))
+    usage = jobs.codex_facts(spark, f"{tmp_path}/work").usage
+    assert usage.agg(F.sum("input_tokens"), F.count("*")).first()[:] == (300 * 301 // 2, 300)
+    seen = [p.read_text() for p in (tmp_path / "work" / "rollouts-checkpoint" / "sources").rglob("*") if p.is_file() and not p.name.startswith(".")]
+    assert sum(x.count('"path"') for x in seen) == 1 and not any("/in/u" in x for x in seen)
